@@ -104,15 +104,15 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def _with_groups(rows: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Add (size, rep) of the row's group: counted before the shuffle, joined back in SALTS shares so that no group lands in one task."""
+def _with_groups(rows: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Add (size, rep) of the row's group of two or more: counted before the shuffle, joined back in SALTS shares so that no group lands in one task."""
     groups = (
         rows.groupBy(*key)
         .agg(F.count("*").alias("size"), F.max("doc_id").alias("rep"))
-        .where(F.col("size") >= least)
+        .where("size > 1")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    return rows.withColumn("salt", spread(F.col("doc_id"), SALTS)).join(groups, [*key, "salt"]).drop("salt")
+    return rows.withColumn("salt", spread(F.col("doc_id"), SALTS)).join(groups, [*key, "salt"], how).drop("salt")
 
 
 def compare(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,13 +147,14 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     prints = written(fingerprints(docs, doc_id, text), "prints")
     key = ["f1", "f2", "n"]
-    members = written(_with_groups(prints, key, 2), "members")
+    members = written(_with_groups(prints, key, "inner"), "members")
     odd = written(compare(docs, members, doc_id, text).withColumn("apart", F.col("sha")), "odd")
     classes = prints.join(odd, ["doc_id", "sha"], "left").withColumn("apart", F.coalesce("apart", F.lit("")))
-    out = _with_groups(classes, [*key, "apart"], 1)
+    out = _with_groups(classes, [*key, "apart"], "left")
+    keep = F.coalesce("rep", "doc_id")
     return out.select(
-        "doc_id", F.col("rep").alias("keep_id"), F.col("size").alias("group_size"),
-        (F.col("doc_id") == F.col("rep")).alias("kept"), F.col("sha").alias("text_sha256"),
+        "doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("doc_id") == keep).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 

@@ -101,7 +101,7 @@ def copies(sizes_down: np.ndarray, rate: float, most: int = int(MOST)) -> np.nda
 TAKEN = "doc_id long, source string, size long, source_size long, target double, copies long, taken long"
 
 
-def _round(rows: pd.DataFrame) -> pd.DataFrame:
+def _round(rows):
     rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
     rows["copies"] = copies(rows["size"].to_numpy(np.int64), float(rows["rate"].iloc[0]))
     rows["taken"] = rows["copies"] * rows["size"]

@@ -168,7 +168,7 @@ PACKED = PIECES + ", sequence_id long, offset long, fill long"
 
 
 def _pack_share(level: int, capacity: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         rows = rows.sort_values(["doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
         sizes = rows["length"].to_numpy(np.int64)
         bins = pack(sizes, capacity)
