@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, near_dedup, packing, sstable
+from . import exact_dedup, language_id, mixing, near_dedup, packing, sstable, toxicity
 
-MODULES = [exact_dedup, near_dedup, packing, sstable, language_id, mixing]
+MODULES = [exact_dedup, near_dedup, packing, sstable, language_id, toxicity, mixing]
 
 
 def queries() -> dict:
