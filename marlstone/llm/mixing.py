@@ -24,7 +24,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
 #: Documents whose copies are decided together.
-SHARE_ROWS = 20_000
+SHARE_ROWS = 2_000
 TOLERANCE = 1e-9
 
 
