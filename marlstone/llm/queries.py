@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, mixing, mtree, near_dedup, packing, sstable, toxicity
+from . import exact_dedup, language_id, licenses, masked_lm, mixing, mtree, near_dedup, packing, sstable, toxicity
 
-MODULES = [mtree, exact_dedup, near_dedup, packing, sstable, language_id, toxicity, mixing]
+MODULES = [mtree, exact_dedup, near_dedup, packing, sstable, language_id, toxicity, licenses, masked_lm, mixing]
 
 
 def queries() -> dict:
