@@ -81,3 +81,21 @@ def maybe_in(df: DataFrame, key: str, words: DataFrame) -> DataFrame:
     left = df.withColumn("_h", h).withColumn("_w", F.shiftright("_h", 6))
     hit = (F.col("_w") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_h & 63 as int)) & 1") == 1)
     return left.join(F.broadcast(words), hit, "left_semi").drop("_h", "_w")
+
+
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", *more: tuple[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose key (and further columns, given with their expression over docs) is not in ``dropped``.
+
+    Rows that the bounded filter excludes stay where they are; only the others are moved for the exact test.
+    """
+    dropped = written(dropped, "dropped")
+    words = written(filter_words(dropped, key), "filter")
+    h = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    left = docs.withColumn("_h", h).withColumn("_w", F.shiftright("_h", 6))
+    hit = (F.col("_w") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_h & 63 as int)) & 1") == 1)
+    sure = left.join(F.broadcast(words), hit, "left_anti").drop("_h", "_w")
+    unsure = maybe_in(docs, key, words)
+    for name, expr in more:
+        unsure = unsure.withColumn(name, expr)
+    unsure = unsure.join(dropped, [key, *[n for n, _ in more]], "left_anti").select(*docs.columns)
+    return sure.unionByName(unsure)

@@ -200,6 +200,24 @@ class Model:
         return out.select("doc_id", *[f"row.{k}" for k in keep], "lang_pred", "score")
 
 
+def _accept(predict, least: float):
+    def run(it):
+        for batch in it:
+            for b in tk.pieces(batch, "text", 1 << 20):
+                named = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int32()), b.column("text")], ["doc_id", "row", "text"])
+                for got in predict(iter([named])):
+                    lang, score = got.column("lang_pred").to_pylist(), np.asarray(got.column("score"))
+                    yield b.filter(pa.array([x != "und" for x in lang]) if least <= 0 else pa.array([x != "und" and p >= least for x, p in zip(lang, score)]))
+
+    return run
+
+
+def accept(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """Rows of ``docs`` (with a column text) whose language is recognised with a score of at least ``least``; all columns stay."""
+    predict = _predict(model.classes, model.weights.astype(np.float32), model.idf, model.temperature)
+    return docs.mapInArrow(_accept(predict, least), docs.schema)
+
+
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on rows with a language; document frequencies come from all of them, weights from PER_LANGUAGE of each language."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
