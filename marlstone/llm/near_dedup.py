@@ -8,10 +8,12 @@ pairs under the threshold meet in a bucket. A pair at Jaccard similarity 0.8 mis
 bucket with probability 1e-7. Links are confirmed on the full sets.
 
 A bucket is never expanded into pairs. First every document is compared with one hub, the
-smallest document of the bucket that it shares most often, which joins most groups. Only
+smallest document of the bucket that it shares most often, which joins many groups. Only
 buckets that still hold several components go on: there the documents outside the bucket's
 largest component are compared, by signature and in blocks, with the documents of other
-components, and pairs that pass are confirmed on the full sets.
+components. NEAREST rounds take only each such document's nearest partner to the full sets,
+which absorbs nearly all of a large group; the last round takes every pair that is left under
+the threshold, each once, from the first bucket that both documents share.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ SYMBOLS, BITS, CHUNK, ERRORS = 60, 16, 5, 1
 NEAR = 30
 #: Documents of a block, and shingles compared with one copy of a hub's set.
 BLOCK = 256
-SLOT_SHINGLES = 1_000_000
+SLOT_SHINGLES = 50_000
+NEAREST = 2
 _RNG = np.random.default_rng(41)
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -107,7 +110,7 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """(rep, n, key): each chunk under its symbols but one, for every place that may be wrong."""
+    """(rep, n, place, key): each chunk under its symbols but one, for every place that may be wrong."""
     size = BITS // 8
     keys = []
     for c in range(SYMBOLS // CHUNK):
@@ -115,7 +118,7 @@ def _keys(reps: DataFrame) -> DataFrame:
             at = c * CHUNK * size + 1
             left, right = F.substring("raw", at, j * size), F.substring("raw", at + (j + 1) * size, (CHUNK - 1 - j) * size)
             keys.append(F.xxhash64(F.lit(c * CHUNK + j), left, right))
-    return reps.select("rep", "n", F.explode(F.array(*keys)).alias("key"))
+    return reps.select("rep", "n", F.posexplode(F.array(*keys)).alias("place", "key"))
 
 
 def _confirm(threshold: int):
@@ -153,21 +156,40 @@ def confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, threshold: int,
     return rows.select("b", "slot", "doc_id", "raw").groupBy("b", "slot").applyInArrow(_confirm(threshold), "a long, b long")
 
 
-def _near(ratio: int):
+def _first_shared(differ: np.ndarray) -> np.ndarray:
+    """The first place of ``_keys`` under which two signatures meet, from (..., SYMBOLS) of differing symbols; -1 if none."""
+    chunks = differ.reshape(*differ.shape[:-1], SYMBOLS // CHUNK, CHUNK)
+    meets = chunks.sum(-1) <= ERRORS
+    c = meets.argmax(-1)
+    wrong = np.take_along_axis(chunks, c[..., None, None], -2)[..., 0, :].argmax(-1)
+    return np.where(meets.any(-1), c * CHUNK + wrong, -1)
+
+
+def _near(ratio: int, nearest: bool):
     def pairs(rows: pa.Table):
         """Pairs of one bucket's block: rows that ask against rows that stand there, of other components."""
         ask = np.asarray(rows.column("asks"), dtype=bool)
         rep, comp, n = (np.asarray(rows.column(c)) for c in ("rep", "component", "n"))
+        place = rows.column("place")[0].as_py()
         sig = np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column("raw").chunks for x in chunk), "<u2").reshape(-1, SYMBOLS)
         p, q = np.flatnonzero(ask), np.flatnonzero(~ask)
+        if not len(p) or not len(q):
+            return
         for lo in range(0, len(p), BLOCK):
             i = p[lo : lo + BLOCK]
-            off = (sig[i][:, None, :] != sig[q][None, :, :]).sum(2)
+            differ = sig[i][:, None, :] != sig[q][None, :, :]
+            off = differ.sum(2)
             fits = (off <= NEAR) & (comp[i][:, None] != comp[q][None, :])
             fits &= 100 * np.minimum(n[i][:, None], n[q][None, :]) >= ratio * np.maximum(n[i][:, None], n[q][None, :])
-            x, y = np.nonzero(fits)
-            x, y = i[x], q[y]
-            yield np.maximum(rep[x], rep[y]), np.minimum(rep[x], rep[y]), np.where(rep[x] > rep[y], n[x], n[y])
+            if nearest:
+                y = np.where(fits, off, SYMBOLS + 1).argmin(1)
+                x = np.flatnonzero(fits[np.arange(len(i)), y])
+                y = y[x]
+            else:
+                x, y = np.nonzero(fits)
+                own = _first_shared(differ[x, y]) == place
+                x, y = x[own], y[own]
+            yield rep[i[x]], rep[q[y]], n[i[x]], off[x, y]
 
     def run(it):
         held: list[pa.RecordBatch] = []
@@ -177,8 +199,8 @@ def _near(ratio: int):
             cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
             got = [g for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(key[0])]) for g in pairs(t.slice(lo, hi - lo))]
             if got:
-                a, b, n = (np.concatenate(x) for x in zip(*got))
-                yield from pa.table({"a": a, "b": b, "n": n}).to_batches()
+                a, b, n, off = (np.concatenate(x) for x in zip(*got))
+                yield from pa.table({"a": a, "b": b, "n": n, "off": off.astype(np.int64)}).to_batches()
 
         for batch in it:  # rows come sorted by bucket and block; what may go on in the next batch is held back
             if not batch.num_rows:
@@ -197,6 +219,27 @@ def _near(ratio: int):
     return run
 
 
+def _mixed_pairs(members: DataFrame, named: DataFrame, reps: DataFrame, threshold: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b, n) to confirm, from buckets that hold several components; with ``nearest`` one for each document that asks."""
+    placed = members.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = written(placed.select("key", "place", "rep", "n", "size", "component"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    held = placed.join(mixed, "key", "left_semi")
+    largest = held.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"))
+    held = held.join(largest, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    stands = held.withColumn("asks", F.lit(False)).withColumn("block", spread(F.col("rep"), F.col("blocks")))
+    asks = held.where(F.col("component") != F.col("largest.component")).withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = stands.unionByName(asks).join(reps.select("rep", "raw"), "rep").select("key", "block", "place", "asks", "rep", "n", "component", "raw")
+    block = block.repartition("key", "block").sortWithinPartitions("key", "block")
+    found = block.mapInArrow(_near(threshold, nearest), "a long, b long, n long, off long")
+    if nearest:
+        found = found.groupBy("a", "n").agg(F.min(F.struct("off", "b")).alias("best")).select("a", "best.b", "n")
+    else:  # two documents that both ask find each other twice
+        found = found.select("a", "b", "n").withColumn("lo", F.least("a", "b")).groupBy("lo", F.greatest("a", "b").alias("hi")).agg(F.max(F.when(F.col("a") > F.col("b"), F.col("n"))).alias("n"), F.max("n").alias("m"))
+        found = found.select(F.col("hi").alias("a"), F.col("lo").alias("b"), F.coalesce("n", "m").alias("n"))
+    return written(found, "near")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each document.
 
@@ -212,8 +255,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = written(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("raw").alias("raw"), F.count("*").alias("copies")), "reps")
 
     keys = _keys(reps)
-    buckets = written(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = written(maybe_in(keys, "key", filter_words(buckets, "key")).join(buckets, "key").select("key", "rep", "n", "hub", "size"), "members")
+    buckets = written(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.min("place").alias("place"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = written(maybe_in(keys, "key", filter_words(buckets, "key")).drop("place").join(buckets, "key").select("key", "place", "rep", "n", "hub", "size"), "members")
 
     fits = 100 * F.least("n", F.col("hub.n")) >= threshold * F.greatest("n", F.col("hub.n"))
     shared = members.where((F.col("rep") != F.col("hub.rep")) & fits).groupBy("rep", "n", F.col("hub.rep").alias("b")).agg(F.count("*").alias("times"))
@@ -221,20 +264,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = written(confirm(rows, first, reps, threshold, width), "links")
     named = components(links, "a", "b")
 
-    placed = members.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed.select("key", "rep", "n", "size", "component"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    held = placed.join(mixed, "key", "left_semi")
-    largest = held.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"))
-    held = held.join(largest, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    stands = held.withColumn("asks", F.lit(False)).withColumn("block", spread(F.col("rep"), F.col("blocks")))
-    asks = held.where(F.col("component") != F.col("largest.component")).withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block = stands.unionByName(asks).join(reps.select("rep", "raw"), "rep").select("key", "block", "asks", "rep", "n", "component", "raw")
-    block = block.repartition("key", "block").sortWithinPartitions("key", "block")
-    more = written(block.mapInArrow(_near(threshold), "a long, b long, n long").distinct(), "near")
-    late = written(confirm(rows, more, reps, threshold, width), "late")
-
-    named = components(links.unionByName(late), "a", "b")
+    for turn in range(NEAREST + 1):
+        pairs = _mixed_pairs(members, named, reps, threshold, turn < NEAREST)
+        if pairs.isEmpty():
+            continue
+        links = written(links.unionByName(confirm(rows, pairs, reps, threshold, width)), "links")
+        named = components(links, "a", "b")
     # Only sets of several documents or with links have a row here; any other document is its own component.
     final = reps.join(named.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
     final = final.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
