@@ -1,4 +1,4 @@
 """All queries of the engine's own operators."""
 
-from . import documents, search  # noqa: F401
+from . import documents, pages, search  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
