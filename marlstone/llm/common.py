@@ -49,7 +49,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that no later step reads."""
+    for t in tables:
+        remove(t.sparkSession, t._written_to)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,8 +11,8 @@ A bucket is never expanded into pairs. First every document is compared with one
 smallest document of the bucket that it shares most often, which joins many groups. Only
 buckets that still hold several components go on: there the documents outside the bucket's
 largest component are compared, by signature and in blocks, with the documents of other
-components. NEAREST rounds take only each such document's nearest partner to the full sets,
-which absorbs nearly all of a large group; the last round takes every pair that is left under
+components. In NEAREST rounds each such document asks in one of its buckets and only its nearest
+partner goes to the full sets, which absorbs nearly all of a large group; the last round takes every pair that is left under
 the threshold, each once, from the first bucket that both documents share.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import filter_words, maybe_in, spread, table, written
+from .common import filter_words, maybe_in, release, spread, table, written
 from .components import components
 
 SYMBOLS, BITS, CHUNK, ERRORS = 60, 16, 5, 1
@@ -33,7 +33,7 @@ NEAR = 30
 #: Documents of a block, and shingles compared with one copy of a hub's set.
 BLOCK = 256
 SLOT_SHINGLES = 50_000
-NEAREST = 2
+NEAREST = 3
 _RNG = np.random.default_rng(41)
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -219,24 +219,37 @@ def _near(ratio: int, nearest: bool):
     return run
 
 
-def _mixed_pairs(members: DataFrame, named: DataFrame, reps: DataFrame, threshold: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b, n) to confirm, from buckets that hold several components; with ``nearest`` one for each document that asks."""
+def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, with their component and the bucket's largest one."""
     placed = members.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = written(placed.select("key", "place", "rep", "n", "size", "component"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    held = placed.join(mixed, "key", "left_semi")
-    largest = held.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("largest"))
-    held = held.join(largest, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    stands = held.withColumn("asks", F.lit(False)).withColumn("block", spread(F.col("rep"), F.col("blocks")))
-    asks = held.where(F.col("component") != F.col("largest.component")).withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("l")).where("k > 1").select("key", F.col("l.component").alias("largest"))
+    held = written(placed.join(mixed, "key"), "mixed")
+    release(placed)
+    return held
+
+
+def _pairs(held: DataFrame, reps: DataFrame, threshold: int, turn: int | None) -> DataFrame:
+    """Pairs (a, b, n) to confirm. With a turn each document outside its bucket's largest component asks in one bucket, the largest first, and has one partner; without, all pairs."""
+    asking = held.where(F.col("component") != F.col("largest"))
+    if turn is not None:
+        weight = F.col("size") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        one = asking.groupBy("rep").agg(F.max(F.struct(weight.alias("w"), "key")).alias("m")).select("rep", F.col("m.key").alias("key"))
+        asking = asking.join(one, ["rep", "key"], "left_semi")
+        held = held.join(one.select("key").distinct(), "key", "left_semi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    stands = held.withColumn("asks", F.lit(False)).withColumn("block", spread(F.col("rep"), blocks))
+    asks = asking.withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     block = stands.unionByName(asks).join(reps.select("rep", "raw"), "rep").select("key", "block", "place", "asks", "rep", "n", "component", "raw")
     block = block.repartition("key", "block").sortWithinPartitions("key", "block")
-    found = block.mapInArrow(_near(threshold, nearest), "a long, b long, n long, off long")
-    if nearest:
+    found = block.mapInArrow(_near(threshold, turn is not None), "a long, b long, n long, off long")
+    if turn is not None:
         found = found.groupBy("a", "n").agg(F.min(F.struct("off", "b")).alias("best")).select("a", "best.b", "n")
     else:  # two documents that both ask find each other twice
-        found = found.select("a", "b", "n").withColumn("lo", F.least("a", "b")).groupBy("lo", F.greatest("a", "b").alias("hi")).agg(F.max(F.when(F.col("a") > F.col("b"), F.col("n"))).alias("n"), F.max("n").alias("m"))
-        found = found.select(F.col("hi").alias("a"), F.col("lo").alias("b"), F.coalesce("n", "m").alias("n"))
+        larger = F.max(F.when(F.col("a") > F.col("b"), F.col("n")))
+        found = found.groupBy(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).agg(F.coalesce(larger, F.max("n")).alias("n"))
+        found = found.select(F.col("hi").alias("a"), F.col("lo").alias("b"), "n")
     return written(found, "near")
 
 
@@ -265,11 +278,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = components(links, "a", "b")
 
     for turn in range(NEAREST + 1):
-        pairs = _mixed_pairs(members, named, reps, threshold, turn < NEAREST)
-        if pairs.isEmpty():
-            continue
-        links = written(links.unionByName(confirm(rows, pairs, reps, threshold, width)), "links")
-        named = components(links, "a", "b")
+        held = _mixed(members, named)
+        release(members)
+        members = held.drop("component", "largest")
+        members._written_to = held._written_to
+        pairs = _pairs(held, reps, threshold, turn if turn < NEAREST else None)
+        if not pairs.isEmpty():
+            links = written(links.unionByName(confirm(rows, pairs, reps, threshold, width)), "links")
+            named = components(links, "a", "b")
+        release(pairs)
     # Only sets of several documents or with links have a row here; any other document is its own component.
     final = reps.join(named.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
     final = final.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
