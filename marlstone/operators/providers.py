@@ -1,9 +1,9 @@
 """Embedding, generation and OCR behind small interfaces, with offline defaults that need no model."""
 
-from __future__ import annotations
-
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +23,19 @@ class HashingEmbedder:
         self.dims, self.longest = dims, longest
 
     def embed(self, texts: Column) -> Column:
-        place = lambda t: F.pmod(F.xxhash64(t), F.lit(self.dims)).cast("int")
-        cells = F.transform(T.tokens(F.substring(texts, 1, self.longest)), place)
-        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+        """Tokens are hashed by Spark; one Arrow function counts a batch's places."""
+        dims = self.dims
+
+        @F.pandas_udf("array<float>")
+        def unit(cells: pd.Series) -> pd.Series:
+            def one(c):
+                v = np.bincount(np.asarray(c, dtype=np.int64), minlength=dims).astype(np.float64)
+                norm = np.sqrt(v @ v)
+                return (v / norm if norm else v).astype(np.float32)
+
+            return cells.map(one)
+
+        return unit(F.transform(T.tokens(F.substring(texts, 1, self.longest)), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")))
 
 
 class Generator(Protocol):
