@@ -7,12 +7,17 @@ probabilities of all its words. Vocabulary counts cover every document; training
 document too and masks one place in MASK, chosen by position, so what is learnt from grows with
 the corpus. Tasks train on their own documents and the models are averaged by words seen
 (iterative parameter mixing), ROUNDS times.
+
+The network has numbers for the OWN most frequent words only; the others share numbers. A word of a
+shared number has its own share of it: its count in the corpus over that of the number. The counts of
+all words are a table that grows with the corpus, and scoring joins it by word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +42,13 @@ def _count(it):
 
 
 class Vocabulary:
-    """Numbers of words: the OWN most frequent have their own, others share SHARED numbers by hash. ``log_share`` spreads a shared number over its distinct words."""
+    """Numbers of words: the OWN most frequent have their own, others share SHARED numbers by hash. ``log_total`` has the log of a shared number's count, 0 for others."""
 
-    def __init__(self, top: np.ndarray, distinct: np.ndarray):
+    def __init__(self, top: np.ndarray, totals: np.ndarray):
         order = np.argsort(top)
         self.keys, self.rank = top[order], order.astype(np.int64)
-        self.log_share = np.zeros(VOCAB)
-        self.log_share[OWN:] = -np.log(np.maximum(distinct, 1))
+        self.log_total = np.zeros(VOCAB)
+        self.log_total[OWN:] = np.log(np.maximum(totals, 1))
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         out = OWN + (h % np.uint64(SHARED)).astype(np.int64)
@@ -53,20 +58,20 @@ class Vocabulary:
         return out
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """Counts of all words of all documents; OWN words and SHARED sums reach the driver."""
+def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, DataFrame]:
+    """Numbers, and the table (word, n) of all words of all documents; of the table, OWN words and SHARED sums reach the driver."""
     counted = docs.select(F.col(text).alias("text")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = written(counted, "words")
     top = counted.orderBy(F.desc("n"), "word").limit(OWN).collect()
     keys = np.array([r.word for r in top], np.int64).view(np.uint64)
     # An unsigned remainder by SHARED, a power of two, is the low bits.
     low = F.col("word").bitwiseAND(F.lit(SHARED - 1)).cast("int").alias("low")
-    distinct = np.zeros(SHARED, np.int64)
-    for r in counted.groupBy(low).agg(F.count("*").alias("n")).collect():
-        distinct[r.low] = r.n
-    for k in keys:
-        distinct[int(k) % SHARED] -= 1
-    return Vocabulary(keys, distinct)
+    totals = np.zeros(SHARED, np.int64)
+    for r in counted.groupBy(low).agg(F.sum("n").alias("n")).collect():
+        totals[r.low] = r.n
+    for k, r in zip(keys, top):
+        totals[int(k) % SHARED] -= r.n
+    return Vocabulary(keys, totals), counted
 
 
 class Network:
@@ -159,10 +164,11 @@ def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.column_stack(cols)
 
 
-def _numbers(b: pa.RecordBatch, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def _numbers(b: pa.RecordBatch, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offs = tk.buffers(b.column("text"))
     s, e, first = tk.words(data, offs)
-    return vocab.numbers(tk.span_hashes(data, s, e)), first
+    h = tk.span_hashes(data, s, e)
+    return vocab.numbers(h), first, h
 
 
 def _train(vocab: Vocabulary, start: np.ndarray, turn: int, rate: float):
@@ -170,7 +176,7 @@ def _train(vocab: Vocabulary, start: np.ndarray, turn: int, rate: float):
         net, seen, words = Network(start), {}, 0
         for batch in it:
             for b in tk.pieces(batch, "text", 4 << 20):
-                ids, first = _numbers(b, vocab)
+                ids, first, _ = _numbers(b, vocab)
                 words += len(ids)
                 h = tk.mix(np.arange(len(ids), dtype=np.uint64) * np.uint64(2 * ROUNDS + 1) + np.uint64(turn))
                 at = np.flatnonzero(h % np.uint64(MASK) == 0)
@@ -210,29 +216,56 @@ def train(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int =
     return Network(flat)
 
 
+def _shared(ids: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of each text, the distinct words of shared numbers and how often they come."""
+    at = np.flatnonzero(ids >= OWN)
+    doc, word = np.searchsorted(first, at, "right") - 1, h[at]
+    order = np.lexsort((word, doc))
+    doc, word = doc[order], word[order]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])] if len(at) else np.zeros(0, bool))
+    offs = pa.array(np.searchsorted(doc[new], np.arange(len(first))), pa.int32())
+    return tuple(pa.ListArray.from_arrays(offs, pa.array(x)) for x in (word[new].view(np.int64), np.diff(np.append(new, len(at))).astype(np.int64)))
+
+
+_PARTS = "row long, doc_id long, n_words long, known double, word array<long>, times array<long>"
+
+
 def _score(vocab: Vocabulary, flat: np.ndarray):
     def run(it):
         net = Network(flat)
+        row = TaskContext.get().partitionId() << 40
         for batch in it:
             for b in tk.pieces(batch, "text", 4 << 20):
-                ids, first = _numbers(b, vocab)
+                ids, first, h = _numbers(b, vocab)
                 logp = np.empty(len(ids))
                 for k in range(0, len(ids), 8 * BATCH):
                     at = np.arange(k, min(k + 8 * BATCH, len(ids)))
                     logp[at] = net.log_probs(contexts(ids, first, at), ids[at])
-                logp += vocab.log_share[ids]
+                logp -= vocab.log_total[ids]
                 sums = np.concatenate([[0.0], np.cumsum(logp)])
                 n = np.diff(first)
                 total = np.where(n > 0, sums[first[1:]] - sums[first[:-1]], 0.0)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
+                rows = pa.array(np.arange(row, row + len(n), dtype=np.int64))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([rows, b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(total), *_shared(ids, first, h)], [c.split()[0] for c in _PARTS.split(", ")])
 
     return run
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for each row: the summed log probability of every word given both sides."""
+def score(docs: DataFrame, vocab: Vocabulary, counted: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for each row: the summed log probability of every word given both sides.
+
+    The log probability of a word of a shared number is that of the number, less the log of the number's count (both
+    from the network's pass), plus the log of the word's own count, which comes by a join. Words that ``counted``
+    lacks count as one. No text is shuffled.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_score(vocab, net.flat()), "doc_id long, n_words long, log_likelihood double")
+    made = written(rows.mapInArrow(_score(vocab, net.flat()), _PARTS), "scores")
+    each = made.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
+    # The log of a count of one is 0. No word here is one of the OWN most frequent, so no key is hot.
+    own = each.join(counted.where("n > 1"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("own"))
+    out = made.drop("word", "times").join(own, "row", "left")
+    out = out.select("doc_id", "n_words", (F.col("known") + F.coalesce("own", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
 
 
@@ -243,8 +276,8 @@ def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     come. An empty table gives an empty result. Other columns are ignored.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocab = vocabulary(docs)
-    return score(docs, vocab, train(docs, vocab))
+    vocab, counted = vocabulary(docs)
+    return score(docs, vocab, counted, train(docs, vocab))
 
 
 ORACLE: dict[str, str] = {}

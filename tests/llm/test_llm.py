@@ -497,6 +497,38 @@ def test_op9_whole_table(spark, small):
         assert got[d].n_words == n and (got[d].log_likelihood < 0 if n else got[d].log_likelihood == 0 and got[d].mean_log_likelihood is None)
 
 
+def word_hash(w):
+    return tk.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))
+
+
+def test_op9_words_of_one_shared_number_have_their_own_share(spark):
+    """A text's score is that of its words' numbers and, for shared numbers, of the words' counts in the corpus."""
+    seldom = "seldom"
+    often = next(w for i in range(100_000) if int((word_hash(w := f"often{i}") ^ word_hash(seldom))[0]) % masked_lm.SHARED == 0)
+    head = " ".join(w for w in (f"top{i}" for i in range(masked_lm.OWN)) for _ in range(60))
+    rows = [(1, head), (2, f"{often} " * 50), (3, seldom), (4, often), (5, None), (6, f"{seldom} top3 {often} {often}"), (7, seldom), (7, seldom), (None, seldom)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab, counted = masked_lm.vocabulary(docs)
+    n = {often: 53, seldom: 5}
+    assert {r.word: r.n for r in counted.collect() if r.n < 60} == {int(word_hash(w).view(np.int64)[0]): k for w, k in n.items()}
+    net = tiny_network()
+    got = [(r.doc_id, r.n_words, r.log_likelihood) for r in masked_lm.score(docs, vocab, counted, net).collect()]
+    assert len(got) == len(rows)
+
+    def want(text):
+        words = (text or "").split()
+        if not words:
+            return 0.0
+        ids = np.concatenate([vocab.numbers(word_hash(w)) for w in words])
+        logp = net.log_probs(masked_lm.contexts(ids, np.array([0, len(ids)]), np.arange(len(ids))), ids)
+        return logp.sum() + sum(math.log(n[w] / 58) for w in words if w in n)
+
+    for d, t in rows:
+        assert sum(g[0] == d and g[1] == len((t or "").split()) and math.isclose(g[2], want(t), rel_tol=1e-3) for g in got) == (2 if d == 7 else 1)
+    by = {g[0]: g[2] for g in got}
+    assert math.isclose(by[4] - by[3], math.log(53 / 5), rel_tol=1e-3)
+
+
 def brute_top(vectors, queries, k):
     out = set()
     for q, v in queries:
