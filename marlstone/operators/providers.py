@@ -17,14 +17,18 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Token counts hashed into ``dims`` places and scaled to unit length. Deterministic; its quality is not that of a trained model."""
+    """Token counts hashed into ``dims`` places and scaled to unit length. Deterministic; its quality is not that of a trained model.
 
-    def __init__(self, dims: int = 64, longest: int = 2048):
+    Whole texts are read. ``longest`` cuts them to so many characters, as a service with such a limit would.
+    """
+
+    def __init__(self, dims: int = 64, longest: int | None = None):
         self.dims, self.longest = dims, longest
 
     def embed(self, texts: Column) -> Column:
         """Tokens are hashed by Spark; one Arrow function counts a batch's places."""
         dims = self.dims
+        read = texts if self.longest is None else F.substring(texts, 1, self.longest)
 
         @F.pandas_udf("array<float>")
         def unit(cells: pd.Series) -> pd.Series:
@@ -35,7 +39,7 @@ class HashingEmbedder:
 
             return cells.map(one)
 
-        return unit(F.transform(T.tokens(F.substring(texts, 1, self.longest)), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")))
+        return unit(F.transform(T.tokens(read), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int")))
 
 
 class Generator(Protocol):

@@ -225,6 +225,15 @@ def test_S21_embedder(spark):
     assert v[0].v == v[2].v and sum(x * x for x in v[0].v) == pytest.approx(1) and set(v[1].v) == {0.0}
 
 
+def test_S21_embedder_reads_whole_texts(spark):
+    head = "word " * 500
+    df = spark.createDataFrame([(head + "alpha",), (head + "beta beta",)], "t string")
+    a, b = (r.v for r in df.select(providers.HashingEmbedder().embed(F.col("t")).alias("v")).collect())
+    assert a != b
+    a, b = (r.v for r in df.select(providers.HashingEmbedder(longest=2048).embed(F.col("t")).alias("v")).collect())
+    assert a == b
+
+
 def test_entry_imports_without_llm(tmp_path):
     """The training-data package may be absent."""
     import os
