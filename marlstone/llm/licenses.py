@@ -9,6 +9,8 @@ the template's words are matched in order, and where.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ GRAM, WINDOW, BAND = 3, 2, 8
 #: Least share of a template's words for a report.
 COVERAGE = 0.8
 
-# Names and texts of the templates (short notices in common use).
+# Names and texts of the templates (whole licence texts, headers for files and short notices in common use).
 TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
@@ -29,25 +31,82 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        "documentation files, to deal in the Software without restriction, including without limitation the rights to use, "
-        "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
+        "copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+        "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION "
+        "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE"
     ),
     "isc": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies."
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE "
+        'IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE"
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+        '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+        "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+        "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+        "THE POSSIBILITY OF SUCH DAMAGE"
     ),
     "bsd-3-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met"
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        'written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS '
+        "OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR "
+        "A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+        "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+        "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
     ),
     "apache-2.0-header": (
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License"
     ),
     "gpl-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation"
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+        "General Public License for more details"
     ),
 }
+#: Notices that differ from others by one word; only whole ones are looked for.
+NOTICES = {
+    "bsd-notice": "Released under the BSD License.",
+    **{f"cc-{x.lower()}-4.0-notice": f"Licensed under CC {x.upper()} 4.0." for x in ("by", "by-sa", "by-nd", "by-nc-sa", "by-nc-nd")},
+}
+#: Templates of fewer words are notices, which the query wants whole: their one telling word may be the one that differs.
+NOTICE = 20
+
+
+def long_texts() -> dict[str, str]:
+    """The long licences, by file name, read on the driver."""
+    return {p.stem: p.read_text() for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -128,19 +187,40 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple
     return int(best[k]), int(first[k]), int(last[k]) + 1
 
 
-def find(h: np.ndarray, index: Index, coverage: float, band: int) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first word, last word + 1) of each occurrence in a document; occurrences of one template do not overlap."""
+def most(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> int:
+    """At least what ``align`` can match: the template's words that stand anywhere within the band."""
+    i = np.arange(len(template))
+    found = np.zeros(len(template), bool)
+    for k in range(-band, band + 1):
+        a, b = max(0, -shift - k), min(len(template), len(doc) - shift - k)
+        if a < b:
+            found[a:b] |= template[i[a:b]] == doc[a + shift + k : b + shift + k]
+    return int(found.sum())
+
+
+def find(h: np.ndarray, index: Index, coverage: float, band: int, notice: float | None = None) -> list[tuple[int, int, int, int]]:
+    """(template, matched words, first word, last word + 1) of each occurrence in a document; occurrences of one template do not overlap.
+
+    With ``notice``, templates below NOTICE words need that coverage and stand without other words between.
+    """
     t, d, p = index.hits(*winnow(h))
     out = []
     for template in np.unique(t):
         own = t == template
-        size = len(index.words[template])
+        words = index.words[template]
+        size = len(words)
+        near = min(band, max(2, size // 4))
+        strict = notice is not None and size < NOTICE
+        least = (notice if strict else coverage) * size
         taken = -1
-        for shift in np.unique((d - p)[own]).tolist():
-            if shift + size <= taken:
+        shifts = np.unique((d - p)[own])
+        # No more words can match than the document has around the diagonal.
+        room = np.minimum(len(h), shifts + size + near) - np.maximum(0, shifts - near)
+        for shift in shifts[room >= least].tolist():
+            if shift + size <= taken or most(h, words, shift, near) < least:
                 continue
-            n, a, b = align(h, index.words[template], shift, min(band, max(2, size // 4)))
-            if n >= coverage * size and a >= taken:
+            n, a, b = align(h, words, shift, near)
+            if n >= least and a >= taken and not (strict and b - a > size):
                 out.append((int(template), n, a, b))
                 taken = b
     return out
@@ -149,7 +229,7 @@ def find(h: np.ndarray, index: Index, coverage: float, band: int) -> list[tuple[
 SCANNED = "doc_id long, license string, matched_words int, template_words int, coverage double, start long, end long"
 
 
-def _scan(templates: dict[str, str], coverage: float, band: int):
+def _scan(templates: dict[str, str], coverage: float, band: int, notice: float | None):
     def run(it):
         index = Index(templates)
         for batch in it:
@@ -159,7 +239,7 @@ def _scan(templates: dict[str, str], coverage: float, band: int):
                 doc, rows = b.column("doc_id").to_pylist(), []
                 for i in range(len(doc)):
                     w = h[first[i] : first[i + 1]]
-                    for t, n, x, y in find(w, index, coverage, band):
+                    for t, n, x, y in find(w, index, coverage, band, notice):
                         lo, hi = int(s[first[i] + x] - offs[i]), int(e[first[i] + y - 1] - offs[i])
                         head = data[offs[i] : offs[i] + hi]
                         chars = np.concatenate([[0], np.cumsum((head & 0xC0) != 0x80)])
@@ -172,19 +252,20 @@ def _scan(templates: dict[str, str], coverage: float, band: int):
     return run
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: float = COVERAGE, band: int = BAND, notice: float | None = None) -> DataFrame:
     """A row per occurrence of a template: share of its words matched, and the span in characters of the text.
 
     Case and punctuation do not count. Whole texts are read; documents are independent of each other, so nothing
     is shuffled. Null and empty texts have no occurrence. Rows that repeat are scanned as often as they come, rows
-    without a doc_id not at all. Templates below GRAM words cannot be found. Other columns are ignored.
+    without a doc_id not at all. Templates below GRAM words cannot be found. Templates below NOTICE words
+    need ``coverage`` like others, or ``notice`` and no other word between where that is given. Other columns are ignored.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_scan(templates or TEMPLATES, coverage, band), SCANNED)
+    return rows.mapInArrow(_scan(templates or TEMPLATES | long_texts(), coverage, band, notice), SCANNED)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), templates=TEMPLATES | NOTICES | long_texts(), notice=1.0)
 
 
 ORACLE: dict[str, str] = {}

@@ -433,6 +433,25 @@ def test_op2_finds_planted_templates(spark):
     assert rows[2][1][found[3][0].start : found[3][0].end] == mit and found[4][0].matched_words == found[4][0].template_words - 2
 
 
+def test_op2_query_finds_whole_licenses_and_tells_notices_apart(spark, tmp_path):
+    whole = licenses.TEMPLATES | licenses.long_texts()
+    names = ["mit", "isc", "bsd-2-clause", "bsd-3-clause", "apache-2.0-header", "gpl-2", "gpl-3", "mpl-2.0", "apache-2.0"]
+    rows = [(k, "before " + whole[n] + "\nafter", "en", "a", 1) for k, n in enumerate(names)]
+    notices = {"Licensed under CC BY-SA 4.0.": ["cc-by-sa-4.0-notice"], "Licensed under CC BY 4.0": ["cc-by-4.0-notice"], "Licensed under CC BY-NC 4.0": ["cc-by-nc-4.0-notice"], "Released under the BSD License.": ["bsd-notice"], "Released under the Foo License.": []}
+    rows += [(100 + k, t, "en", "a", 1) for k, t in enumerate(notices)] + [(200, whole["mit"][:250], "en", "a", 1)]
+    got = defaultdict(dict)
+    for r in licenses.op2_license_scan(spark, save(tmp_path, rows)).collect():
+        got[r.doc_id][r.license] = r
+    for k, n in enumerate(names):
+        one = got[k][n]
+        text = rows[k][1]
+        assert one.coverage == 1.0 and text[: one.start].strip().startswith("before") and len(text) - one.end < 60
+    assert set(got[2]) == {"bsd-2-clause"} and set(got[3]) == {"bsd-3-clause"}
+    for k, want in enumerate(notices.values()):
+        assert sorted(got[100 + k]) == want
+    assert not got[200]
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
