@@ -168,7 +168,7 @@ class Index:
 
 
 def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Most words matched in order within ``band`` of the diagonal doc = template + shift; with (first, last + 1) matched places of the document."""
+    """Most words matched in order within ``band`` of the diagonal doc = template + shift; with (first, last + 1) matched places of the document. Of equal matches the one that starts last counts."""
     width = 2 * band + 1
     best = np.zeros(width + 2, np.int64)  # one cell of margin on either side
     first = np.full(width + 2, -1, np.int64)
@@ -179,11 +179,13 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple
             j = i + shift + c - 1 - band
             # A template word left out moves one cell to the right in the row before; a document word left out is the cell to the left.
             top, left = best[c + 1], nb[c - 1]
-            nb[c], nf[c], nl[c] = (top, first[c + 1], last[c + 1]) if top >= left else (left, nf[c - 1], nl[c - 1])
-            if 0 <= j < len(doc) and doc[j] == w and best[c] + 1 > nb[c]:
-                nb[c], nf[c], nl[c] = best[c] + 1, first[c] if best[c] else j, j
+            nb[c], nf[c], nl[c] = (top, first[c + 1], last[c + 1]) if (top, first[c + 1]) >= (left, nf[c - 1]) else (left, nf[c - 1], nl[c - 1])
+            if 0 <= j < len(doc) and doc[j] == w:
+                start = first[c] if best[c] else j
+                if (best[c] + 1, start) > (nb[c], nf[c]):
+                    nb[c], nf[c], nl[c] = best[c] + 1, start, j
         best, first, last = nb, nf, nl
-    k = int(best.argmax())
+    k = max(range(len(best)), key=lambda c: (best[c], first[c], -last[c]))
     return int(best[k]), int(first[k]), int(last[k]) + 1
 
 
@@ -212,17 +214,19 @@ def find(h: np.ndarray, index: Index, coverage: float, band: int, notice: float
         near = min(band, max(2, size // 4))
         strict = notice is not None and size < NOTICE
         least = (notice if strict else coverage) * size
-        taken = -1
+        taken = 0
         shifts = np.unique((d - p)[own])
         # No more words can match than the document has around the diagonal.
         room = np.minimum(len(h), shifts + size + near) - np.maximum(0, shifts - near)
         for shift in shifts[room >= least].tolist():
-            if shift + size <= taken or most(h, words, shift, near) < least:
+            # What the last occurrence holds is not matched again.
+            rest = h[taken:]
+            if most(rest, words, shift - taken, near) < least:
                 continue
-            n, a, b = align(h, words, shift, near)
-            if n >= least and a >= taken and not (strict and b - a > size):
-                out.append((int(template), n, a, b))
-                taken = b
+            n, a, b = align(rest, words, shift - taken, near)
+            if n >= least and not (strict and b - a > size):
+                out.append((int(template), n, taken + a, taken + b))
+                taken += b
     return out
 
 

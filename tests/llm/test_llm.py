@@ -452,6 +452,19 @@ def test_op2_query_finds_whole_licenses_and_tells_notices_apart(spark, tmp_path)
     assert not got[200]
 
 
+def test_op2_occurrences_back_to_back_and_starts():
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    index = licenses.Index({"isc": isc})
+
+    def spans(text):
+        h = licenses.words(*tk.buffers(pa.array([text])))[0]
+        return [(n, a, b) for _, n, a, b in licenses.find(h, index, 0.8, 8)]
+
+    n = len(index.words[0])
+    assert spans(f"{isc} {isc} {isc}") == [(n, 0, n), (n, n, 2 * n), (n, 2 * n, 3 * n)]
+    assert spans(f"permission given {isc}") == [(n, 2, n + 2)]
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
