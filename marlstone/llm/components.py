@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -26,19 +26,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none: then the links are the components."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("v"), F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node reachable.
 
-    Each step is a table in the shared folder, and only its row count and checksum reach the driver.
+    Each step is a table in the shared folder; the driver only learns whether one is left to do.
     Minima are taken before the shuffle, so a node with many links costs a row per task.
     """
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, seen = written(edges, "edges"), None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(state) or not state[0]:
-            break
-        seen = tuple(state)
-        edges = written(_small_star(_large_star(edges)), "edges")
+    edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while not _is_forest(edges):
+        edges, old = written(_small_star(_large_star(edges)), "edges"), edges
+        release(old)
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -2,45 +2,47 @@
 
 A document's set of word shingles has SYMBOLS minimum hashes, each cut to BITS bits. The
 signature is split into chunks of CHUNK symbols. By pigeonhole two signatures that differ in
-at most ``chunks * (ERRORS + 1) - 1`` symbols have a chunk with at most ERRORS = 1 errors, so
+at most NEAR = chunks * (ERRORS + 1) - 1 symbols have a chunk with at most ERRORS = 1 errors, so
 each chunk is indexed once for every place that may be wrong, under its other symbols: all
-pairs under the threshold meet in a bucket. A pair at Jaccard similarity 0.8 misses every
-bucket with probability 1e-7. Links are confirmed on the full sets.
-
-A bucket is never expanded into pairs. First every document is compared with one hub, the
-smallest document of the bucket that it shares most often, which joins many groups. Only
-buckets that still hold several components go on: there the documents outside the bucket's
-largest component are compared, by signature and in blocks, with the documents of other
-components. In NEAREST rounds each such document asks in one of its buckets and only its nearest
-partner goes to the full sets, which absorbs nearly all of a large group; the last round takes every pair that is left under
-the threshold, each once, from the first bucket that both documents share.
+pairs under the threshold NEAR meet in a bucket, and no pair above it is followed.
+
+Pairs are never written. A task holds a bucket, or a block of a large one, and returns a spanning
+forest of the pairs under the threshold: fewer links than it has documents. The connected
+components of these links are clusters, which hold every candidate pair inside them. Full sets
+then travel once, to their cluster, where pairs under the threshold are compared on the sets, and
+again a spanning forest comes back; its components are the result.
+
+Groups of more than BLOCK documents (or BLOCK_SHINGLES shingles) are cut into blocks. After the
+blocks have been searched on their own, the documents nearest to a block's most frequent symbols
+(which an original is to its copies) are compared with all blocks of the group. What is still
+outside the group's largest component then meets every block, so that no pair is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .common import filter_words, maybe_in, release, spread, table, written
 from .components import components
 
-SYMBOLS, BITS, CHUNK, ERRORS = 60, 16, 5, 1
-#: Differing symbols up to which a pair is confirmed on the full sets; 0.8 has 12 on average, more than 30 with probability 1e-7.
-NEAR = 30
-#: Documents of a block, and shingles compared with one copy of a hub's set.
-BLOCK = 256
-SLOT_SHINGLES = 50_000
-NEAREST = 3
+SYMBOLS, BITS, CHUNK, ERRORS = 100, 16, 5, 1
+#: Differing symbols up to which pairs are followed, all of them. A pair at similarity 0.8 has 20 on average, more than 39 with probability 4e-6.
+NEAR = SYMBOLS // CHUNK * (ERRORS + 1) - 1
+#: Documents and shingles of a block, and central documents of a large group that meet all its blocks.
+BLOCK, BLOCK_SHINGLES, HUBS = 1024, 2_000_000, 4
 _RNG = np.random.default_rng(41)
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after the other, and where each text's begin (one more at the end)."""
     s, e, first = tk.words(data, offs)
     h = tk.span_hashes(data, s, e)
@@ -82,16 +84,20 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fingerprints(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets, where they begin, their sizes and two 64-bit sums over each, which identify it."""
+    sets, at = shingle_sets(data, offs, width)
+    zero = np.zeros(1, np.uint64)
+    sums = [np.concatenate([zero, np.cumsum(x, dtype=np.uint64)]) for x in (sets, tk.mix(sets ^ _NEXT))]
+    h1, h2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
+    return sets, at, np.diff(at), h1, h2
+
+
 def _set_rows(with_sets: bool, width: int):
     def run(it):
         for batch in it:
             for b in tk.pieces(batch, "text"):
-                data, offs = tk.buffers(b.column("text"))
-                sets, at = shingle_sets(data, offs, width)
-                n = np.diff(at)
-                zero = np.zeros(1, np.uint64)
-                sums = [np.concatenate([zero, np.cumsum(x, dtype=np.uint64)]) for x in (sets, tk.mix(sets ^ _NEXT))]
-                h1, h2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
+                sets, at, n, h1, h2 = _fingerprints(*tk.buffers(b.column("text")), width)
                 if with_sets:
                     raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at * 8), pa.py_buffer(sets)])
                 else:
@@ -105,200 +111,248 @@ def _set_rows(with_sets: bool, width: int):
 SETS = "doc_id long, n long, h1 long, h2 long, raw binary"
 
 
+def with_fingerprint(docs: DataFrame, names: tuple[str, str, str], text: str = "text", width: int = 5) -> DataFrame:
+    """``docs`` with the size and the two sums of each text's set, under the given names."""
+
+    def run(it):
+        for batch in it:
+            for b in tk.pieces(batch, text):
+                n, h1, h2 = _fingerprints(*tk.buffers(b.column(text)), width)[2:]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(h1), pa.array(h2)], [*b.schema.names, *names])
+
+    schema = docs.schema
+    for name in names:
+        schema = schema.add(name, "long")
+    return docs.mapInArrow(run, schema)
+
+
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """(rep, n, place, key): each chunk under its symbols but one, for every place that may be wrong."""
+    """(node, key): each chunk under its symbols but one, for every place that may be wrong."""
     size = BITS // 8
     keys = []
     for c in range(SYMBOLS // CHUNK):
         for j in range(CHUNK):
             at = c * CHUNK * size + 1
-            left, right = F.substring("raw", at, j * size), F.substring("raw", at + (j + 1) * size, (CHUNK - 1 - j) * size)
+            left, right = F.substring("sig", at, j * size), F.substring("sig", at + (j + 1) * size, (CHUNK - 1 - j) * size)
             keys.append(F.xxhash64(F.lit(c * CHUNK + j), left, right))
-    return reps.select("rep", "n", F.posexplode(F.array(*keys)).alias("place", "key"))
-
-
-def _confirm(threshold: int):
-    def run(key, rows):
-        hub, ids = key[0].as_py(), rows.column("doc_id").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in rows.column("raw").chunks for x in chunk]
-        own = sets[ids.index(hub)]
-        found = []
-        for d, u in zip(ids, sets):
-            if d != hub:
-                short, long = (u, own) if len(u) <= len(own) else (own, u)
-                place = np.searchsorted(long, short)
-                both = int((long[np.minimum(place, len(long) - 1)] == short).sum())
-                if 100 * both >= threshold * (len(u) + len(own) - both):
-                    found.append(d)
-        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array([hub] * len(found), pa.int64())})
-
-    return run
+    return reps.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, threshold: int, width: int) -> DataFrame:
-    """Of pairs (a, b, n) those with Jaccard similarity of at least threshold / 100 on the full sets.
+def forest(count: int, fits: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(root, member) numbers of the components of a graph; ``fits(i, others)`` tells which others i is linked with.
 
-    Only texts that stand in a pair are read into sets. A hub b and its partners are dealt into slots of about
-    SLOT_SHINGLES shingles, each with a copy of the hub's set.
+    Each document is compared only with those that no component has yet, so a group that hangs together costs few comparisons.
     """
-    loads = pairs.groupBy("b").agg(F.ceil(F.sum("n") / SLOT_SHINGLES).cast("int").alias("slots"))
-    partner = pairs.join(loads, "b").select(F.col("a").alias("doc_id"), "b", spread(F.col("a"), F.col("slots")).alias("slot"))
-    hub = loads.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    need = partner.unionByName(hub).join(reps.select(F.col("rep").alias("doc_id"), "n", "h1", "h2"), "doc_id")
-    need = written(need, "need")
-    texts = maybe_in(docs, "doc_id", filter_words(need, "doc_id"))
-    sets = texts.mapInArrow(_set_rows(True, width), SETS)
-    rows = sets.dropDuplicates(["doc_id", "n", "h1", "h2"]).join(need, ["doc_id", "n", "h1", "h2"])
-    return rows.select("b", "slot", "doc_id", "raw").groupBy("b", "slot").applyInArrow(_confirm(threshold), "a long, b long")
-
-
-def _first_shared(differ: np.ndarray) -> np.ndarray:
-    """The first place of ``_keys`` under which two signatures meet, from (..., SYMBOLS) of differing symbols; -1 if none."""
-    chunks = differ.reshape(*differ.shape[:-1], SYMBOLS // CHUNK, CHUNK)
-    meets = chunks.sum(-1) <= ERRORS
-    c = meets.argmax(-1)
-    wrong = np.take_along_axis(chunks, c[..., None, None], -2)[..., 0, :].argmax(-1)
-    return np.where(meets.any(-1), c * CHUNK + wrong, -1)
-
-
-def _near(ratio: int, nearest: bool):
-    def pairs(rows: pa.Table):
-        """Pairs of one bucket's block: rows that ask against rows that stand there, of other components."""
-        ask = np.asarray(rows.column("asks"), dtype=bool)
-        rep, comp, n = (np.asarray(rows.column(c)) for c in ("rep", "component", "n"))
-        place = rows.column("place")[0].as_py()
-        sig = np.frombuffer(b"".join(x.as_buffer() for chunk in rows.column("raw").chunks for x in chunk), "<u2").reshape(-1, SYMBOLS)
-        p, q = np.flatnonzero(ask), np.flatnonzero(~ask)
-        if not len(p) or not len(q):
-            return
-        for lo in range(0, len(p), BLOCK):
-            i = p[lo : lo + BLOCK]
-            differ = sig[i][:, None, :] != sig[q][None, :, :]
-            off = differ.sum(2)
-            fits = (off <= NEAR) & (comp[i][:, None] != comp[q][None, :])
-            fits &= 100 * np.minimum(n[i][:, None], n[q][None, :]) >= ratio * np.maximum(n[i][:, None], n[q][None, :])
-            if nearest:
-                y = np.where(fits, off, SYMBOLS + 1).argmin(1)
-                x = np.flatnonzero(fits[np.arange(len(i)), y])
-                y = y[x]
-            else:
-                x, y = np.nonzero(fits)
-                own = _first_shared(differ[x, y]) == place
-                x, y = x[own], y[own]
-            yield rep[i[x]], rep[q[y]], n[i[x]], off[x, y]
+    left, roots, members = np.arange(count), [], []
+    while len(left) > 1:
+        root, left = int(left[0]), left[1:]
+        queue = [root]
+        while queue and len(left):
+            near = fits(queue.pop(), left)
+            if near.any():
+                got = left[near]
+                left = left[~near]
+                queue += got.tolist()
+                roots += [root] * len(got)
+                members += got.tolist()
+    return np.array(roots, np.int64), np.array(members, np.int64)
+
+
+def _tester(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, asks: np.ndarray | None, raw: list | None, threshold: int):
+    """Tells what a document of a task is linked with: what is in its component already; what is under the signature threshold and, with sets, similar enough."""
+    if raw is not None:
+        values = np.concatenate(raw) if raw else np.zeros(0, np.uint64)
+        at = np.r_[0, np.cumsum(n)]
+        ids = np.unique(values, return_inverse=True)[1]
+        mark = np.zeros(int(ids.max(initial=-1)) + 1, np.uint8)
+
+    def fits(i: int, left: np.ndarray) -> np.ndarray:
+        ok = comp[left] == comp[i]
+        may = ~ok & (100 * np.minimum(n[left], n[i]) >= threshold * np.maximum(n[left], n[i]))
+        if asks is not None:
+            may &= asks[left] != asks[i]
+        c = np.flatnonzero(may)
+        c = c[(sig[left[c]] != sig[i]).sum(1) <= NEAR]
+        if raw is not None and len(c):
+            d = left[c]
+            own = ids[at[i] : at[i + 1]]
+            mark[own] = 1
+            ends = np.cumsum(n[d])
+            place = np.repeat(at[d] - (ends - n[d]), n[d]) + np.arange(int(ends[-1]))
+            both = np.add.reduceat(mark[ids[place]], ends - n[d], dtype=np.int64)
+            mark[own] = 0
+            c = c[100 * both >= threshold * (n[d] + n[i] - both)]
+        ok[c] = True
+        return ok
+
+    return fits
+
+
+def _central(sig: np.ndarray) -> tuple[int, int]:
+    """The document that differs least from the most frequent symbols of all, and in how many."""
+    most = np.empty(sig.shape[1], sig.dtype)
+    for j in range(sig.shape[1]):
+        values, times = np.unique(sig[:, j], return_counts=True)
+        most[j] = values[times.argmax()]
+    off = (sig != most).sum(1)
+    return int(off.argmin()), int(off.min())
+
+
+FOUND = "a long, b long, off long"
+
+
+def _tasks(threshold: int, exact: bool, cross: bool):
+    """Over rows sorted by (group, part): links (a, b) of a spanning forest of each part; for parts of large groups also (central document, group, off)."""
+
+    def links(t: pa.Table):
+        group, part, node, n, comp, blocks = (np.asarray(t.column(c)) for c in ("group", "part", "node", "n", "component", "blocks"))
+        asks = np.asarray(t.column("asks"), dtype=bool) if cross else None
+        sig = np.frombuffer(b"".join(x.as_buffer() for x in t.column("sig").combine_chunks()), "<u2").reshape(-1, SYMBOLS)
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("raw").combine_chunks()] if exact else None
+        cut = np.flatnonzero((group[1:] != group[:-1]) | (part[1:] != part[:-1])) + 1
+        lows, highs = np.r_[0, cut], np.r_[cut, len(group)]
+        a, b, off = [], [], []
+        if not exact and not cross:  # most buckets hold two documents: these are compared all at once
+            two = lows[(highs - lows == 2) & (blocks[lows] == 1)]
+            fit = ((sig[two] != sig[two + 1]).sum(1) <= NEAR) & (100 * np.minimum(n[two], n[two + 1]) >= threshold * np.maximum(n[two], n[two + 1]))
+            a, b = [node[two[fit]]], [node[two[fit] + 1]]
+            off = [np.full(int(fit.sum()), -1)]
+        for lo, hi in zip(lows.tolist(), highs.tolist()):
+            if hi - lo > 2 or exact or cross or blocks[lo] > 1:
+                if hi - lo > 1:
+                    s = slice(lo, hi)
+                    r, m = forest(hi - lo, _tester(sig[s], n[s], comp[s], None if asks is None else asks[s], raw[s] if exact else None, threshold))
+                    known = comp[lo + r] == comp[lo + m]
+                    r, m = r[~known], m[~known]
+                    a.append(node[lo + r])
+                    b.append(node[lo + m])
+                    off.append(np.full(len(r), -1))
+                if blocks[lo] > 1 and not cross:
+                    k, least = _central(sig[lo:hi])
+                    a.append(node[[lo + k]])
+                    b.append(group[[lo]])
+                    off.append(np.array([least]))
+        if a and (a := np.concatenate(a)).size:
+            rows = np.unique(np.stack([a, np.concatenate(b), np.concatenate(off)], 1), axis=0)
+            yield from pa.table({"a": rows[:, 0], "b": rows[:, 1], "off": rows[:, 2]}).to_batches()
 
     def run(it):
         held: list[pa.RecordBatch] = []
-
-        def out(t: pa.Table):
-            key = np.asarray(t.column("key")), np.asarray(t.column("block"))
-            cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
-            got = [g for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(key[0])]) for g in pairs(t.slice(lo, hi - lo))]
-            if got:
-                a, b, n, off = (np.concatenate(x) for x in zip(*got))
-                yield from pa.table({"a": a, "b": b, "n": n, "off": off.astype(np.int64)}).to_batches()
-
-        for batch in it:  # rows come sorted by bucket and block; what may go on in the next batch is held back
+        for batch in it:  # what may go on in the next batch is held back
             if not batch.num_rows:
                 continue
             held.append(batch)
-            t = pa.Table.from_batches(held).combine_chunks()
-            key, block = np.asarray(t.column("key")), np.asarray(t.column("block"))
-            same = (key == key[-1]) & (block == block[-1])
-            k = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if k:
-                yield from out(t.slice(0, k))
+            ends = [(int(np.asarray(x.column(c))[k])) for x, k in ((held[0], 0), (batch, -1)) for c in ("group", "part")]
+            if ends[:2] == ends[2:]:
+                continue
+            t = pa.Table.from_batches(held)
+            same = (np.asarray(t.column("group")) == ends[2]) & (np.asarray(t.column("part")) == ends[3])
+            k = int(same.argmax())
+            yield from links(t.slice(0, k))
             held = t.slice(k).to_batches()
         if held:
-            yield from out(pa.Table.from_batches(held).combine_chunks())
+            yield from links(pa.Table.from_batches(held))
 
     return run
 
 
-def _mixed(members: DataFrame, named: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several components, with their component and the bucket's largest one."""
-    placed = members.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = written(placed.select("key", "place", "rep", "n", "size", "component"), "placed")
-    each = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = each.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("l")).where("k > 1").select("key", F.col("l.component").alias("largest"))
-    held = written(placed.join(mixed, "key"), "mixed")
-    release(placed)
-    return held
-
-
-def _pairs(held: DataFrame, reps: DataFrame, threshold: int, turn: int | None) -> DataFrame:
-    """Pairs (a, b, n) to confirm. With a turn each document outside its bucket's largest component asks in one bucket, the largest first, and has one partner; without, all pairs."""
-    asking = held.where(F.col("component") != F.col("largest"))
-    if turn is not None:
-        weight = F.col("size") if turn == 0 else F.xxhash64("key", F.lit(turn))
-        one = asking.groupBy("rep").agg(F.max(F.struct(weight.alias("w"), "key")).alias("m")).select("rep", F.col("m.key").alias("key"))
-        asking = asking.join(one, ["rep", "key"], "left_semi")
-        held = held.join(one.select("key").distinct(), "key", "left_semi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    stands = held.withColumn("asks", F.lit(False)).withColumn("block", spread(F.col("rep"), blocks))
-    asks = asking.withColumn("asks", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    block = stands.unionByName(asks).join(reps.select("rep", "raw"), "rep").select("key", "block", "place", "asks", "rep", "n", "component", "raw")
-    block = block.repartition("key", "block").sortWithinPartitions("key", "block")
-    found = block.mapInArrow(_near(threshold, turn is not None), "a long, b long, n long, off long")
-    if turn is not None:
-        found = found.groupBy("a", "n").agg(F.min(F.struct("off", "b")).alias("best")).select("a", "best.b", "n")
-    else:  # two documents that both ask find each other twice
-        larger = F.max(F.when(F.col("a") > F.col("b"), F.col("n")))
-        found = found.groupBy(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).agg(F.coalesce(larger, F.max("n")).alias("n"))
-        found = found.select(F.col("hi").alias("a"), F.col("lo").alias("b"), "n")
-    return written(found, "near")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document.
+def _search(need: DataFrame, rows_of: Callable[[DataFrame], DataFrame], threshold: int, exact: bool, cross: bool) -> DataFrame:
+    """Links found in the tasks of ``need`` (group, blocks, part, node, component, asks)."""
+    dealt = rows_of(need).repartition("group", "part").sortWithinPartitions("group", "part")
+    return written(dealt.mapInArrow(_tasks(threshold, exact, cross), FOUND), "found")
+
+
+def linked(members: DataFrame, rows_of: Callable[[DataFrame], DataFrame], threshold: int, exact: bool) -> DataFrame:
+    """(node, component) of the graph within the groups of ``members`` (group, node, blocks); nodes without a link have no row.
+
+    ``rows_of`` adds to the rows of a task what it compares.
+    """
+    alone = members.withColumn("part", spread(F.col("node"), F.col("blocks"))).withColumn("asks", F.lit(False)).withColumn("component", F.col("node"))
+    found = _search(alone, rows_of, threshold, exact, False)
+    links = found.where("off < 0").select("a", "b").distinct()
+    named = components(links, "a", "b")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return named
+    large = written(large, "large")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(named.withColumnRenamed("node", "n_"), F.col("node") == F.col("n_"), "left").withColumn("component", F.coalesce("component", "node")).drop("n_")
+
+    central = found.where("off >= 0").select(F.col("a").alias("node"), F.col("b").alias("group"), "off")
+    rank = F.row_number().over(Window.partitionBy("group").orderBy("off", "node"))
+    central = central.withColumn("rank", rank).where(F.col("rank") <= HUBS).select("group", "node")
+    here = spread(F.col("node"), F.col("blocks"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    stands = large.withColumn("part", here).withColumn("asks", F.lit(False))
+    asks = large.join(central, ["group", "node"], "left_semi").withColumn("part", everywhere).withColumn("asks", F.lit(True))
+    more = _search(placed(stands.unionByName(asks)), rows_of, threshold, exact, True)
+    links = written(links.unionByName(more.select("a", "b")).distinct(), "links")
+    named = components(links, "a", "b")
+
+    rest = written(placed(large), "rest")
+    each = rest.groupBy("group", "component").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("group").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("l")).where("k > 1")
+    # What asks is dealt into turns of about a block, so that a task has two blocks at most.
+    mixed = mixed.select("group", F.col("l.component").alias("largest"), (1 - F.col("l.c") / F.col("m")).alias("share"))
+    rest = rest.join(mixed, "group").withColumn("turns", F.ceil(F.col("blocks") * F.col("share")).cast("long"))
+    turn = lambda c: F.col("place").cast("long") * F.col("turns") + c
+    stands = rest.withColumn("place", here).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).withColumn("part", turn(F.col("turn"))).withColumn("asks", F.lit(False))
+    asks = rest.where(F.col("component") != F.col("largest")).withColumn("turn", F.pmod(F.xxhash64("node", F.lit(1)), "turns")).withColumn("place", everywhere).withColumn("part", turn(F.col("turn"))).withColumn("asks", F.lit(True))
+    names = ["group", "node", "blocks", "component", "part", "asks"]
+    more = _search(stands.select(*names).unionByName(asks.select(*names)), rows_of, threshold, exact, True)
+    if more.isEmpty():
+        return named
+    return components(links.unionByName(more.select("a", "b")).distinct(), "a", "b")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, h1, h2) for each document.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; the set is that of the distinct
     shingles of ``width`` words, or the whole sequence if there are fewer. Documents are linked when
-    100 * intersection >= threshold * union; component_id is the smallest doc_id reachable. Null and
-    empty texts are linked with nothing. Rows that repeat both doc_id and set are one document; rows
-    without a doc_id are no documents. An empty table gives an empty result. Other columns are ignored.
+    100 * intersection >= threshold * union; component_id is the smallest doc_id reachable; h1 and h2 with
+    n_shingles identify the set. Null and empty texts are linked with nothing. Very long texts count whole.
+    Rows that repeat both doc_id and set are one document; rows that repeat a doc_id with other sets are
+    documents of their own. Rows without a doc_id are no documents. An empty table gives an empty result.
+    Other columns are ignored.
     """
     rows = _rows(docs, doc_id, text)
-    sets = written(rows.mapInArrow(_set_rows(False, width), SETS).dropDuplicates(["doc_id", "n", "h1", "h2"]), "sets")
+    sets = written(rows.mapInArrow(_set_rows(False, width), SETS), "sets")
     # Copies have one set: they are linked at once, and their smallest document stands for them.
-    reps = written(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("raw").alias("raw"), F.count("*").alias("copies")), "reps")
+    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("raw").alias("sig"), F.count("*").alias("copies"))
+    reps = written(classes.withColumn("node", F.monotonically_increasing_id()), "reps")
 
     keys = _keys(reps)
-    buckets = written(keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.min("place").alias("place"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = written(maybe_in(keys, "key", filter_words(buckets, "key")).drop("place").join(buckets, "key").select("key", "place", "rep", "n", "hub", "size"), "members")
+    buckets = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    met = maybe_in(keys, "key", filter_words(buckets, "key")).join(buckets, "key")
+    met = written(met.select(F.col("key").alias("group"), "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "members")
+    clusters = linked(met, lambda need: need.join(reps.select("node", "n", "sig"), "node"), threshold, False)
+    release(met)
 
-    fits = 100 * F.least("n", F.col("hub.n")) >= threshold * F.greatest("n", F.col("hub.n"))
-    shared = members.where((F.col("rep") != F.col("hub.rep")) & fits).groupBy("rep", "n", F.col("hub.rep").alias("b")).agg(F.count("*").alias("times"))
-    first = shared.groupBy("rep", "n").agg(F.max(F.struct("times", -F.col("b"))).alias("best")).select(F.col("rep").alias("a"), (-F.col("best.col2")).alias("b"), "n")
-    links = written(confirm(rows, first, reps, threshold, width), "links")
-    named = components(links, "a", "b")
+    held = written(clusters.join(reps, "node").select(F.col("component").alias("group"), "node", F.col("rep").alias("doc_id"), "n", "h1", "h2", "sig"), "held")
+    sizes = held.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    texts = maybe_in(rows, "doc_id", filter_words(held, "doc_id"))
+
+    def full(need: DataFrame) -> DataFrame:
+        return need.join(held.drop("group"), "node").join(texts.mapInArrow(_set_rows(True, width), SETS), ["doc_id", "n", "h1", "h2"]).drop("doc_id", "h1", "h2")
 
-    for turn in range(NEAREST + 1):
-        held = _mixed(members, named)
-        release(members)
-        members = held.drop("component", "largest")
-        members._written_to = held._written_to
-        pairs = _pairs(held, reps, threshold, turn if turn < NEAREST else None)
-        if not pairs.isEmpty():
-            links = written(links.unionByName(confirm(rows, pairs, reps, threshold, width)), "links")
-            named = components(links, "a", "b")
-        release(pairs)
+    named = linked(held.select("group", "node").join(sizes, "group"), full, threshold, True)
     # Only sets of several documents or with links have a row here; any other document is its own component.
-    final = reps.join(named.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or component is not null")
-    final = final.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    # A class of copies may hold any share of the rows: it is joined back in shares.
-    salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    out = sets.drop("raw").withColumn("salt", spread(F.col("doc_id"), 16)).join(salted, ["n", "h1", "h2", "salt"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    placed = reps.join(named, "node", "left").where("copies > 1 or component is not null").select("n", "h1", "h2", "rep", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    final = placed.join(least, "component").select("n", "h1", "h2", "component_id")
+    out = sets.select("doc_id", "n", "h1", "h2").distinct().join(final, ["n", "h1", "h2"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h1", "h2")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "h1", "h2")
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("h1", "h2")
 
 
 ORACLE = {
