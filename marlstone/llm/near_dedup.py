@@ -35,10 +35,11 @@ SYMBOLS, BITS, CHUNK, ERRORS = 100, 16, 5, 1
 #: Differing symbols up to which pairs are followed, all of them. A pair at similarity 0.8 has 20 on average, more than 39 with probability 4e-6.
 NEAR = SYMBOLS // CHUNK * (ERRORS + 1) - 1
 #: Documents and shingles of a block, and central documents of a large group that meet all its blocks.
-BLOCK, BLOCK_SHINGLES, HUBS = 1024, 2_000_000, 4
+BLOCK, BLOCK_SHINGLES, HUBS = 4096, 2_000_000, 4
 _RNG = np.random.default_rng(41)
 _A = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+_PLACE = _RNG.integers(0, 2**64, (SYMBOLS // CHUNK, CHUNK), dtype=np.uint64)
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,16 +131,24 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """(node, key): each chunk under its symbols but one, for every place that may be wrong."""
-    size = BITS // 8
-    keys = []
-    for c in range(SYMBOLS // CHUNK):
-        for j in range(CHUNK):
-            at = c * CHUNK * size + 1
-            left, right = F.substring("sig", at, j * size), F.substring("sig", at + (j + 1) * size, (CHUNK - 1 - j) * size)
-            keys.append(F.xxhash64(F.lit(c * CHUNK + j), left, right))
-    return reps.select("node", F.explode(F.array(*keys)).alias("key"))
+def chunk_keys(sig: np.ndarray) -> np.ndarray:
+    """A row of keys for each signature: every chunk under its symbols but one, which fill 64 bits, for every place that may be wrong."""
+    s = sig.astype(np.uint64).reshape(len(sig), SYMBOLS // CHUNK, CHUNK)
+    out = np.empty_like(s)
+    for j in range(CHUNK):
+        packed = np.zeros(s.shape[:2], np.uint64)
+        for k in range(CHUNK):
+            if k != j:
+                packed = (packed << np.uint64(BITS)) | s[:, :, k]
+        out[:, :, j] = tk.mix(packed ^ _PLACE[:, j])
+    return out.reshape(len(sig), SYMBOLS)
+
+
+def _key_rows(it):
+    for batch in it:
+        sig = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("sig")), "<u2").reshape(-1, SYMBOLS)
+        keys = chunk_keys(sig)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("node")), SYMBOLS)), pa.array(keys.ravel().view(np.int64))], ["node", "key"])
 
 
 def forest(count: int, fits: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +336,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("raw").alias("sig"), F.count("*").alias("copies"))
     reps = written(classes.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    keys = _keys(reps)
+    keys = reps.select("node", "sig").mapInArrow(_key_rows, "node long, key long")
     buckets = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     met = maybe_in(keys, "key", filter_words(buckets, "key")).join(buckets, "key")
     met = written(met.select(F.col("key").alias("group"), "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "members")
