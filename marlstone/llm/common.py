@@ -13,9 +13,11 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,8 +42,8 @@ def _clean() -> None:
     for spark, path in _MADE:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may already be gone
-            return
+        except Exception:  # noqa: BLE001  the session may already be gone; another one may not
+            continue
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -83,27 +85,35 @@ def filter_words(keys: DataFrame, key: str) -> DataFrame:
     )
 
 
+def fresh(n: int) -> list[str]:
+    """Column names that no table has."""
+    return [f"_{uuid.uuid4().hex}" for _ in range(n)]
+
+
+def _filtered(df: DataFrame, key: str, words: DataFrame, how: str) -> DataFrame:
+    h, w, word, bits = fresh(4)
+    left = df.withColumn(h, F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))).withColumn(w, F.shiftright(h, 6))
+    right = words.select(F.col("_word").alias(word), F.col("_bits").alias(bits))
+    hit = (F.col(w) == F.col(word)) & (F.expr(f"shiftright({bits}, cast({h} & 63 as int)) & 1") == 1)
+    return left.join(F.broadcast(right), hit, how).drop(h, w)
+
+
 def maybe_in(df: DataFrame, key: str, words: DataFrame) -> DataFrame:
     """Rows of ``df`` whose key may be in the filter. The filter's size is bounded, so it is sent to every task."""
-    h = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-    left = df.withColumn("_h", h).withColumn("_w", F.shiftright("_h", 6))
-    hit = (F.col("_w") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_h & 63 as int)) & 1") == 1)
-    return left.join(F.broadcast(words), hit, "left_semi").drop("_h", "_w")
+    return _filtered(df, key, words, "left_semi")
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", *more: tuple[str, Column]) -> DataFrame:
-    """Rows of ``docs`` whose key (and further columns, given with their expression over docs) is not in ``dropped``.
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", **more: Column) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``dropped``; with ``more``, whose key and further columns together are not: each a column of ``dropped`` and its expression over docs.
 
     Rows that the bounded filter excludes stay where they are; only the others are moved for the exact test.
+    Columns of docs may have any names.
     """
-    dropped = written(dropped, "dropped")
+    dropped = written(dropped.select(key, *more), "dropped")
     words = written(filter_words(dropped, key), "filter")
-    h = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-    left = docs.withColumn("_h", h).withColumn("_w", F.shiftright("_h", 6))
-    hit = (F.col("_w") == F.col("_word")) & (F.expr("shiftright(_bits, cast(_h & 63 as int)) & 1") == 1)
-    sure = left.join(F.broadcast(words), hit, "left_anti").drop("_h", "_w")
-    unsure = maybe_in(docs, key, words)
-    for name, expr in more:
-        unsure = unsure.withColumn(name, expr)
-    unsure = unsure.join(dropped, [key, *[n for n, _ in more]], "left_anti").select(*docs.columns)
-    return sure.unionByName(unsure)
+    names = fresh(1 + len(more))
+    gone = dropped.select(*[F.col(c).alias(n) for c, n in zip([key, *more], names)])
+    unsure = maybe_in(docs, key, words).withColumn(names[0], F.col(key))
+    for n, expr in zip(names[1:], more.values()):
+        unsure = unsure.withColumn(n, expr)
+    return _filtered(docs, key, words, "left_anti").unionByName(unsure.join(gone, names, "left_anti").select(*docs.columns))

@@ -11,13 +11,12 @@ by error feedback from the longest document to the shortest.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import spread, table, written
+from .common import release, spread, table, written
 
 # Fixed values of the mix: weights in turn, share of all words, most repeats.
 WEIGHTS = (3, 1, 2)
@@ -26,6 +25,8 @@ MOST = 2.0
 #: Documents whose copies are decided together.
 SHARE_ROWS = 2_000
 TOLERANCE = 1e-9
+#: Sources up to which the table of them is sent to all tasks.
+FEW_SOURCES = 10_000
 
 
 def _count_words(it):
@@ -33,15 +34,15 @@ def _count_words(it):
         for b in tk.pieces(batch, "text"):
             data, offs = tk.buffers(b.column("text"))
             first = tk.words(data, offs)[2]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(np.diff(first))], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("text_hash"), pa.array(np.diff(first))], ["doc_id", "source", "text_hash", "size"])
 
 
 def sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each whole text."""
+    """(doc_id, source, text_hash, size): words of each whole text."""
     rows = docs.where(F.col(doc_id).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")
     )
-    return rows.mapInArrow(_count_words, "doc_id long, source string, size long")
+    return rows.mapInArrow(_count_words, "doc_id long, source string, text_hash long, size long")
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -72,17 +73,22 @@ def balance(cells: DataFrame, tolerance: float = TOLERANCE, most_steps: int = 50
 
     Gradient and curvature of a source are both size * exp(l), so a step is target / (size * exp(l)) - 1;
     steps are kept within one, which makes them converge from any start. A source without words keeps rate 1;
-    a target of nothing gives rate 0.
+    a target of nothing gives rate 0. As each constraint is on one source, the dual falls apart into one
+    function a source, and one step moves all of them. Raises ArithmeticError if they do not all converge.
     """
     at = F.col("source_size") * F.exp("l")
     rows = cells.withColumn("l", F.lit(0.0))
     step = F.greatest(F.least(F.col("target") / at - 1, F.lit(1.0)), F.lit(-1.0))
     fixed = (F.col("source_size") <= 0) | (F.col("target") <= 0)
     for _ in range(most_steps):
-        rows = written(rows.withColumn("l", F.when(fixed, F.col("l")).otherwise(F.col("l") + step)), "dual")
+        rows, old = written(rows.withColumn("l", F.when(fixed, F.col("l")).otherwise(F.col("l") + step)), "dual"), rows
+        if old is not cells and hasattr(old, "_written_to"):
+            release(old)
         worst = rows.where(~fixed).agg(F.max(F.abs(at / F.col("target") - 1))).first()[0]
         if worst is None or worst < tolerance:
             break
+    else:
+        raise ArithmeticError(f"the dual is off by {worst} after {most_steps} steps")
     return rows.withColumn("rate", F.when(F.col("source_size") <= 0, 1.0).when(F.col("target") <= 0, 0.0).otherwise(F.exp("l"))).drop("l")
 
 
@@ -98,7 +104,7 @@ def copies(sizes_down: np.ndarray, rate: float, most: int = int(MOST)) -> np.nda
     return out
 
 
-TAKEN = "doc_id long, source string, size long, source_size long, target double, copies long, taken long"
+TAKEN = "doc_id long, source string, text_hash long, size long, source_size long, target double, copies long, taken long"
 
 
 def _round(rows):
@@ -109,22 +115,21 @@ def _round(rows):
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken), a row per row of ``docs``.
+    """(doc_id, source, text_hash, size, source_size, target, copies, taken), a row per row of ``docs``; text_hash is xxhash64 of the text.
 
     A source's documents are dealt into shares of about SHARE_ROWS by a hash of doc_id, and each
     share is rounded on its own, so a source of any size is never in one task; a share's error is
     half its shortest document. Null text has size 0, null is a source of its own, last in order.
     Rows that repeat a document count as often as they come. Rows without a doc_id are no documents.
-    An empty table gives an empty result. No randomness: reruns agree. Other columns are ignored.
+    Documents of one size are taken in order of doc_id. Very long texts count whole. An empty table gives an
+    empty result. No randomness: reruns agree. Other columns are ignored.
     """
     sized = written(sizes(docs, doc_id, text, source), "sizes")
-    cells = balance(targets(sized, weights, share)).withColumn("shares", F.ceil(F.col("n") / SHARE_ROWS).cast("int"))
-    most = cells.agg(F.max("shares")).first()[0] or 1
-    # Each share of a source is a row of its own here, so that the join is even as well.
-    cells = cells.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).drop("n")
-    rows = sized.withColumn("share", spread(F.col("doc_id"), most))
-    key = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.share") == F.col("b.share"))
-    joined = rows.alias("a").join(cells.alias("b"), key).select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.rate", (F.col("b.share") % F.col("b.shares")).alias("share"))
+    cells = balance(targets(sized, weights, share)).withColumn("shares", F.ceil(F.col("n") / SHARE_ROWS).cast("int")).drop("n")
+    if cells.count() <= FEW_SOURCES:  # some 100 bytes each; with more sources Spark joins by source and splits hot ones
+        cells = F.broadcast(cells)
+    joined = sized.alias("a").join(cells.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
+    joined = joined.select("a.*", "b.source_size", "b.target", "b.rate", spread(F.col("a.doc_id"), F.col("b.shares")).alias("share"))
     return joined.groupBy("source", "share").applyInPandas(_round, TAKEN)
 
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textkit as tk
 from .common import filter_words, maybe_in, release, spread, table, written
@@ -121,10 +122,7 @@ def with_fingerprint(docs: DataFrame, names: tuple[str, str, str], text: str = "
                 n, h1, h2 = _fingerprints(*tk.buffers(b.column(text)), width)[2:]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(h1), pa.array(h2)], [*b.schema.names, *names])
 
-    schema = docs.schema
-    for name in names:
-        schema = schema.add(name, "long")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(name, LongType()) for name in names]]))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

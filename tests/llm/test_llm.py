@@ -123,11 +123,11 @@ def test_op3_equal_fingerprints_of_different_texts_are_told_apart(spark):
     assert [r.doc_id for r in exact_dedup.compare(docs, members).collect()] == [3]
 
 
-def brute_components(rows):
+def brute_components(rows, width=2):
     sets = {}
     for d, t, *_ in rows:
         w = WORDS.findall(lower(t or ""))
-        sets[d] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
     root = {d: d for d in sets}
 
     def find(x):
@@ -150,20 +150,61 @@ def test_op4_brute_force(spark, tmp_path, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(rows) and len(got) == len(rows)
 
 
-def test_op4_chain_through_a_large_bucket(spark):
-    """Near copies in a chain: the hub links with few of them, the later step must find the others."""
-    r = random.Random(2)
+def chain(n, seed=2):
+    """Near copies in a chain, of which only neighbours are linked, and copies around one original that are not linked with each other."""
+    r = random.Random(seed)
     w = [f"w{i}" for i in range(120)]
     rows = []
-    for i in range(60):
+    for i in range(n):
         rows.append((i, " ".join(w)))
         for k in range(2):
             w[r.randrange(120)] = f"n{i}_{k}"
+    base = [f"v{i}" for i in range(150)]
+    for i in range(n, 2 * n):
+        c = list(base)
+        for k in r.sample(range(150), 8):
+            c[k] = f"m{i}_{k}"
+        rows.append((i, " ".join(c)))
+    return [*rows, (2 * n, " ".join(base))]
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_op4_chain_and_star_whole_and_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = chain(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs, width=2).collect()}
+    assert got == {d: c for d, (_, c, _) in brute_components(rows).items()}
+
+
+def test_op4_shingle_bound_cuts_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 900)
+    rows = chain(40, 3)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
     assert got == {d: c for d, (_, c, _) in brute_components(rows).items()}
 
 
+def test_op4_signatures_under_the_threshold_share_a_key():
+    r = np.random.default_rng(6)
+    a = r.integers(0, 65536, (400, near_dedup.SYMBOLS))
+    b = a.copy()
+    for i in range(400):  # as many differing symbols as the threshold allows, spread over the chunks as evenly as can be for every second row
+        at = np.argsort(np.arange(near_dedup.SYMBOLS) % near_dedup.CHUNK * 100 + r.random(near_dedup.SYMBOLS)) if i % 2 else r.permutation(near_dedup.SYMBOLS)
+        b[i, at[: near_dedup.NEAR]] += 1
+    x, y = (near_dedup.chunk_keys((v % 65536).astype(np.uint16)) for v in (a, b))
+    assert (x == y).any(1).all()
+    c = a.copy()
+    c.reshape(400, -1, near_dedup.CHUNK)[:, :, :2] += 1  # one more than the threshold, two in each chunk: no guarantee
+    assert not (near_dedup.chunk_keys((c % 65536).astype(np.uint16)) == x).any()
+
+
+def test_op4_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    same = " ".join(f"s{i}" for i in range(40))
+    rows = [(5, same), (7, same + " more"), (7, "a text of its own"), (7, "a text of its own"), (None, same)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(5, 36, 5, True), (7, 1, 7, True), (7, 37, 5, False)]
+
+
 def test_components_of_random_links(spark):
     r = random.Random(4)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
@@ -603,6 +644,26 @@ def test_without_and_filter(spark):
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(2000) if i % 7]
 
 
+def test_without_with_names_that_clash(spark):
+    docs = spark.range(50).selectExpr("id as doc_id", "cast(id as string) as text", "1 as _h", "2 as _w", "3 as _word", "4 as _bits", "5 as _sha", "6 as n", "7 as copies")
+    dropped = spark.range(0, 50, 5).selectExpr("id as doc_id", "if(id = 10, 'x', cast(id as string)) as sha")
+    got = common.without(docs, dropped, "doc_id", sha=F.col("text"))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [i for i in range(50) if i % 5 or i == 10]
+
+
+def test_pipeline_stages_with_repeated_ids_and_clashing_names(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, base, "a"), (7, base + " tail", "a"), (7, "an unrelated text that nothing resembles at all", "a"), (None, base, "a"), (9, None, None)]
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _h", "2 as _copies", "3 as h1", "4 as n_shingles", "5 as text_hash", "6 as copies"), "docs")
+    near = corpus_pipeline.near_copies(spark, docs, "")
+    assert near.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in near.collect() if r.text) == [("5", base), ("7", "an unrelated text that nothing resembles at all"), ("None", base)]
+    mixed = corpus_pipeline.source_mix(spark, docs, "")
+    assert mixed.columns == docs.columns and {r.text for r in mixed.collect()} == {t for d, t, _ in rows if t and d}
+
+
 def test_pipeline_brute_force(spark, small):
     import corpus_pipeline
 
@@ -622,7 +683,9 @@ def test_pipeline_brute_force(spark, small):
         last[r[1]] = r
     exact = sorted(last.values())
     assert sorted(r.doc_id for r in out[1].collect()) == [r[0] for r in exact]
-    near = [r for r in exact if brute_components(exact)[r[0]][2]]
+    found = brute_components(exact, corpus_pipeline.WIDTH)
+    assert corpus_pipeline.WIDTH == 5
+    near = [r for r in exact if found[r[0]][2]]
     assert sorted(r.doc_id for r in out[2].collect()) == [r[0] for r in near]
     copies = {r.doc_id: r.copies for r in mixing.mix(out[2]).collect()}
     times = defaultdict(int)
