@@ -3,10 +3,10 @@
 A small network predicts each word from the words on both sides of it: the embeddings of the
 WIDTH words before and after, each weighted by place, pass a tanh layer; the output is a softmax
 over groups of the vocabulary and one within the group. A document's score is the sum of the log
-probabilities of all its words. Vocabulary counts cover every document; training reads every
-document too and masks one place in MASK, chosen by position, so what is learnt from grows with
-the corpus. Tasks train on their own documents and the models are averaged by words seen
-(iterative parameter mixing), ROUNDS times.
+probabilities of all its words. Vocabulary counts cover every document, and in training every word
+of every document is masked and predicted once: in round r the places whose number in their
+document leaves the remainder r by ROUNDS. Tasks train on their own documents and the models are
+averaged by words seen (iterative parameter mixing) after each round.
 
 The network has numbers for the OWN most frequent words only; the others share numbers. A word of a
 shared number has its own share of it: its count in the corpus over that of the number. The counts of
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import table, written
 
-#: Words of their own number, numbers shared by the rest (by hash), groups of the output, embedding size, window, mask and rounds.
-OWN, SHARED, GROUP, DIM, WIDTH, MASK, ROUNDS = 1792, 256, 32, 16, 2, 8, 2
+#: Words of their own number, numbers shared by the rest (by hash), groups of the output, embedding size, window and rounds.
+OWN, SHARED, GROUP, DIM, WIDTH, ROUNDS = 1792, 256, 32, 16, 2, 2
 VOCAB = OWN + SHARED
 EDGE = VOCAB  # stands before the first and after the last word
-BATCH = 2048
+BATCH = 4096
 PARTS = 64  # slices in which models are summed
 
 
@@ -100,52 +100,63 @@ class Network:
         return e, np.tanh((e * self.p["P"]).sum(1) + self.p["b"])
 
     def _output(self, h: np.ndarray, y: np.ndarray):
-        """Log probabilities of y, and for training the two softmaxes, by groups of the vocabulary."""
+        """Log probabilities of y, which ascend, and for training the two softmaxes, by groups of the vocabulary."""
         z = h @ self.p["G"] + self.p["g"]
         z -= z.max(1, keepdims=True)
-        ez = np.exp(z)
-        total = ez.sum(1)
-        group = y // GROUP
-        logp = z[np.arange(len(y)), group] - np.log(total)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(VOCAB // GROUP + 1))
-        inner = []
+        n, group = np.arange(len(y)), y // GROUP
+        logp = z[n, group]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        logp -= np.log(total)
+        z /= total[:, None]
+        cut = np.searchsorted(y, np.arange(0, VOCAB + 1, GROUP))
+        inner = np.empty((len(y), GROUP), np.float32)
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            rows = order[cut[k] : cut[k + 1]]
             own = slice(k * GROUP, (k + 1) * GROUP)
-            u = h[rows] @ self.p["W"][own].T + self.p["w"][own]
-            u -= u.max(1, keepdims=True)
-            eu = np.exp(u)
-            su = eu.sum(1)
-            place = y[rows] - k * GROUP
-            logp[rows] += u[np.arange(len(rows)), place] - np.log(su)
-            inner.append((own, rows, place, eu / su[:, None]))
-        return logp, ez / total[:, None], group, inner
+            np.matmul(h[cut[k] : cut[k + 1]], self.p["W"][own].T, out=inner[cut[k] : cut[k + 1]])
+            inner[cut[k] : cut[k + 1]] += self.p["w"][own]
+        inner -= inner.max(1, keepdims=True)
+        place = y - group * GROUP
+        logp += inner[n, place]
+        np.exp(inner, out=inner)
+        total = inner.sum(1)
+        logp -= np.log(total)
+        inner /= total[:, None]
+        return logp, z, group, inner, place, cut
 
     def log_probs(self, context: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return self._output(self.hidden(context)[1], y)[0]
+        order = np.argsort(y, kind="stable")
+        out = np.empty(len(y), np.float32)
+        out[order] = self._output(self.hidden(context[order])[1], y[order])[0]
+        return out
 
     def step(self, context: np.ndarray, y: np.ndarray, rate: float, seen: dict) -> float:
         """One AdaGrad step on the mean negative log probability."""
+        order = np.argsort(y, kind="stable")
+        context, y = context[order], y[order]
         e, h = self.hidden(context)
-        logp, pz, group, inner = self._output(h, y)
-        n = np.float32(len(y))
-        pz[np.arange(len(y)), group] -= 1
-        pz /= n
+        logp, pz, group, inner, place, cut = self._output(h, y)
+        n, size = np.arange(len(y)), np.float32(len(y))
+        pz[n, group] -= 1
+        pz /= size
+        inner[n, place] -= 1
+        inner /= size
         grad = {"G": h.T @ pz, "g": pz.sum(0), "W": np.zeros_like(self.p["W"]), "w": np.zeros_like(self.p["w"])}
         dh = pz @ self.p["G"].T
-        for own, rows, place, pu in inner:
-            pu[np.arange(len(rows)), place] -= 1
-            pu /= n
-            grad["W"][own] = pu.T @ h[rows]
-            grad["w"][own] = pu.sum(0)
-            dh[rows] += pu @ self.p["W"][own]
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            own, rows = slice(k * GROUP, (k + 1) * GROUP), slice(cut[k], cut[k + 1])
+            grad["W"][own] = inner[rows].T @ h[rows]
+            grad["w"][own] = inner[rows].sum(0)
+            dh[rows] += inner[rows] @ self.p["W"][own]
         da = dh * (1 - h * h)
         grad["b"] = da.sum(0)
-        grad["P"] = (e * da[:, None, :]).sum(0)
-        de = da[:, None, :] * self.p["P"]
+        grad["P"] = np.einsum("nkd,nd->kd", e, da)
+        # Rows of E by sorted number, so that each number's gradients are summed in one run.
+        flat = context.ravel()
+        by = np.argsort(flat, kind="stable")
+        numbers, starts = np.unique(flat[by], return_index=True)
         grad["E"] = np.zeros_like(self.p["E"])
-        np.add.at(grad["E"], context.ravel(), de.reshape(-1, DIM))
+        grad["E"][numbers] = np.add.reduceat(da[by // (2 * WIDTH)] * self.p["P"][by % (2 * WIDTH)], starts, axis=0)
         for k, g in grad.items():
             seen[k] = seen.get(k, 1e-6) + g * g
             self.p[k] -= rate * g / np.sqrt(seen[k])
@@ -178,9 +189,9 @@ def _train(vocab: Vocabulary, start: np.ndarray, turn: int, rate: float):
             for b in tk.pieces(batch, "text", 4 << 20):
                 ids, first, _ = _numbers(b, vocab)
                 words += len(ids)
-                h = tk.mix(np.arange(len(ids), dtype=np.uint64) * np.uint64(2 * ROUNDS + 1) + np.uint64(turn))
-                at = np.flatnonzero(h % np.uint64(MASK) == 0)
-                at = at[np.argsort(h[at])]
+                place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+                at = np.flatnonzero(place % ROUNDS == turn)
+                at = at[np.argsort(tk.mix(at.astype(np.uint64)))]
                 for k in range(0, len(at), BATCH):
                     take = at[k : k + BATCH]
                     net.step(contexts(ids, first, take), ids[take], rate, seen)
@@ -238,8 +249,8 @@ def _score(vocab: Vocabulary, flat: np.ndarray):
             for b in tk.pieces(batch, "text", 4 << 20):
                 ids, first, h = _numbers(b, vocab)
                 logp = np.empty(len(ids))
-                for k in range(0, len(ids), 8 * BATCH):
-                    at = np.arange(k, min(k + 8 * BATCH, len(ids)))
+                for k in range(0, len(ids), BATCH):
+                    at = np.arange(k, min(k + BATCH, len(ids)))
                     logp[at] = net.log_probs(contexts(ids, first, at), ids[at])
                 logp -= vocab.log_total[ids]
                 sums = np.concatenate([[0.0], np.cumsum(logp)])
