@@ -11,7 +11,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,21 +50,22 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, patience: int = 400) -> np.ndarray:
+def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
     The emptiest bin gives. A document d of it goes to another underfull bin b if it fits, or
     in exchange for one document y < d or two documents y1 + y2 < d of b. Either way b ends
     fuller than before by what the giver loses; as b is at least as full as the giver, the sum
-    of squares grows, so this ends. A bin that cannot be emptied is put aside; after
-    ``patience`` bins put aside in a row the search stops.
+    of squares grows, so this ends. A bin that cannot be emptied is put aside, and the search goes on
+    until each underfull bin has given once, or until there are no more bins than the sum of all sizes
+    needs, when none can be emptied.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
     active = np.flatnonzero(np.isin(bins, np.flatnonzero((fill > 0) & (fill < capacity)))).astype(np.int64)
     aside: set[int] = set()
-    failed = 0
-    while failed < patience:
+    least, used = -(-int(sizes.sum()) // capacity), int((fill > 0).sum())
+    while used > least:
         live = np.unique(bins[active])
         givers = [b for b in live.tolist() if b not in aside and fill[b] < capacity]
         if len(live) < 2 or not givers:
@@ -105,9 +105,8 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, patience: i
                 break
         if fill[giver]:
             aside.add(giver)
-            failed += 1
         else:
-            failed = 0
+            used -= 1
     return bins
 
 
@@ -186,7 +185,11 @@ def _pack_share(level: int, capacity: int):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
-    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), none longer than ``capacity``."""
+    """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), none longer than ``capacity``.
+
+    Bins below OPEN of the capacity meet those of other shares in a further round, until all fit in one share or
+    a round leaves nine tenths of the pieces in such bins, as when no two pieces fit together.
+    """
     names = [c.split()[0] for c in PIECES.split(", ")]
     whole = pieces.where(F.col("length") == capacity)
     # A full piece is a sequence of its own; negative numbers are used nowhere else.
@@ -197,7 +200,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = LENGTH) -> DataFrame:
         shares = max(1, -(-n_rows // SHARE))
         packed = rest.withColumn("share", spread(F.struct("doc_id", "piece", "start"), shares)).groupBy("share").applyInPandas(_pack_share(level, capacity), PACKED)
         packed = written(packed, "packed")
-        last = shares == 1 or (left is not None and n_rows > left // 2)
+        last = shares == 1 or (left is not None and n_rows > 0.9 * left)
         full = F.lit(True) if last else F.col("fill") >= int(OPEN * capacity)
         done.append(packed.where(full).drop("fill"))
         if last:
@@ -213,7 +216,7 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Encode documents and pack them; one row per piece.
 
     Null text counts as empty: the end id alone. Documents longer than ``capacity`` are cut, the last
-    piece may be shorter. Rows that repeat a document are packed as often as they come. Rows without
+    piece may be shorter. Of pieces of one length the smaller doc_id is placed first. Rows that repeat a document are packed as often as they come. Rows without
     a doc_id are no documents. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
