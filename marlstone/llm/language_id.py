@@ -219,7 +219,10 @@ def accept(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on rows with a language; document frequencies come from all of them, weights from PER_LANGUAGE of each language."""
+    """Fit on rows with a language; document frequencies come from all of them, weights from PER_LANGUAGE of each language.
+
+    At most PER_LANGUAGE distinct documents of each language reach the driver, however often a row repeats.
+    """
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = 1 << BITS
     found = rows.select("text").mapInArrow(_document_counts, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
@@ -230,10 +233,17 @@ def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
         else:
             df[r.feature] = r.df
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("k", nth).where(F.col("k") <= PER_LANGUAGE).select("doc_id")
-    sample = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # PER_LANGUAGE rows a language
-    got = sorted(sample.mapInArrow(_sparse(idf), "doc_id long, lang string, i binary, x binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.x)))
+    # Texts are told apart by (doc_id, hash); those whose hash is below four times the wanted share of their language are ranked, so no language is ranked whole.
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    ids = rows.select("doc_id", "h", "lang").distinct().withColumn("r", F.xxhash64("doc_id", "h"))
+    often = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    near = ids.join(often, "lang").where(F.pmod("r", F.lit(1 << 30)) < F.ceil(F.lit(4.0 * PER_LANGUAGE * (1 << 30)) / F.col("n")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("r", F.lit(1 << 30)), "r", "doc_id"))
+    ids = near.withColumn("k", nth).where(F.col("k") <= PER_LANGUAGE).select("doc_id", "h", "lang")
+    sample = rows.join(F.broadcast(ids), ["doc_id", "h", "lang"], "left_semi").select("doc_id", "lang", "text")  # PER_LANGUAGE rows a language
+    # Copies of a row are one row again before anything reaches the driver.
+    got = sample.mapInArrow(_sparse(idf), "doc_id long, lang string, i binary, x binary").distinct().collect()
+    got = sorted(got, key=lambda r: (r.doc_id, r.lang, bytes(r.x), bytes(r.i)))
     classes = sorted({r.lang for r in got})
     if not classes:
         return Model([], np.zeros((d + 1, 1)), idf, 1.0)
@@ -250,7 +260,7 @@ def remainder(doc_id: str, m: int):
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of documents.
 
-    Null texts and texts without a letter are ``und`` with score 0. A null doc_id is not held out and teaches
+    Whole texts are read, however long. Null texts and texts without a letter are ``und`` with score 0. A null doc_id is not held out and teaches
     nothing. Rows that repeat are predicted as often as they come. Without a labelled row all is ``und``.
     An empty table gives an empty result. Other columns are ignored.
     """
