@@ -3,8 +3,10 @@
 A linear classifier over hashed words and word beginnings is trained in numpy from confirmed
 toxic documents and unlabelled text. With the class prior pi its risk is
 pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]); when the second part falls below zero the
-step goes against it, which keeps the classifier from fitting unlabelled text as clean. Scores
-are then set on the scale of probabilities with labelled rows that took no part in training.
+step goes against it, which keeps the classifier from fitting unlabelled text as clean. Features
+that are no more frequent in toxic than in unlabelled text, or no less, get no weight: ``screen``
+leaves them out before any risk is lowered. Scores are then set on the scale of probabilities with
+labelled rows that took no part in training.
 """
 
 from __future__ import annotations
@@ -163,23 +165,28 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on rows of ``docs``. labels (doc_id, toxic): 1 is confirmed toxic, 0 clean; other rows are unlabelled.
+    """Fit on rows of ``docs``. labels (doc_id, toxic): 1 is confirmed toxic, 0 clean.
 
-    The prior is the share of toxic rows among all labelled ones. A quarter of the labelled rows, by hash,
-    sets the final scale only. A doc_id with several labels counts as toxic if any says so.
+    The unlabelled sample is drawn from all rows whatever their label, and the prior for it is the toxic share
+    of the labelled rows. A quarter of the rows, by hash, takes no part in that; those of it with a label set
+    the final scale. A doc_id with several labels counts as toxic if any says so. At most POSITIVE + UNLABELLED
+    + SCALE distinct documents reach the driver, however often a row repeats.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).where("doc_id is not null").distinct().join(known, "doc_id", "left")
-    h = F.xxhash64(F.lit("toxicity"), "doc_id")
-    ids = ids.withColumn("h", h).withColumn("part", F.when(F.col("toxic").isNotNull() & (F.pmod(h, F.lit(4)) == 0), 2).when(F.col("toxic") == 1, 0).otherwise(1))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").withColumn("t", F.xxhash64("text"))
+    ids = rows.select("doc_id", "t").distinct().join(known, "doc_id", "left").withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id", "t"))
+    held = F.pmod("h", F.lit(4)) == 0
     share = ids.where("toxic is not null").agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if not share:
         return Model(np.zeros(1 << BITS), 0.0, 1.0, -5.0)
-    parts = [ids.where(F.col("part") == k).orderBy("h", "doc_id").limit(n) for k, n in ((0, POSITIVE), (1, UNLABELLED), (2, SCALE))]
-    picked = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "part", "toxic")  # at most the three bounds together
-    sample = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    got = sample.select("doc_id", "part", "toxic", "text").mapInArrow(_collect, "doc_id long, part int, toxic int, cells binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.cells)))
+    lots = [(ids.where(~held & (F.col("toxic") == 1)), POSITIVE), (ids.where(~held), UNLABELLED), (ids.where(held & F.col("toxic").isNotNull()), SCALE)]
+    # Each lot in an order of its own, so that the unlabelled do not begin with the same documents as the toxic.
+    parts = [lot.orderBy(F.xxhash64("h", F.lit(k)), "doc_id").limit(n).select("doc_id", "t", F.lit(k).alias("part"), "toxic") for k, (lot, n) in enumerate(lots)]
+    picked = parts[0].unionByName(parts[1]).unionByName(parts[2])  # at most the three bounds together
+    sample = rows.join(F.broadcast(picked), ["doc_id", "t"]).select("doc_id", "part", "toxic", "text")
+    # Copies of a row are one row again before anything reaches the driver.
+    got = sample.mapInArrow(_collect, "doc_id long, part int, toxic int, cells binary").distinct().collect()
+    got.sort(key=lambda r: (r.doc_id, bytes(r.cells), r.part))
     rows: list[list] = [[], [], []]
     for r in got:
         rows[r.part].append((np.frombuffer(r.cells, "<u4").astype(np.int64), r.toxic))
@@ -192,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def op8_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of documents.
 
-    Null and empty texts get the score of a text without features. A null doc_id is not held out and teaches
+    Whole texts are read, however long. Null and empty texts get the score of a text without features. A null doc_id is not held out and teaches
     nothing. Rows that repeat are scored as often as they come. Without a toxic label all is clean. An empty
     table gives an empty result. Other columns are ignored.
     """
