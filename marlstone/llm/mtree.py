@@ -24,16 +24,27 @@ PAGE = 512
 FAN = 16
 #: Vectors of a tree and queries of a block.
 TREE, BLOCK = 8192, 2048
-#: Slack for distances, which are square roots of exact integers or near it.
+#: Least slack for distances; see ``slack``.
 EPS = 1e-6
 
 
-def _kind(vectors: np.ndarray) -> type:
-    """A type in which inner products are exact."""
-    most = float(np.abs(vectors).max(initial=0)) ** 2 * max(1, vectors.shape[1])
+def _largest(vectors: np.ndarray) -> int:
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+
+
+def exact_type(a: int, b: int, dims: int) -> type:
+    """A type in which inner products of vectors with components up to a and b are exact."""
+    most = a * b * max(1, dims)
+    if most >= 2**63:
+        raise OverflowError(f"inner products of components up to {a} and {b} may not fit in 64 bits")
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
+def slack(base: float) -> float:
+    """Bound for the error of a distance that is the root of a difference of numbers up to ``base`` in double precision."""
+    return EPS + 1e-7 * float(np.sqrt(base))
+
+
 def build(ids: np.ndarray, vectors: np.ndarray) -> list[dict]:
     """Pages of a tree over integer vectors; page 0 is the root.
 
@@ -102,33 +113,41 @@ def from_bytes(raw: bytes) -> dict:
 
 
 class Tree:
+    """Searches pages; a page's vectors are turned into the type that a query needs once, and kept."""
+
     def __init__(self, pages: list[dict]):
         self.pages, self.top, self.computed = pages, float(pages[0]["top"]), 0
-        kinds = [p["vectors"] if p["leaf"] else p["objects"] for p in pages]
-        self.kind = max((_kind(v) for v in kinds), key=[np.float32, np.float64, np.int64].index)
-        for p in pages:
-            name = "vectors" if p["leaf"] else "objects"
-            p[name] = p[name].astype(self.kind)
+        self.names = ["vectors" if p["leaf"] else "objects" for p in pages]
+        self.largest = max(_largest(p[n]) for p, n in zip(pages, self.names))
+        self.typed: dict[tuple[int, type], np.ndarray] = {}
+
+    def of(self, number: int, kind: type) -> np.ndarray:
+        if (number, kind) not in self.typed:
+            self.typed[number, kind] = self.pages[number][self.names[number]].astype(kind)
+        return self.typed[number, kind]
 
     def search(self, q: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k largest inner products with q, ties to the smaller id; ``skip`` is left out."""
-        q = q.astype(self.kind)
-        base = float(q.astype(np.float64) @ q.astype(np.float64)) + self.top
+        kind = exact_type(self.largest, _largest(q), len(q))
+        x = q.astype(np.float64)
+        q = q.astype(kind)
+        base = float(x @ x) + self.top
+        eps = slack(base)
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         reach = np.inf  # distance of the k-th best so far
-        first = np.sqrt(max(base - 2 * float(self.pages[0]["root"][0].astype(np.float64) @ q.astype(np.float64)), 0.0))
+        first = np.sqrt(max(base - 2 * float(self.pages[0]["root"][0].astype(np.float64) @ x), 0.0))
         queue = [(0.0, 0, first)]
         while queue:
             least, number, own = heapq.heappop(queue)
-            if least > reach + EPS:
+            if least > reach + eps:
                 break
             page = self.pages[number]
             if page["leaf"]:
-                lo = np.searchsorted(page["parent"], own - reach - EPS) if reach < np.inf else 0
-                hi = np.searchsorted(page["parent"], own + reach + EPS, "right") if reach < np.inf else len(page["parent"])
+                lo = np.searchsorted(page["parent"], own - reach - eps) if reach < np.inf else 0
+                hi = np.searchsorted(page["parent"], own + reach + eps, "right") if reach < np.inf else len(page["parent"])
                 if lo >= hi:
                     continue
-                s = (page["vectors"][lo:hi] @ q).astype(np.int64)
+                s = (self.of(number, kind)[lo:hi] @ q).astype(np.int64)
                 self.computed += hi - lo
                 got = page["ids"][lo:hi]
                 if len(scores) >= k:
@@ -144,13 +163,13 @@ class Tree:
                     if len(scores) >= k:
                         reach = np.sqrt(max(base - 2.0 * float(scores[-1]), 0.0))
             else:
-                open_ = np.flatnonzero(np.abs(own - page["parent"]) - page["radii"] <= reach + EPS)
+                open_ = np.flatnonzero(np.abs(own - page["parent"]) - page["radii"] <= reach + eps)
                 if len(open_):
-                    d = np.sqrt(np.maximum(base - 2 * (page["objects"][open_] @ q).astype(np.float64), 0.0))
+                    d = np.sqrt(np.maximum(base - 2 * (self.of(number, kind)[open_] @ q).astype(np.float64), 0.0))
                     self.computed += len(open_)
                     for j, far in zip(open_.tolist(), d.tolist()):
                         bound = max(far - float(page["radii"][j]), 0.0)
-                        if bound <= reach + EPS:
+                        if bound <= reach + eps:
                             heapq.heappush(queue, (bound, int(page["pages"][j]), far))
         return ids, scores
 
@@ -193,7 +212,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     ``vectors`` and ``queries`` have (id long, v array of long). Vectors are dealt evenly into trees of about
     TREE, queries into blocks of about BLOCK; each block meets each tree once, and a query's candidates are
-    merged at the end. Vectors compare with queries of their own length only. A vector that a query repeats
+    merged at the end. Products are computed in a type in which they are exact, chosen for each query and tree;
+    OverflowError if they may not fit in 64 bits. Without vectors or queries there is no row. Vectors compare with queries of their own length only. A vector that a query repeats
     under another id is a candidate like any other; rows that repeat an id and a vector count once.
     """
     size = F.size("v").alias("dim")
@@ -210,7 +230,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def digest(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(id, v): floor(64 * x) of each component; vectors that are null or hold null or non-finite components, and rows without an id, are left out."""
+    """(id, v): floor(64 * x) of each component; vectors that are null or hold null or non-finite components, and rows without an id, are left out. Other columns are ignored; an empty table gives no row."""
     x = F.transform(embedding, lambda c: c.cast("double"))
     whole = F.forall(embedding, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = embeddings.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & whole)
