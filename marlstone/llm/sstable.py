@@ -27,10 +27,10 @@ MAGIC = b"MSSTBL01"
 BLOCK = 64 << 10
 RESTART = 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: A writer starts a new file beyond so many bytes; a range of keys takes about so many bytes of text, up to MOST_RANGES ranges.
+#: A writer starts a new file beyond so many bytes; a range of keys takes about so many bytes of text, by a sample of one in UNIT bytes.
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 64 << 20
-MOST_RANGES = 10_000
+UNIT = 1 / 1024  # of a range
 _FOOTER = struct.Struct("<QQQQQQI8s")
 _ENTRY = struct.Struct("<BBI")
 
@@ -215,19 +215,28 @@ def _write(folder: str):
 MANIFEST = "shard int, first_key long, last_key long, path string, docs long, ids long, bytes long"
 
 
+def ranges(rows: DataFrame) -> list[int]:
+    """Ascending doc_ids at which ranges of about RANGE_BYTES of text begin; none if all fits in one. One number a range reaches the driver."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // RANGE_BYTES)
+    if n <= 1:
+        return []
+    # A document stands once for each unit of its bytes, for the rest by chance, so that quantiles are those of bytes.
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / (1 << 30)
+    times = F.floor(F.octet_length("text") / (RANGE_BYTES * UNIT) + chance).cast("int")
+    weighed = rows.select(F.explode(F.array_repeat("doc_id", times)).alias("doc_id"))
+    found = weighed.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0]
+    return sorted(set(found or []))
+
+
 def write_tables(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """Encode each document and write table files over disjoint, ascending ranges of doc_id; returns the manifest of finished files.
 
-    An attempt writes files of its own name and only a finished task's files are in the
+    Ids must be below 65,536; with a larger vocabulary it raises ValueError. An attempt writes files of its own name and only a finished task's files are in the
     manifest, so a lost executor's leavings are never read. Ids pass one shuffle.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(MOST_RANGES, max(1, -(-size // RANGE_BYTES))))
-    edges = []
-    if n > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0]
-        edges = sorted(set(found or []))
+    edges = ranges(rows)
     encoded = rows.mapInArrow(_encode(edges, vocabulary, end_id), "shard int, doc_id long, ids binary")
     dealt = encoded.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     return written(dealt.mapInArrow(_write(folder), MANIFEST), "manifest")
@@ -253,7 +262,10 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_tables(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each entry of the files, start counted over all files in key order."""
+    """(doc_id, start, n_tokens, ids_crc32) of each entry of the files, start counted over all files in key order.
+
+    The running sum is over the manifest, a row for each file of some 64 to 256 MB.
+    """
     before = Window.orderBy("shard", "first_key", "last_key", "path").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     parts = max(1, manifest.count())
@@ -264,8 +276,8 @@ def op6_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of the table, written as table files and read back from them.
 
     Null text counts as empty and has the end id alone. Rows that repeat a doc_id are entries
-    of their own, next to each other; rows without a doc_id have no key and are left out. An
-    empty table has no files and an empty result. Other columns are ignored.
+    of their own, next to each other; rows without a doc_id have no key and are left out. Very long
+    texts are one entry. An empty table has no files and an empty result. Other columns are ignored.
     """
     return read_tables(write_tables(table(spark, sf_dir, "documents"), new_path(spark, "sst")))
 
