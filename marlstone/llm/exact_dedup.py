@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import filter_words, maybe_in, spread, table, written
 
 #: Moduli (primes below 2**31) and bases of the two polynomials.
@@ -24,7 +25,8 @@ CHUNK = 1 << 20
 HUGE = 32 << 20
 #: Members of a group that are compared with one copy of its representative.
 SLOT = 256
-SALTS = 16
+#: Bytes of chunks that are hashed at once; the arithmetic takes some 24 times as much memory.
+PIECES = 4 << 20
 
 
 def _powers(k: int, n: int) -> np.ndarray:
@@ -54,12 +56,9 @@ def chunk_hashes(data: np.ndarray, offs: np.ndarray, at: np.ndarray, tables: lis
 
 
 def _hash_chunks(it):
-    tables = None
+    tables = [_powers(0, CHUNK), _powers(1, CHUNK)]
     for batch in it:
-        for lo in range(0, batch.num_rows, 1024):
-            b = batch.slice(lo, 1024)
-            if tables is None:
-                tables = [_powers(0, CHUNK), _powers(1, CHUNK)]
+        for b in tk.pieces(batch, "piece", PIECES):
             col = b.column("piece").cast(pa.large_binary()).fill_null(b"")
             offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
             raw = col.buffers()[2]
@@ -105,14 +104,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _with_groups(rows: DataFrame, key: list[str], how: str) -> DataFrame:
-    """Add (size, rep) of the row's group of two or more: counted before the shuffle, joined back in SALTS shares so that no group lands in one task."""
-    groups = (
-        rows.groupBy(*key)
-        .agg(F.count("*").alias("size"), F.max("doc_id").alias("rep"))
-        .where("size > 1")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    return rows.withColumn("salt", spread(F.col("doc_id"), SALTS)).join(groups, [*key, "salt"], how).drop("salt")
+    """Add (size, rep) of the row's group of two or more: counted before the shuffle and joined back; the plan splits the join's partition of a large group."""
+    groups = rows.groupBy(*key).agg(F.count("*").alias("size"), F.max("doc_id").alias("rep")).where("size > 1")
+    return rows.join(groups, key, how)
 
 
 def compare(docs: DataFrame, members: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,8 +136,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     Texts are equal when identical byte for byte; null counts as empty. Of equal texts the row with
     the largest doc_id stays. Rows that repeat both doc_id and text are one document; a doc_id with
-    several texts has a row for each. Rows without a doc_id are no documents. An empty table gives
-    an empty result. Other columns are ignored.
+    several texts has a row for each. Rows without a doc_id are no documents. Very long texts are hashed and
+    compared by chunks of CHUNK bytes. An empty table gives an empty result. Other columns are ignored.
     """
     prints = written(fingerprints(docs, doc_id, text), "prints")
     key = ["f1", "f2", "n"]
