@@ -60,7 +60,45 @@ def within_budget(steps: DataFrame, cap: float) -> DataFrame:
     return steps.withColumn("cost_before", before).where(F.col("cost_before") < cap)
 
 
-def recommend(models: DataFrame, current_recall: float) -> DataFrame:
-    """Verdict from the gain in recall: upgrade, consider, stay or worse."""
-    d = F.col("mean_recall") - current_recall
-    return models.withColumn("delta", d).withColumn("verdict", F.when(d >= 0.05, "upgrade").when(d >= 0.02, "consider").when(d >= -0.01, "stay").otherwise("worse"))
+def recommend(models: DataFrame, baseline: str, baseline_recall: float, n_queries: int) -> DataFrame:
+    """What to do about the best of new models (model_id, best_recall, cost_usd): one row (action, model_id, recall, cost_per_query, confidence).
+
+    upgrade above 0.05 of gain, test_further above 0.02, cost_savings above -0.01 if it costs less than 0.7 of
+    the baseline's recall (the two are compared as numbers), else stay. Of equal models the first by name counts.
+    """
+    level = "high" if n_queries >= 30 else "medium" if n_queries >= 15 else "low"
+    gain = F.col("best_recall") - baseline_recall
+    action = F.when(gain > 0.05, "upgrade").when(gain > 0.02, "test_further").when((gain > -0.01) & (F.col("cost_usd") < baseline_recall * 0.7), "cost_savings").otherwise("stay")
+    rows = models.orderBy(F.desc("best_recall"), "model_id").limit(1).withColumn("action", action)
+    stay = F.col("action") == "stay"
+    return rows.select(
+        "action", F.when(stay, baseline).otherwise(F.col("model_id")).alias("model_id"), F.when(stay, baseline_recall).otherwise(F.col("best_recall")).alias("recall"),
+        F.when(stay, 0.00001).otherwise(F.col("cost_usd") / max(n_queries, 1)).alias("cost_per_query"), F.lit(level).alias("confidence"),
+    )
+
+
+def grid(judgments: DataFrame, found: dict[str, DataFrame | None], k: int = 10) -> DataFrame:
+    """Metrics of every judged query under every configuration: found has the hits (query_id, rank, text[, latency_ms]) by name; where a search failed (None), and for queries without hits, rows of zeros count."""
+    rows = []
+    for ord_, (name, hits) in enumerate(found.items()):
+        if hits is None:
+            m = judgments.select("query_id", *[F.lit(0.0).alias(c) for c in ("recall", "reciprocal_rank", "ndcg_raw", "ndcg_capped")], F.lit(False).alias("hit"))
+        else:
+            m = score_queries(hits, judgments, k)
+        rows.append(m.withColumn("config", F.lit(name)).withColumn("ord", F.lit(ord_)))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def save_run(summary: DataFrame, path: str, run_id: str) -> None:
+    """Append one run's summary (config, mean_recall, ...) to the table of runs."""
+    summary.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def latest_run(spark, path: str) -> DataFrame:
+    """The summary of the run with the largest run_id."""
+    runs = spark.read.option("partitionColumnsTypeInferenceEnabled", False).parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+    last = runs.agg(F.max("run_id")).first()[0]
+    return runs.where(F.col("run_id") == last)

@@ -167,12 +167,14 @@ def split_page(blocks: DataFrame, margin: float = 72.0, gap: float = 6.0) -> Dat
 
 
 def toc_entries(lines: DataFrame) -> DataFrame:
-    """Table-of-contents lines (doc, page, ord, text): number prefixes join the next entry, a lone page number the one before; pages with three references or more count."""
-    entry = F.regexp_extract("text", r"^(.*?)\s*\.{3,}\s*(\d+|[ivxlc]+)\s*$", 1)
-    ref = F.regexp_extract("text", r"^(.*?)\s*\.{3,}\s*(\d+|[ivxlc]+)\s*$", 2)
-    rows = lines.withColumn("title", entry).withColumn("ref", ref).withColumn("prefix", F.col("text").rlike(r"^\d+(\.\d+)*\.?$"))
+    """Table-of-contents lines (doc, page, ord, text): number prefixes with a point join the next entry, a lone page number is the reference of the entry before; pages with three references or more count."""
+    parts = r"^(.*?)\s*\.{3,}\s*(\d+|[ivxlc]+)?\s*$"
+    rows = lines.withColumn("title", F.regexp_extract("text", parts, 1)).withColumn("ref", F.regexp_extract("text", parts, 2))
     w = Window.partitionBy("doc", "page").orderBy("ord")
-    before = F.when(F.lag("prefix").over(w), F.lag("text").over(w))
-    rows = rows.withColumn("title", F.when(before.isNotNull() & (F.col("title") != ""), F.concat(before, F.lit(" "), "title")).otherwise(F.col("title"))).where("title <> ''")
-    n = F.count("*").over(Window.partitionBy("doc", "page"))
+    prefix = F.lag(F.when(F.col("text").rlike(r"^\d+\.[\d.]*$"), F.col("text"))).over(w)
+    rows = rows.withColumn("prefix", prefix).withColumn("entry", F.count_if(F.col("title") != "").over(w))
+    number = F.max_by(F.when(F.col("text").rlike(r"^\d+$"), F.col("text")), F.when(F.col("text").rlike(r"^\d+$"), F.col("ord"))).over(Window.partitionBy("doc", "page", "entry"))
+    rows = rows.withColumn("ref", F.coalesce(number, "ref")).where("title <> ''")
+    rows = rows.withColumn("title", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(" "), "title")).otherwise(F.col("title")))
+    n = F.count_if(F.col("ref") != "").over(Window.partitionBy("doc", "page"))
     return rows.withColumn("n", n).where("n >= 3").select("doc", "page", "ord", "title", "ref")

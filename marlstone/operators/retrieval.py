@@ -93,9 +93,30 @@ def context(results: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", label.alias("l")))), lambda x: x["l"]), "\n\n").alias("context"), F.count("*").alias("n_passages"), F.max("score").alias("top_score"))
 
 
-def confidence(results: DataFrame, high: float = 0.03, medium: float = 0.02) -> DataFrame:
-    """high, medium or low from the best score and how many results have more than half of it."""
-    best = results.groupBy("query_id").agg(F.max("score").alias("top_score"), F.collect_list("score").alias("s"))
-    strong = F.size(F.filter("s", lambda x: x > F.col("top_score") / 2))
-    level = F.when((F.col("top_score") >= high) & (strong >= 3), "high").when(F.col("top_score") >= medium, "medium").otherwise("low")
-    return best.select("query_id", "top_score", strong.alias("strong"), level.alias("confidence"))
+# Phrases of an answer that is not sure.
+HEDGES = ["could not find", "no information", "unclear", "not specified"]
+
+
+def hedged(answer: Column | str) -> Column:
+    """Whether an answer holds one of HEDGES; a missing answer does not."""
+    low = F.lower(T.col(answer))
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in HEDGES]), F.lit(False))
+
+
+def confidence(results: DataFrame, answers: DataFrame, high: float = 0.03, medium: float = 0.02) -> DataFrame:
+    """high, medium or low for each answer (query_id, answer): from the best score and how many results have more than half of it; low if the answer hedges or has no results."""
+    best = results.groupBy("query_id").agg(F.max("score").alias("top_score"))
+    near = results.join(best, "query_id").groupBy("query_id", "top_score").agg(F.count_if(F.col("score") > F.col("top_score") * 0.5).alias("strong"))
+    rows = answers.join(near, "query_id", "left").withColumn("strong", F.coalesce("strong", F.lit(0).cast("long")))
+    level = (
+        F.when(hedged("answer") | F.col("top_score").isNull(), "low").when((F.col("top_score") > high) & (F.col("strong") >= 3), "high")
+        .when((F.col("top_score") > medium) & (F.col("strong") >= 2), "medium").otherwise("low")
+    )
+    return rows.select("query_id", "top_score", "strong", level.alias("confidence"))
+
+
+def warnings(results: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, open_items, contractual) of answers (query_id, answer): whether a result's text holds an open item, and whether the answer speaks of what shall be."""
+    source = results.groupBy("query_id").agg(F.bool_or(F.contains(F.lower("text"), F.lit("tbd"))).alias("open_items"))
+    rows = answers.join(source, "query_id", "left")
+    return rows.select("query_id", F.coalesce("open_items", F.lit(False)).alias("open_items"), F.coalesce(F.contains(F.lower("answer"), F.lit("shall")), F.lit(False)).alias("contractual"))

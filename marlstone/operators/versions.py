@@ -15,7 +15,7 @@ def families(files: DataFrame) -> DataFrame:
         F.count("*").alias("n_versions"), F.count_distinct("sha256").alias("n_contents"), F.count_distinct("pages").alias("n_page_counts"),
         F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("date", F.lit("")), F.coalesce("revision", F.lit("")), "filename"))), lambda x: x["filename"]).alias("versions"),
     ).where("n_versions >= 2")
-    status = F.when(F.col("n_contents") == 1, "identical").when(F.col("n_page_counts") > 1, "changed").otherwise("related")
+    status = F.when(F.col("n_contents") == 1, "identical").when(F.col("n_page_counts") > 1, "page_count_differs").otherwise("content_differs")
     return g.withColumn("status", status)
 
 
@@ -160,16 +160,20 @@ def rating(score: Column) -> Column:
 
 
 def maturity(blocks: DataFrame, items: DataFrame) -> DataFrame:
-    """Per section and overall: blocks, open items on or after its first page that stand there or share a word with its heading, score and rating. An item may count in several sections."""
+    """Per section and overall: blocks, open items on or after its first page that stand there or share a word with its heading, score and rating.
+
+    An item may count in several sections. A document without counted blocks has an overall row of score 1.
+    """
     segs = segments(blocks).withColumn("hw", T.heading_words("heading"))
     found = items.select("doc", F.col("page").alias("item_page"), T.heading_words("context").alias("cw"))
     near = (F.col("item_page") == F.col("page")) | ((F.col("item_page") > F.col("page")) & F.arrays_overlap("hw", "cw"))
     hits = segs.join(found, "doc").where(near).groupBy("doc", "seg").agg(F.count("*").alias("n_items"))
     rows = segs.join(hits, ["doc", "seg"], "left").withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))
-    total = rows.groupBy("doc").agg(F.lit(-1).cast("long").alias("seg"), F.lit("overall").alias("heading"), F.sum("n_blocks").alias("n_blocks"), F.sum("n_items").alias("n_items"))
+    total = rows.groupBy("doc").agg(F.sum("n_blocks").alias("n_blocks"), F.sum("n_items").alias("n_items"))
+    total = blocks.select("doc").distinct().join(total, "doc", "left").fillna(0, ["n_blocks", "n_items"]).withColumn("seg", F.lit(-1).cast("long")).withColumn("heading", F.lit("overall"))
     both = rows.select("doc", "seg", "heading", "n_blocks", "n_items").unionByName(total)
-    score = F.greatest(F.lit(0.0), 1 - F.col("n_items") / F.col("n_blocks"))
-    return both.withColumn("score", score).withColumn("rating", rating(score))
+    score = F.greatest(F.lit(0.0), 1 - F.col("n_items") / F.greatest(F.col("n_blocks"), F.lit(1)))
+    return both.withColumn("score", F.round(score, 3)).withColumn("rating", rating(score))
 
 
 def cross_references(pages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -185,10 +189,11 @@ def cross_references(pages: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def quick_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Overlap of the words of two texts (key, text) and whether they are related (above 0.3)."""
-    w = lambda c: F.array_distinct(T.words(F.lower(c)))
-    rows = a.select(key, w("text").alias("x")).join(b.select(key, w("text").alias("y")), key)
-    return rows.select(key, F.round(T.jaccard(F.col("x"), F.col("y")), 9).alias("similarity"), (T.jaccard(F.col("x"), F.col("y")) > 0.3).alias("related"))
+    """Overlap of the words, case kept, of two first pages (key, filename, text) and whether they are related: above 0.3, or of one family by name."""
+    w = lambda c: F.array_distinct(T.words(c))
+    side = lambda d, n: d.select(key, w("text").alias(f"w{n}"), T.normalized_stem("filename").alias(f"f{n}"))
+    rows = side(a, 0).join(side(b, 1), key).withColumn("s", T.jaccard(F.col("w0"), F.col("w1")))
+    return rows.select(key, F.round("s", 3).alias("similarity"), ((F.col("s") > 0.3) | F.col("f0").eqNullSafe(F.col("f1"))).alias("related"))
 
 
 def word_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import items, requirements, versions
 from .base import query, table
-from .fixture import CTE, icd_blocks
+from .fixture import CTE, icd_blocks, icd_documents
 
 
 def rev(spark, sf_dir, r: str) -> DataFrame:
     return icd_blocks(spark, sf_dir).where(F.col("rev") == r)
 
 
-def _items_cte(name: str, r: str) -> str:
-    """At most one token stands in a block of the fixture: full ids at k 1 and 10, bare tokens at 2, definitions at 3."""
+def _items_cte(name: str, r: str | None = None) -> str:
+    """Of all documents, or of revision r, by supplier. At most one token stands in a block of the fixture: full ids at k 1 and 10, bare tokens at 2, definitions at 3."""
     return f"""
-    {name}_b AS (SELECT *, regexp_extract(text, '(TBD|TBR|TBC|TBS)-\\w+-\\d+', 0) AS fid, regexp_extract(text, '(TBD|TBR|TBC|TBS)', 0) AS tok FROM icd WHERE rev = '{r}'),
+    {name}_b AS (SELECT *, regexp_extract(text, '(TBD|TBR|TBC|TBS)-\\w+-\\d+', 0) AS fid, regexp_extract(text, '(TBD|TBR|TBC|TBS)', 0) AS tok FROM {f"icd WHERE rev = '{r}'" if r else 'icdr'}),
     {name}_f AS (SELECT *, row_number() OVER (PARTITION BY doc, fid ORDER BY page, ord) AS nth, fid AS m FROM {name}_b WHERE fid <> ''),
     {name}_u AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, ord) AS nth, tok AS m FROM {name}_b WHERE fid = '' AND tok <> ''),
     {name}_a AS (SELECT doc, fid AS item_id, tok AS item_type, regexp_extract(fid, '-(\\w+)-', 1) AS owner, page, block_id, text, m FROM {name}_f WHERE nth = 1
@@ -28,8 +28,8 @@ def _items_cte(name: str, r: str) -> str:
         WHERE owner IS NOT NULL OR NOT (contains(lower(context), 'means that') OR contains(lower(context), 'to be determined') OR contains(lower(context), 'to be resolved')))"""
 
 
-def scanned(spark, sf_dir, r: str = "A") -> DataFrame:
-    return items.scan(rev(spark, sf_dir, r))
+def scanned(spark, sf_dir, r: str | None = None) -> DataFrame:
+    return items.scan(rev(spark, sf_dir, r) if r else icd_documents(spark, sf_dir))
 
 
 _STATUS = "CASE length(context) % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' WHEN 2 THEN 'resolved' ELSE 'verified' END AS status"
@@ -39,29 +39,29 @@ def _with_status(df: DataFrame) -> DataFrame:
     return df.withColumn("status", F.expr(_STATUS.removesuffix(" AS status"))).withColumn("title", F.concat(F.lit("Supplier "), "doc"))
 
 
-@query("tbx_items", f"WITH {CTE}, {_items_cte('t', 'A')} SELECT * FROM t")
+@query("tbx_items", f"WITH {CTE}, {_items_cte('t')} SELECT * FROM t")
 def tbx_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark, sf_dir)
 
 
-@query("items_stats", f"""WITH {CTE}, {_items_cte('t', 'A')}, s AS (SELECT *, {_STATUS} FROM t)
+@query("items_stats", f"""WITH {CTE}, {_items_cte('t')}, s AS (SELECT *, {_STATUS} FROM t)
     SELECT count(*) AS total_items, count(*) FILTER (status = 'open') AS open_count, count(*) FILTER (status = 'assigned') AS assigned_count, count(*) FILTER (status = 'resolved') AS resolved_count,
     count(*) FILTER (status = 'verified') AS verified_count, count(*) FILTER (item_type = 'TBD') AS tbd_count, count(*) FILTER (item_type = 'TBR') AS tbr_count, count(*) FILTER (in_shall) AS in_shall_statements, count(DISTINCT doc) AS documents_count FROM s""")
 def items_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.stats(_with_status(scanned(spark, sf_dir)))
 
 
-@query("items_filter", f"WITH {CTE}, {_items_cte('t', 'A')}, s AS (SELECT *, {_STATUS} FROM t) SELECT doc, item_id, status FROM s WHERE status = 'open' AND item_type = 'TBD' AND contains(lower(owner), 'ucb') AND in_shall")
+@query("items_filter", f"WITH {CTE}, {_items_cte('t')}, s AS (SELECT *, {_STATUS} FROM t) SELECT doc, item_id, status FROM s WHERE status = 'open' AND item_type = 'TBD' AND contains(lower(owner), 'ucb') AND in_shall")
 def items_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.filter_items(_with_status(scanned(spark, sf_dir)), status="open", item_type="tbd", owner="Ucb", in_shall=True).select("doc", "item_id", "status")
 
 
-@query("items_by_status", f"WITH {CTE}, {_items_cte('t', 'A')}, s AS (SELECT *, {_STATUS} FROM t) SELECT item_type, status, count(*) AS n FROM s GROUP BY ALL")
+@query("items_by_status", f"WITH {CTE}, {_items_cte('t')}, s AS (SELECT *, {_STATUS} FROM t) SELECT item_type, status, count(*) AS n FROM s GROUP BY ALL")
 def items_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_status(scanned(spark, sf_dir)).groupBy("item_type", "status").agg(F.count("*").alias("n"))
 
 
-@query("items_open_first", f"WITH {CTE}, {_items_cte('t', 'A')}, s AS (SELECT *, {_STATUS}, 'Supplier ' || doc AS title FROM t) SELECT doc, item_id, in_shall FROM s WHERE status = 'open' ORDER BY in_shall DESC, title, item_id LIMIT 10")
+@query("items_open_first", f"WITH {CTE}, {_items_cte('t')}, s AS (SELECT *, {_STATUS}, 'Supplier ' || doc AS title FROM t) SELECT doc, item_id, in_shall FROM s WHERE status = 'open' ORDER BY in_shall DESC, title, item_id LIMIT 10")
 def items_open_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-ten report."""
     return items.open_first(_with_status(scanned(spark, sf_dir))).select("doc", "item_id", "in_shall")
@@ -90,34 +90,34 @@ def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REQ = """
     q AS (SELECT *, CASE WHEN contains(lower(text), ' shall ') THEN 'shall' WHEN contains(lower(text), ' must ') THEN 'must' WHEN contains(lower(text), ' will ') THEN 'will' WHEN contains(lower(text), ' should ') THEN 'should' END AS normative_term,
-        last_value(nullif(regexp_extract(text, '^(\\d+\\.[\\d.]*\\d)', 1), '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, ord) AS section2 FROM icd WHERE rev = 'A'),
+        last_value(nullif(regexp_extract(text, '^(\\d+\\.[\\d.]*\\d)', 1), '') IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, ord) AS section2 FROM icdr),
     r AS (SELECT doc, page, block_id, normative_term, section2 AS section, nullif(regexp_extract(text, '\\b([A-Z]{2,}-[A-Z0-9]+-\\d+|REQ-\\d+)\\b', 1), '') AS requirement_id,
         CASE normative_term WHEN 'shall' THEN 0.95 WHEN 'must' THEN 0.85 ELSE 0.7 END::DOUBLE AS confidence, regexp_matches(text, '\\b(TBD|TBR|TBC|TBS)\\b') AS has_tbd, trim(text) AS text FROM q WHERE normative_term IS NOT NULL)"""
 
 
 @query("requirements", f"WITH {CTE}, {_REQ} SELECT * FROM r")
 def extracted_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requirements.extract(rev(spark, sf_dir, "A").drop("section"))
+    return requirements.extract(icd_documents(spark, sf_dir).drop("section"))
 
 
 @query("requirement_counts", f"WITH {CTE}, {_REQ} SELECT normative_term, count(*) AS n, count(*) FILTER (has_tbd) AS n_tbd, count(requirement_id) AS n_with_id FROM r GROUP BY normative_term")
 def requirement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requirements.counts(requirements.extract(rev(spark, sf_dir, "A").drop("section")))
+    return requirements.counts(requirements.extract(icd_documents(spark, sf_dir).drop("section")))
 
 
-@query("unresolved_references", f"""WITH {CTE}, i AS (SELECT * FROM icd WHERE rev = 'A'),
+@query("unresolved_references", f"""WITH {CTE}, i AS (SELECT * FROM icdr),
     d AS (SELECT DISTINCT doc, regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\.?\\s+\\S', 1) AS target FROM i), e AS (SELECT DISTINCT doc, regexp_extract(text, '^Table\\s+(\\d+)', 1) AS target FROM i WHERE starts_with(text, 'Table ')),
     a AS (SELECT doc, page, block_id, unnest(regexp_extract_all(text, '[Ss]ection\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target FROM i), b AS (SELECT doc, page, block_id, unnest(regexp_extract_all(text, 'Table\\s+(\\d+)', 1)) AS target FROM i WHERE NOT starts_with(text, 'Table '))
     SELECT doc, page, block_id, 'warning' AS severity, 'section' AS kind, target FROM a ANTI JOIN d USING (doc, target) UNION ALL SELECT doc, page, block_id, 'info', 'table', target FROM b ANTI JOIN e USING (doc, target)""")
 def unresolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requirements.unresolved_references(rev(spark, sf_dir, "A"))
+    return requirements.unresolved_references(icd_documents(spark, sf_dir))
 
 
 def _numbers(spark, sf_dir) -> DataFrame:
-    return rev(spark, sf_dir, "A").where("k in (4, 11)").select("doc", F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\s", 1).alias("number"))
+    return icd_documents(spark, sf_dir).select("doc", F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\s", 1).alias("number")).where("number <> ''")
 
 
-_NUM = f"WITH {CTE}, n AS (SELECT DISTINCT doc, regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\s', 1) AS number FROM icd WHERE rev = 'A' AND k IN (4, 11)),"
+_NUM = f"WITH {CTE}, n AS (SELECT DISTINCT doc, regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\s', 1) AS number FROM icdr WHERE regexp_matches(text, '^\\d+(\\.\\d+)*\\s')),"
 
 
 @query("numbering_gaps", _NUM + " g AS (SELECT doc, number, lag(number) OVER (PARTITION BY doc ORDER BY CAST(number AS INT)) AS prev FROM n WHERE NOT contains(number, '.')) SELECT doc, prev, number FROM g WHERE CAST(number AS INT) - CAST(prev AS INT) > 1")
@@ -152,7 +152,7 @@ def stem_and_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("families", f"""WITH {_FILES}, x AS (SELECT family, count(*) AS n_versions, count(DISTINCT sha256) AS n_contents, count(DISTINCT pages) AS n_page_counts, list(filename ORDER BY revision, filename) AS versions FROM g GROUP BY family HAVING count(*) >= 2)
-    SELECT family, n_versions, n_contents, n_page_counts, array_to_string(versions, ',') AS versions, CASE WHEN n_contents = 1 THEN 'identical' WHEN n_page_counts > 1 THEN 'changed' ELSE 'related' END AS status FROM x""")
+    SELECT family, n_versions, n_contents, n_page_counts, array_to_string(versions, ',') AS versions, CASE WHEN n_contents = 1 THEN 'identical' WHEN n_page_counts > 1 THEN 'page_count_differs' ELSE 'content_differs' END AS status FROM x""")
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.families(files(spark, sf_dir)).withColumn("versions", F.array_join("versions", ","))
 
@@ -202,10 +202,10 @@ def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.diff_totals(versions.compare_sections(sections(spark, sf_dir, "A"), sections(spark, sf_dir, "N"), "doc"), "doc")
 
 
-@query("spec_values", f"""WITH {CTE}, m AS (SELECT doc, page, block_id, text, regexp_extract(text, '(\\d+\\.?\\d*) (W|mm|ms|V)\\b', 0) AS m, regexp_extract(text, '(\\d+\\.?\\d*) (W|mm|ms|V)\\b', 1) AS v, regexp_extract(text, '(\\d+\\.?\\d*) (W|mm|ms|V)\\b', 2) AS unit FROM icd WHERE rev = 'A')
+@query("spec_values", f"""WITH {CTE}, m AS (SELECT doc, page, block_id, text, regexp_extract(text, '(\\d+\\.?\\d*) (W|mm|ms|V)\\b', 0) AS m, regexp_extract(text, '(\\d+\\.?\\d*) (W|mm|ms|V)\\b', 1) AS v, regexp_extract(text, '(\\d+\\.?\\d*) (W|mm|ms|V)\\b', 2) AS unit FROM icdr)
     SELECT doc, page, block_id, CAST(v AS DOUBLE) AS value, unit, trim(substr(text, greatest(strpos(text, m) - 60, 1), strpos(text, m) - greatest(strpos(text, m) - 60, 1) + length(m) + 60)) AS context FROM m WHERE m <> ''""")
 def spec_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.spec_values(rev(spark, sf_dir, "A")).select("doc", "page", "block_id", "value", "unit", "context")
+    return versions.spec_values(icd_documents(spark, sf_dir)).select("doc", "page", "block_id", "value", "unit", "context")
 
 
 @query("value_changes")
@@ -215,40 +215,46 @@ def value_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("maturity")
 def maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.maturity(rev(spark, sf_dir, "A"), scanned(spark, sf_dir))
+    return versions.maturity(icd_documents(spark, sf_dir), scanned(spark, sf_dir))
 
 
-@query("section_segments", f"""WITH {CTE}, b AS (SELECT *, CASE WHEN font_size > 12 THEN length(text) < 100 ELSE regexp_matches(text, '^(\\d+(\\.\\d+)*\\.?\\s+[A-Z]|[A-Z][A-Z\\s]{{4,}}$)') AND length(text) < 80 END AS h FROM icd WHERE rev = 'A'),
+@query("section_segments", f"""WITH {CTE}, b AS (SELECT *, CASE WHEN font_size > 12 THEN length(text) < 100 ELSE regexp_matches(text, '^(\\d+(\\.\\d+)*\\.?\\s+[A-Z]|[A-Z][A-Z\\s]{{4,}}$)') AND length(text) < 80 END AS h FROM icdr),
     s AS (SELECT *, sum(h::INT) OVER (PARTITION BY doc ORDER BY page, ord) AS seg FROM b)
     SELECT doc, CAST(seg AS BIGINT) AS seg, coalesce(max(CASE WHEN h THEN text END), 'Preamble') AS heading, coalesce(min(CASE WHEN h THEN page END), 1) AS page, count(*) FILTER (NOT h) AS n_blocks FROM s GROUP BY doc, seg HAVING count(*) FILTER (NOT h) > 0""")
 def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.segments(rev(spark, sf_dir, "A"))
+    return versions.segments(icd_documents(spark, sf_dir))
 
 
-@query("cross_references", f"""WITH {CTE}, p AS (SELECT doc, page, string_agg(text, ' ' ORDER BY ord) AS text FROM icd WHERE rev = 'A' GROUP BY doc, page), t AS (SELECT CAST(s_suppkey AS BIGINT) AS target, 'NAS-' || s_suppkey AS term FROM supplier)
+@query("cross_references", f"""WITH {CTE}, p AS (SELECT doc, page, string_agg(text, ' ' ORDER BY ord, text) AS text FROM icd GROUP BY doc, page), t AS (SELECT CAST(s_suppkey AS BIGINT) AS target, 'NAS-' || s_suppkey AS term FROM supplier)
     SELECT doc, page, target, term FROM p JOIN t ON doc <> target AND contains(lower(text), lower(term))""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
-    pages = rev(spark, sf_dir, "A").groupBy("doc", "page").agg(t.alias("text"))
+    pages = icd_blocks(spark, sf_dir).groupBy("doc", "page").agg(t.alias("text"))
     terms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), F.lit(0).alias("ord"), F.concat(F.lit("NAS-"), "s_suppkey").alias("term"))
     return versions.cross_references(pages, terms)
 
 
-@query("revision_and_date", f"""WITH {CTE}, i AS (SELECT * FROM icd WHERE k = 12)
-    SELECT block_id, regexp_extract(text, '[Rr]ev(?:ision)?[\\s.:]*([A-Z])\\b', 1) AS revision, CASE WHEN regexp_matches(text, '\\w+ \\d{{4}}') THEN regexp_extract(text, '(\\w+ \\d{{4}})', 1) ELSE regexp_extract(text, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) END AS date FROM i""")
+_FIRST = lambda *p: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{x}', 1), '')" for x in p) + ", '')"
+
+
+@query("revision_and_date", f"""WITH {CTE}
+    SELECT block_id, {_FIRST('[Rr]ev(?:ision)?[\\s.:]*([A-Z])\\b', '[Rr]ev(?:ision)?[\\s.:]*(\\d+)', '[Vv]ersion[\\s.:]*(\\d+(?:\\.\\d+)*)')} AS revision,
+    {_FIRST('(\\w+ \\d{4})', '(\\d{4}-\\d{2}-\\d{2})', '(\\d{2}/\\d{2}/\\d{4})')} AS date FROM icd""")
 def revision_and_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return icd_blocks(spark, sf_dir).where("k = 12").select("block_id", T.revision("text").alias("revision"), T.date_text("text").alias("date"))
+    return icd_blocks(spark, sf_dir).select("block_id", T.revision("text").alias("revision"), T.date_text("text").alias("date"))
 
 
 def _pairs(spark, sf_dir):
-    """Each document against the next one of its language, by number."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d, d.select((F.col("doc_id") - 1).alias("doc_id"), "text")
+    """Each document against the next one by number."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.coalesce("lang", F.lit("none")), F.lit("-"), F.coalesce("source", F.lit("none")), F.lit(".pdf")).alias("filename"))
+    return d, d.withColumn("doc_id", F.col("doc_id") - 1)
 
 
-@query("jaccard_pairs", """WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\\S+')) AS w FROM documents), p AS (SELECT a.doc_id, len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1) AS s FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
-    SELECT doc_id, round(s, 9) AS similarity, s > 0.3 AS related FROM p""")
+@query("jaccard_pairs", """WITH w AS (SELECT doc_id, lang, source, list_distinct(regexp_extract_all(text, '\\S+')) AS w FROM documents),
+    p AS (SELECT a.doc_id, len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1) AS s, a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AS same FROM w a JOIN w b ON b.doc_id = a.doc_id + 1)
+    SELECT doc_id, round(s, 3) AS similarity, s > 0.3 OR same AS related FROM p""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text stands for the first page, language and source for the name of the file."""
     return versions.quick_compare(*_pairs(spark, sf_dir), "doc_id")
 
 

@@ -7,6 +7,7 @@ most one open item. doc is the supplier, rev the return flag.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .base import table
 
@@ -31,9 +32,14 @@ SQL = """
             ELSE concat('Document NAS-', CAST(p_size AS STRING), ' Revision ', chr(CAST(65 + p_size % 6 AS INT)), ' dated 20', CAST(10 + p_size % 15 AS STRING), '-03-0', CAST(1 + p_size % 9 AS STRING), '.') END AS text
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 #: The same as a common table expression for oracles; DuckDB has no D suffix for doubles.
-CTE = "icd AS (" + SQL.replace("D0", "::DOUBLE").replace("2.5D0", "2.5::DOUBLE") + ")"
+CTE = "icd AS (" + SQL.replace("D0", "::DOUBLE").replace("2.5D0", "2.5::DOUBLE") + "), icdr AS (SELECT * REPLACE (doc * 32 + ascii(rev) - 65 AS doc) FROM icd)"
 
 
 def icd_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = SQL.replace("D0", "D").replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}")
     return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+
+
+def icd_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks; each revision of a supplier's document is a document of its own number."""
+    return icd_blocks(spark, sf_dir).withColumn("doc", F.col("doc") * 32 + F.ascii("rev") - 65)

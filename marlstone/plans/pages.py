@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import journal, layout, ocr
 from .base import query, table
-from .fixture import CTE, icd_blocks
+from .fixture import CTE, icd_blocks, icd_documents
 
 
 def _a(spark, sf_dir) -> DataFrame:
-    return icd_blocks(spark, sf_dir).where("rev = 'A'")
+    return icd_documents(spark, sf_dir)
 
 
 @query("block_types", f"""WITH {CTE} SELECT block_id, CASE WHEN y0 < 792 * 0.08 THEN 'header' WHEN y1 > 792 * 0.92 THEN 'footer' WHEN regexp_matches(text, '\\.{{4,}}') THEN 'list_item'
@@ -21,7 +21,7 @@ def block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icd_blocks(spark, sf_dir).select("block_id", layout.block_type().alias("block_type"))
 
 
-@query("page_classes", f"""WITH {CTE}, p AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY ord) AS text, (doc % 10) / 10.0::DOUBLE AS r, CAST(doc % 4 AS INT) AS n, CAST(doc % 30 AS INT) AS d, doc % 3 = 0 AS g FROM icd WHERE rev = 'A' GROUP BY doc, page),
+@query("page_classes", f"""WITH {CTE}, p AS (SELECT doc, page, string_agg(text, chr(10) ORDER BY ord) AS text, (doc % 10) / 10.0::DOUBLE AS r, CAST(doc % 4 AS INT) AS n, CAST(doc % 30 AS INT) AS d, doc % 3 = 0 AS g FROM icdr GROUP BY doc, page),
     c AS (SELECT doc, page, concat_ws(',', CASE WHEN length(text) > 10 THEN 'native_digital_text' END, CASE WHEN r > 0.3 THEN 'mixed_content' END, CASE WHEN d > 20 AND g THEN 'table_heavy' END, CASE WHEN d > 10 AND NOT g AND n < 3 THEN 'diagram_heavy' END, CASE WHEN page = 1 THEN 'cover' END,
         CASE WHEN len(regexp_extract_all(lower(text), 'shall')) >= 3 THEN 'requirements' END) AS classes FROM p)
     SELECT doc, page, classes, false AS ocr_required, CASE len(string_split(classes, ',')) WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM c""")
@@ -32,7 +32,7 @@ def page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_classes(p).select("doc", "page", F.array_join("classes", ",").alias("classes"), "ocr_required", "confidence")
 
 
-@query("header_footer", f"""WITH {CTE}, z AS (SELECT *, CASE WHEN y0 < 80 THEN 'header' WHEN y0 > 700 THEN 'footer' END AS position, substr(trim(text), 1, 50) AS t FROM icd WHERE rev = 'A')
+@query("header_footer", f"""WITH {CTE}, z AS (SELECT *, CASE WHEN y0 < 80 THEN 'header' WHEN y0 > 700 THEN 'footer' END AS position, substr(trim(text), 1, 50) AS t FROM icdr)
     SELECT doc, position, t AS text, count(*) AS n, array_to_string(list_sort(list_distinct(list(page))), ',') AS pages, array_to_string(list_sort(list(block_id)), ',') AS block_ids, round(avg(y0), 3) AS y_position FROM z WHERE position IS NOT NULL GROUP BY doc, position, t HAVING count(*) >= 3""")
 def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.headers_footers(_a(spark, sf_dir)).withColumns({"pages": F.array_join(F.col("pages").cast("array<string>"), ","), "block_ids": F.array_join("block_ids", ",")})
@@ -75,13 +75,13 @@ def header_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icd_blocks(spark, sf_dir).where("y0 < 60 or y0 > 700").select("block_id", F.when(F.col("y0") < 60, "header").otherwise("footer").alias("zone"), layout.alignment().alias("alignment"))
 
 
-@query("page_split", f"""WITH {CTE} SELECT doc, page + 1 AS page, block_id, 72 + coalesce(sum(y1 - y0 + 6) OVER w, 0) AS y0, 72 + coalesce(sum(y1 - y0 + 6) OVER w, 0) + y1 - y0 AS y1 FROM icd WHERE rev = 'A'
+@query("page_split", f"""WITH {CTE} SELECT doc, page + 1 AS page, block_id, 72 + coalesce(sum(y1 - y0 + 6) OVER w, 0) AS y0, 72 + coalesce(sum(y1 - y0 + 6) OVER w, 0) + y1 - y0 AS y1 FROM icdr
     WINDOW w AS (PARTITION BY doc, page ORDER BY y0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.split_page(_a(spark, sf_dir))
 
 
-@query("reflow", f"""WITH {CTE}, e AS (SELECT *, CASE WHEN ord % 5 = 0 THEN 24.0::DOUBLE - (y1 - y0) ELSE 0 END AS delta FROM icd WHERE rev = 'A'),
+@query("reflow", f"""WITH {CTE}, e AS (SELECT *, CASE WHEN ord % 5 = 0 THEN 24.0::DOUBLE - (y1 - y0) ELSE 0 END AS delta FROM icdr),
     s AS (SELECT *, CASE WHEN y0 < 60 OR y0 > 742 THEN 0 ELSE coalesce(sum(delta) OVER (PARTITION BY doc, page ORDER BY y0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS shift FROM e)
     SELECT doc, page, block_id, y0 + shift AS y0, y1 + shift + delta AS y1, greatest(y1 + shift + delta - 742, 0) AS overflow FROM s""")
 def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:

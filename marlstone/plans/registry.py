@@ -1,4 +1,4 @@
 """All queries of the engine's own operators."""
 
-from . import documents, pages, search, streams  # noqa: F401
+from . import diffs, documents, pages, search, streams  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluate, retrieval
+from ..operators import chunking, evaluate, providers, retrieval
 from .base import query, table
 
 SIZE, STEP = chunking.window_size(512, 64)
@@ -198,11 +198,29 @@ def rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rrf(spark, sf_dir)
 
 
-@query("rag_confidence", _RRF + """, f AS (SELECT * FROM r WHERE rank <= 10), g AS (SELECT query_id, max(score) AS top_score FROM f GROUP BY query_id),
-    h AS (SELECT query_id, top_score, CAST(count(*) FILTER (score > top_score / 2) AS INTEGER) AS strong FROM f JOIN g USING (query_id) GROUP BY query_id, top_score)
-    SELECT *, CASE WHEN top_score >= 0.03 AND strong >= 3 THEN 'high' WHEN top_score >= 0.02 THEN 'medium' ELSE 'low' END AS confidence FROM h""")
+_ANSWER = """, f AS (SELECT query_id, rank, chunk_id, score, text FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
+    x AS (SELECT query_id, string_agg('[' || rank || '] ' || chunk_id || ': ' || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context FROM f GROUP BY query_id),
+    an AS (SELECT query_id, array_to_string(string_split(context, chr(10) || chr(10))[1:3], chr(10) || chr(10)) AS answer FROM x)"""
+
+
+def _answers(spark, sf_dir, results: DataFrame) -> DataFrame:
+    c = retrieval.context(results, _whole_docs(spark, sf_dir))
+    return c.select("query_id", providers.ExtractiveGenerator().answer(F.lit(""), F.col("context")).alias("answer"))
+
+
+@query("rag_confidence", _RRF + _ANSWER + """, z AS (SELECT * FROM r WHERE rank <= 10), g AS (SELECT query_id, max(score) AS top_score FROM z GROUP BY query_id),
+    h AS (SELECT query_id, top_score, count(*) FILTER (score > top_score * 0.5) AS strong FROM z JOIN g USING (query_id) GROUP BY query_id, top_score)
+    SELECT query_id, top_score, strong, CASE WHEN contains(lower(answer), 'could not find') OR contains(lower(answer), 'no information') OR contains(lower(answer), 'unclear') OR contains(lower(answer), 'not specified') THEN 'low'
+        WHEN top_score > 0.03 AND strong >= 3 THEN 'high' WHEN top_score > 0.02 AND strong >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM an JOIN h USING (query_id)""")
 def rag_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.confidence(_rrf(spark, sf_dir))
+    results = _rrf(spark, sf_dir)
+    return retrieval.confidence(results, _answers(spark, sf_dir, results))
+
+
+@query("rag_warnings", _RRF + _ANSWER + " SELECT query_id, bool_or(contains(lower(text), 'tbd')) AS open_items, bool_or(contains(lower(answer), 'shall')) AS contractual FROM f JOIN an USING (query_id) GROUP BY query_id")
+def rag_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _rrf(spark, sf_dir)
+    return retrieval.warnings(results.join(_whole_docs(spark, sf_dir), "chunk_id"), _answers(spark, sf_dir, results))
 
 
 @query("rag_context", _RRF + """, f AS (SELECT query_id, rank, chunk_id, score, substr(text, 1, 200) AS t FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10)
@@ -211,17 +229,22 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.context(_rrf(spark, sf_dir), _whole_docs(spark, sf_dir))
 
 
-_JUDGE = """, f AS (SELECT r.query_id, rank, lower(d.text) AS t, lower(substr(b.text, 1, 40)) AS w1, lower(substr(b.text, 41, 40)) AS w2
+_JUDGE = """, f AS (SELECT r.query_id, rank, lower(d.text) AS t, lower(substr(b.text, 1, CAST(length(b.text) // 2 AS BIGINT))) AS w1, lower(substr(b.text, CAST(length(b.text) // 2 + 1 AS BIGINT))) AS w2
              FROM r JOIN documents d ON d.doc_id = r.chunk_id JOIN benchmark b ON b.item_id = r.query_id WHERE rank <= 10),
     g AS (SELECT *, contains(t, w1) AS h1, contains(t, w2) AS h2 FROM f),
-    mm AS (SELECT query_id, CAST(max(h1::INT) + max(h2::INT) AS DOUBLE) / 2 AS recall, coalesce(1.0::DOUBLE / min(CASE WHEN h1 OR h2 THEN rank END), 0) AS reciprocal_rank,
-                 sum(CASE WHEN h1 OR h2 THEN 1 / log2(rank + 1.0) ELSE 0 END) / (1 + 1 / log2(3.0)) AS n, bool_or(h1 OR h2) AS hit FROM g GROUP BY query_id)"""
+    m1 AS (SELECT query_id, CAST(max(h1::INT) + max(h2::INT) AS DOUBLE) / 2 AS recall, coalesce(1.0::DOUBLE / min(CASE WHEN h1 OR h2 THEN rank END), 0) AS reciprocal_rank,
+                 sum(CASE WHEN h1 OR h2 THEN 1 / log2(rank + 1.0) ELSE 0 END) / (1 + 1 / log2(3.0)) AS n, bool_or(h1 OR h2) AS hit FROM g GROUP BY query_id),
+    mm AS (SELECT item_id AS query_id, coalesce(recall, 0) AS recall, coalesce(reciprocal_rank, 0) AS reciprocal_rank, coalesce(n, 0) AS n, coalesce(hit, false) AS hit FROM benchmark LEFT JOIN m1 ON query_id = item_id)"""
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    """Both halves of a benchmark text are wanted; a query without hits counts with zeros."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))).alias("relevant_texts"))
 
 
 def _metrics(spark, sf_dir) -> DataFrame:
-    hits = _rrf(spark, sf_dir).join(_whole_docs(spark, sf_dir), "chunk_id")
-    judged = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.substring("text", 1, 40), F.substring("text", 41, 40)).alias("relevant_texts"))
-    return evaluate.score_queries(hits, judged.join(hits.select("query_id").distinct(), "query_id", "left_semi"))
+    return evaluate.score_queries(_rrf(spark, sf_dir).join(_whole_docs(spark, sf_dir), "chunk_id"), _judged(spark, sf_dir))
 
 
 @query("retrieval_metrics", _RRF + _JUDGE + " SELECT query_id, recall, reciprocal_rank, round(n, 9) AS ndcg_raw, round(least(n, 1.0), 9) AS ndcg_capped, hit FROM mm")

@@ -56,12 +56,12 @@ def hash_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", providers.HashingEmbedder().embed(F.col("text")).alias("embedding"))
 
 
-@query("report_requirements_markdown", f"WITH {CTE}, {_items_cte('t', 'A')}, c AS (SELECT item_type, count(*) AS n FROM t GROUP BY item_type) SELECT '# Open items' || chr(10) || chr(10) || '| item_type | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || item_type || ' | ' || n || ' |', chr(10) ORDER BY item_type) AS report FROM c")
+@query("report_requirements_markdown", f"WITH {CTE}, {_items_cte('t')}, c AS (SELECT item_type, count(*) AS n FROM t GROUP BY item_type) SELECT '# Open items' || chr(10) || chr(10) || '| item_type | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || item_type || ' | ' || n || ' |', chr(10) ORDER BY item_type) AS report FROM c")
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.markdown(scanned(spark, sf_dir).groupBy("item_type").agg(F.count("*").alias("n")), ["item_type", "n"], ["item_type"], "Open items")
 
 
-@query("export_items_csv", f"WITH {CTE}, {_items_cte('t', 'A')}, c AS (SELECT item_type, owner, count(*) AS n FROM t GROUP BY ALL) SELECT 'item_type,owner,n' || chr(10) || string_agg('\"' || item_type || '\",\"' || coalesce(owner, '') || '\",\"' || n || '\"', chr(10) ORDER BY item_type) AS csv FROM c")
+@query("export_items_csv", f"WITH {CTE}, {_items_cte('t')}, c AS (SELECT item_type, owner, count(*) AS n FROM t GROUP BY ALL) SELECT 'item_type,owner,n' || chr(10) || string_agg('\"' || item_type || '\",\"' || coalesce(owner, '') || '\",\"' || n || '\"', chr(10) ORDER BY item_type) AS csv FROM c")
 def export_items_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.csv_text(scanned(spark, sf_dir).groupBy("item_type", "owner").agg(F.count("*").alias("n")), ["item_type", "owner", "n"], ["item_type"])
 

@@ -16,23 +16,33 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir)
+    # As a pattern the path may be one file or a folder of part files.
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events[.]parquet")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_to_table(df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a Parquet table and read it; progress is kept in a checkpoint beside it."""
+    """Run a stream over what is there now into a Parquet table and read it; progress is kept in a checkpoint beside it.
+
+    In complete mode each batch holds the whole result, so the last one is read; in the others all are.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
 
+    made: list[int] = []
+
     def put(batch: DataFrame, epoch: int) -> None:
+        made.append(epoch)
         batch.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")  # the same epoch again replaces itself
 
     q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{path}/data")
+    out = spark.read.schema(df.schema)
+    if mode == "complete":
+        return out.parquet(f"{path}/data/epoch={max(made)}") if made else spark.createDataFrame([], df.schema)
+    return out.option("recursiveFileLookup", True).parquet(f"{path}/data") if made else spark.createDataFrame([], df.schema)
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "0 seconds") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import chunking, evaluate, items, journal, layout, providers, requirements, versions
+from marlstone.operators import chunking, diffs, evaluate, items, journal, layout, listing, providers, requirements, retrieval, versions
 from marlstone.plans.registry import QUERIES
 from marlstone.sources import connectors, ir, store
 
@@ -83,8 +83,11 @@ def test_C20_C22_C24(spark):
     assert [r.change for r in evaluate.compare_runs(runs).orderBy("run_id").collect()][1] == pytest.approx(0.1)
     s = spark.createDataFrame([(i, 0.4) for i in range(5)], "ord int, cost double")
     assert evaluate.within_budget(s, 1.0).count() == 3
-    v = spark.createDataFrame([("u", 0.56), ("c", 0.53), ("s", 0.5), ("w", 0.4)], "m string, mean_recall double")
-    assert [r.verdict for r in evaluate.recommend(v, 0.5).collect()] == ["upgrade", "consider", "stay", "worse"]
+    def verdict(recall, cost=1.0):
+        return tuple(evaluate.recommend(spark.createDataFrame([("m", recall, cost), ("worse", 0.1, 0.0)], "model_id string, best_recall double, cost_usd double"), "now", 0.5, 20).first())
+
+    assert verdict(0.56) == ("upgrade", "m", 0.56, 0.05, "medium") and verdict(0.53)[0] == "test_further"
+    assert verdict(0.5, 0.1)[0] == "cost_savings" and verdict(0.5) == ("stay", "now", 0.5, 0.00001, "medium") and verdict(0.4, 0.1)[0] == "stay"
 
 
 def test_D1_scan_rules(spark):
@@ -246,3 +249,95 @@ def test_entry_imports_without_llm(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ""})
     assert out.returncode == 0 and int(out.stdout.split()[0]) > 60
+
+
+def test_D15_D16_paragraph_changes(spark):
+    r = random.Random(3)
+    for _ in range(60):
+        a = [f"line {r.randrange(12)} of text" for _ in range(r.randrange(9))]
+        b = [x if r.random() < 0.7 else f"new {r.randrange(99)}" for x in a if r.random() < 0.9] + ["tail"] * r.randrange(3)
+        added, removed, modified, said = diffs.paragraph_diff("\n".join(a), "\n\n".join(b))
+        assert len(b) - len(a) == added - removed and 0 <= modified <= min(len(a), len(b)) and len(said) <= 5
+        assert (added, removed, modified) == (0, 0, 0) or a != b
+    assert diffs.paragraph_diff("a\nb\nc", "a\nX\nc\nd") == (1, 0, 1, ["b → X", '+ "d"'])
+    assert diffs.paragraph_diff("one\ntwo\nthree", "one") == (0, 2, 0, ['- "two"', '- "three"'])
+    assert diffs.paragraph_diff(None, "x\ny") == (2, 0, 0, ['+ "x"', '+ "y"'])
+    assert diffs.paragraph_diff("\n".join(f"old{i} {'w ' * 9}" for i in range(8)), "short") == (0, 7, 1, ['Changed: "old0 w w w w w w w w w..."', *[f'- "old{i} w w w w w w w w w"' for i in range(1, 5)]])
+    df = spark.createDataFrame([("a\nb", "a\nc"), (None, None)], "o string, n string").select(diffs.paragraph_changes("o", "n").alias("x")).select("x.*")
+    assert [tuple(x) for x in df.collect()] == [(0, 0, 1, ["b → c"]), (0, 0, 0, [])]
+
+
+def test_D17_line_change():
+    assert diffs.line_change("HSI_SYS_001H.doc rev A", "HSI_SYS_001I.doc rev B") == "HSI_SYS_001H.doc → HSI_SYS_001I.doc, A → B"
+    assert diffs.line_change("power 5 W", "power 5 W nominal") == '+ "nominal"' and diffs.line_change("power 5 W nominal", "power 5 W") == '- "nominal"'
+    assert diffs.line_change("a b c d", "e f g h") is None and diffs.line_change("x", "something else here") is None
+
+
+def test_P12_headings(spark):
+    cases = {
+        "4.1.2 Power Interface": True, "1. Scope": True, "28 V nominal bus": False, "INTRODUCTION": True, "DOCUMENT REVISION RECORD": True, "TABLE": False, "PARAGRAPH": False, "NUMBER OF UNITS": False,
+        "• Item one": False, "Figure 3 Layout": False, "1999-Mar-11": False, "8 x 10": False, "plain text": False, "1 " + "a" * 90: False,
+    }
+    rows = spark.createDataFrame([(k, 10.0) for k in cases] + [("Big Title", 20.0), ("HEMI big", 20.0), ("12", 20.0)], "t string, s double")
+    got = {r.t: r.h for r in rows.select("t", diffs.is_heading(F.col("t"), F.col("s")).alias("h")).collect()}
+    assert got == {**cases, "Big Title": True, "HEMI big": False, "12": False}
+
+
+def test_D2_section_items(spark):
+    text = "Use TBR-UCB-102 and TBR-UCB-102. Mass is TBD here, far from others of its kind. TBD means that a value is open, as was said above at length. Later TBS."
+    got = {r.item_id: (r.item_type, r.owner, r.page) for r in diffs.section_items(spark.createDataFrame([(1, 1, 7, text), (1, 2, 9, "TBD TBD-X-1")], "doc int, section int, page int, text string")).collect()}
+    assert got == {"TBR-UCB-102": ("TBR", "UCB", 7), "TBD-007-01": ("TBD", None, 7), "TBS-007-03": ("TBS", None, 7), "TBD-X-1": ("TBD", "X", 9)}
+
+
+def test_C15_C16_confidence_and_warnings(spark):
+    hits = spark.createDataFrame([(q, r, r, s, t) for q, xs in {1: [0.031, 0.03, 0.02], 2: [0.03, 0.02, 0.02], 3: [0.031, 0.01], 4: [0.05, 0.05, 0.05], 6: [0.021, 0.02]}.items() for r, (s, t) in enumerate(zip(xs, ["has a tbd", "x", "y"]), 1)], "query_id int, rank int, chunk_id int, score double, text string")
+    answers = spark.createDataFrame([(1, "It shall be so."), (2, "b"), (3, "c"), (4, "I could not find it"), (5, "none"), (6, None)], "query_id int, answer string")
+    assert {r.query_id: r.confidence for r in retrieval.confidence(hits, answers).collect()} == {1: "high", 2: "medium", 3: "low", 4: "low", 5: "low", 6: "medium"}
+    assert {r.query_id: (r.open_items, r.contractual) for r in retrieval.warnings(hits, answers).collect()} == {1: (True, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (False, False), 6: (True, False)}
+
+
+def test_A7_document_without_counted_blocks(spark):
+    b = spark.createDataFrame([(1, 1, 0, "1 Scope", 10.0), (2, 1, 0, "text of it", 10.0), (2, 1, 1, "more text", 10.0), (2, 1, 2, "and more", 10.0)], "doc int, page int, ord int, text string, font_size double")
+    i = spark.createDataFrame([(2, 1, "about something")], "doc int, page int, context string")
+    got = {(r.doc, r.heading): (r.n_blocks, r.n_items, r.score, r.rating) for r in versions.maturity(b, i).collect()}
+    assert got == {(1, "overall"): (0, 0, 1.0, "high"), (2, "Preamble"): (3, 1, 0.667, "low"), (2, "overall"): (3, 1, 0.667, "low")}
+
+
+def test_W13_lone_page_numbers(spark):
+    rows = [(1, 1, i, t) for i, t in enumerate(["1.", "Scope ........ 3", "Purpose .......", "12", "2.1", "Means .... iv", "Other text", "Ends ..... 7"])]
+    got = [(r.title, r.ref) for r in layout.toc_entries(spark.createDataFrame(rows, "doc int, page int, ord int, text string")).orderBy("ord").collect()]
+    assert got == [("1. Scope", "3"), ("Purpose", "12"), ("2.1 Means", "iv"), ("Ends", "7")]
+
+
+@pytest.mark.parametrize("mode", ["complete", "append"])
+def test_T9_streams_over_several_files(spark, tmp_path, mode):
+    """Two part files in a folder, a batch each: results count every event once."""
+    from marlstone.streaming import events
+
+    rows = spark.range(2000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 60) as ts", "id % 5 as user_id", "'view' as event_type", "1.0D as value", "'' as props")
+    rows.repartitionByRange(2, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    out = events.run_to_table(events.sliding(events.stream(spark, str(tmp_path))), "t", mode)
+    got = {r.w: r.n for r in out.collect()}
+    assert len(got) == out.count() and max(got.values()) == 120
+    assert sum(got.values()) == 4000 if mode == "complete" else 3000 < sum(got.values()) <= 4000
+
+
+def test_C18_S30_grid_and_runs(spark, tmp_path):
+    judged = spark.createDataFrame([(1, ["alpha"]), (2, ["beta"])], "query_id int, relevant_texts array<string>")
+    hits = spark.createDataFrame([(1, 1, "has Alpha")], "query_id int, rank int, text string")
+    g = evaluate.grid(judged, {"a": hits, "b": None})
+    s = {r.config: (r.mean_recall, r.n_queries) for r in evaluate.aggregate(g, "config").collect()}
+    assert s == {"a": (0.5, 2), "b": (0.0, 2)}
+    for run, keep in (("20240101_000000", "a"), ("20240102_000000", "b")):
+        evaluate.save_run(evaluate.aggregate(g.where(F.col("config") == keep), "config"), str(tmp_path / "runs"), run)
+    assert [(r.config, r.run_id) for r in evaluate.latest_run(spark, str(tmp_path / "runs")).collect()] == [("b", "20240102_000000")]
+
+
+def test_J13_J19_P14_J4(spark):
+    b = spark.createDataFrame([(1, 1, "c", "caption", "Table 1", 10.0, 20.0), (1, 1, "p", "paragraph", "k\nv", 30.0, 60.0), (1, 1, "q", "paragraph", "k\nv", 40.0, 60.0), (1, 1, "s", "paragraph", "one", 25.0, 30.0)], "doc int, page int, block_id string, block_type string, text string, y0 double, y1 double")
+    assert [r.block_id for r in listing.table_data(b).collect()] == ["p"]
+    ids = spark.createDataFrame([("p",), ("p",)], "block_id string")
+    assert listing.without_rogue(b, ids).count() == 3
+    assert {r.block_id: r.text for r in listing.update_header(b, ids, "k", "K").collect()} == {"c": "Table 1", "p": "K\nv", "q": "k\nv", "s": "one"}
+    f = spark.createDataFrame([("x/a.pdf",), ("b.pdf",)], "filename string")
+    assert [r.filename for r in listing.indexed_only(f, spark.createDataFrame([("a",)], "stem string")).collect()] == ["x/a.pdf"]
