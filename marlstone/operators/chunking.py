@@ -85,11 +85,11 @@ def sections(elements: DataFrame, max_tokens: int = 1024, prefix: bool = True) -
     return parts.select("doc", "page", number.alias("chunk"), F.lit("section").alias("content_type"), "section_heading", "text")
 
 
-def windows(texts: DataFrame, size: int, step: int) -> DataFrame:
-    """(doc, chunk, text) from (doc, words): windows of ``size`` words every ``step`` words while a start is left."""
+def windows(texts: DataFrame, size: int, step: int, *carry: str) -> DataFrame:
+    """(doc, chunk, text, carried columns) from (doc, words, ...): windows of ``size`` words every ``step`` words while a start is left."""
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(step))
-    rows = texts.where(F.size("words") > 0).select("doc", "words", F.posexplode(starts).alias("chunk", "at"))
-    return rows.select("doc", "chunk", F.array_join(F.slice("words", F.col("at") + 1, size), " ").alias("text"))
+    rows = texts.where(F.size("words") > 0).select("doc", "words", *carry, F.posexplode(starts).alias("chunk", "at"))
+    return rows.select("doc", "chunk", F.array_join(F.slice("words", F.col("at") + 1, size), " ").alias("text"), *carry)
 
 
 def window_size(max_tokens: int, overlap_tokens: int) -> tuple[int, int]:

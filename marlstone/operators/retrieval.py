@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,50 +31,195 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, by: dict | None = None) -> DataFrame:
-    """(query_id, chunk_id, score) of chunks with any query term. Statistics are those of all chunks; filters only choose.
-
-    Only terms that some query holds become postings, counted inside the chunk's row before anything is shuffled.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    docs = chunks.withColumn("_t", T.tokens("text")).withColumn("dl", F.size("_t"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    held = docs.where(filters(by)).select("chunk_id", "dl", F.explode("_t").alias("term"))
-    wanted = terms.select("term").distinct()
-    tf = held.join(wanted, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    everywhere = docs.select(F.explode(F.array_distinct("_t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = everywhere.crossJoin(stats).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # stats is one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return terms.join(idf, "term").join(tf, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+#: Queries that are scored together, and rows of which all scores are held at a time.
+QUERY_BLOCK, ROWS = 512, 2048
+
+
+def _hashes(text: Column | str) -> Column:
+    return F.transform(T.tokens(text), lambda t: F.xxhash64(t))
+
+
+class KeywordScorer:
+    """BM25 of rows of token hashes for a block of queries; holds the block's terms with their weights and the queries of each."""
+
+    def __init__(self, query: np.ndarray, term: np.ndarray, idf: dict[int, float], avgdl: float):
+        order = np.argsort(term, kind="stable")
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.queries, self.first = query[order], np.append(first, len(order))
+        self.idf, self.avgdl = np.array([idf.get(int(t), 0.0) for t in self.terms]), avgdl
+
+    def scores(self, tokens: pa.ListArray, n_queries: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (queries, rows), and which rows hold a term of the query."""
+        rows = len(tokens)
+        out, met = np.zeros((n_queries, rows)), np.zeros((n_queries, rows), bool)
+        at = np.asarray(tokens.offsets, dtype=np.int64)
+        values = np.asarray(tokens.values, dtype=np.int64)[at[0] : at[-1]]
+        length = np.diff(at)
+        row = np.repeat(np.arange(rows), length)
+        if not len(self.terms) or not len(values):
+            return out, met
+        k = np.minimum(np.searchsorted(self.terms, values), len(self.terms) - 1)
+        held = self.terms[k] == values
+        cell, tf = np.unique(row[held] * len(self.terms) + k[held], return_counts=True)
+        row, k = cell // len(self.terms), cell % len(self.terms)
+        part = self.idf[k] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.avgdl))
+        n = self.first[k + 1] - self.first[k]
+        ends = np.cumsum(n)
+        place = np.repeat(self.first[k] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        flat = self.queries[place] * rows + np.repeat(row, n)
+        out = np.bincount(flat, weights=np.repeat(part, n), minlength=n_queries * rows).reshape(n_queries, rows)
+        met.ravel()[flat] = True
+        return out, met
+
+
+def _best(ids: np.ndarray, queries: np.ndarray, scores: np.ndarray, met: np.ndarray, k: int):
+    """(query, id, score) of the k best rows of each query, ties to the smaller id."""
+    by_id = np.argsort(ids, kind="stable")
+    ids, scores, met = ids[by_id], scores[:, by_id], met[:, by_id]
+    q, c, s = [], [], []
+    for j in range(len(queries)):
+        at = np.flatnonzero(met[j])
+        if len(at) > k:  # ids ascend, so a stable order keeps the smaller of equal scores
+            at = at[np.argsort(-scores[j, at], kind="stable")[:k]]
+        q += [queries[j]] * len(at)
+        c.append(ids[at])
+        s.append(scores[j, at])
+    return q, np.concatenate(c) if c else ids[:0], np.concatenate(s) if s else np.zeros(0)
+
+
+def _scan(rows: DataFrame, queries: list, score, k: int, query_type: str) -> DataFrame:
+    """Best k of each batch of rows (chunk_id, ...) for each query, of which ``top`` takes the best; only these are shuffled."""
+    id_type = dict(rows.dtypes)["chunk_id"]
+
+    def run(it):
+        ask = np.array(queries, dtype=object)
+        for batch in it:
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
+                ids = np.array(b.column("chunk_id").to_pylist(), dtype=object if id_type == "string" else None)
+                q, c, s = _best(ids, ask, *score(b), k)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.string() if query_type == "string" else pa.int64()), pa.array(list(c), b.column("chunk_id").type), pa.array(s, pa.float64())], ["query_id", "chunk_id", "score"])
+
+    kind = "string" if query_type == "string" else "long"
+    found = rows.mapInArrow(run, f"query_id {kind}, chunk_id {id_type}, score double")
+    return found.withColumn("query_id", F.col("query_id").cast(query_type))
+
+
+def _blocks(rows: list, size: int = QUERY_BLOCK):
+    return [rows[i : i + size] for i in range(0, len(rows), size)]
+
+
+def _statistics(chunks: DataFrame, queries: DataFrame) -> tuple[list, dict[int, float], float]:
+    """The stated queries with their term hashes, the weights of those terms and the mean length: over all chunks, whatever is filtered."""
+    asked = queries.select("query_id", F.array_distinct(_hashes("query")).alias("terms")).orderBy("query_id").collect()
+    # One pass: each chunk gives its distinct terms, and a null for itself, so that chunks and lengths are counted beside them.
+    docs = chunks.select(_hashes("text").alias("t"))
+    terms = docs.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("long")))).alias("term"))
+    counted = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    wanted = queries.select(F.explode(F.array_distinct(_hashes("query"))).alias("term")).distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("long").alias("term")))
+    found = counted.alias("c").join(wanted.alias("w"), F.col("c.term").eqNullSafe(F.col("w.term")), "left_semi").collect()
+    n, total = next(((r.df, r.total) for r in found if r.term is None), (0, 0))
+    return asked, {r.term: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in found if r.term is not None}, total / n if total else 1.0
+
+
+def _scorer(block: list, idf: dict, mean: float) -> KeywordScorer:
+    q = np.concatenate([np.full(len(r.terms), j) for j, r in enumerate(block)]).astype(np.int64)
+    t = np.concatenate([np.array(r.terms, dtype=np.int64) for r in block])
+    return KeywordScorer(q, t, idf, mean)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keyword(chunks: DataFrame, queries: DataFrame, k: int = 10, by: dict | None = None) -> DataFrame:
-    return top(bm25_scores(chunks, queries, by), k)
+    """BM25 top k for a stated query set. A task scores its chunks against a block of queries and hands on k a query, so nothing else is shuffled; statistics are those of all chunks."""
+    asked, idf, mean = _statistics(chunks, queries)
+    rows = chunks.where(filters(by)).select("chunk_id", _hashes("text").alias("t"))
+    kind = dict(queries.dtypes)["query_id"]
+    out = []
+    for block in _blocks(asked) or [[]]:
+        scorer = _scorer(block, idf, mean) if block else None
+
+        def score(b, scorer=scorer, n=len(block)):
+            if scorer is None:
+                return np.zeros((0, b.num_rows)), np.zeros((0, b.num_rows), bool)
+            s, met = scorer.scores(b.column("t"), n)
+            return np.round(s, 6), met
+
+        out.append(_scan(rows, [r.query_id for r in block], score, k, kind))
+    return top(_union(out), k)
+
+
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of ``dims`` components as rows, others as zeros, and which rows have them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = np.array([-1 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()])
+    ok = n == dims
+    out = np.zeros((len(n), dims))
+    if ok.any():
+        out[ok] = np.asarray(column.filter(pa.array(ok)).flatten().fill_null(0), dtype=np.float64).reshape(-1, dims)
+    return out, ok
+
 
+def _by_size(queries: DataFrame) -> dict[int, list]:
+    """The stated query vectors by their dimension."""
+    out: dict[int, list] = {}
+    for r in queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").collect():
+        out.setdefault(len(r.embedding), []).append(r)
+    return out
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows, kind, out = vectors.select("chunk_id", "embedding"), dict(queries.dtypes)["query_id"], []
+    for dims, asked in (_by_size(queries) or {0: []}).items():
+        for block in _blocks(asked) or [[]]:
+            q = np.array([r.embedding for r in block], np.float64).reshape(len(block), dims)
 
-def knn_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Inner products of a stated query set (query_id, embedding) with all vectors (chunk_id, embedding); dimensions must agree."""
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    pairs = vectors.join(q, F.size("embedding") == F.size("_q"))
-    return pairs.select("query_id", "chunk_id", F.round(dot("embedding", "_q"), 6).alias("score"))
+            def score(b, q=q, dims=dims):
+                x, ok = _matrix(b.column("embedding"), dims)
+                return np.round(q @ x.T, 6), np.broadcast_to(ok, (len(q), len(x)))
+
+            out.append(_scan(rows, [r.query_id for r in block], score, k, kind))
+    return top(_union(out), k)
 
 
 def vector(vectors: DataFrame, queries: DataFrame, k: int = 10, by: dict | None = None, placement: str = "pre") -> DataFrame:
-    """kNN. Filters choose before the k are taken; ``placement="post"`` takes k first and may return fewer."""
+    """kNN for a stated query set, by blocks of queries against batches of vectors. Filters choose before the k are taken; ``placement="post"`` takes k first and may return fewer."""
     if placement == "pre":
-        return top(knn_scores(vectors.where(filters(by)), queries), k)
+        return _nearest(vectors.where(filters(by)), queries, k)
     kept = vectors.where(filters(by)).select("chunk_id")
-    return top(knn_scores(vectors, queries), k).join(kept, "chunk_id", "left_semi").select("query_id", "rank", "chunk_id", "score")
-
-
-def hybrid(keyword_scores: DataFrame, vector_scores: DataFrame, k: int = 10, keyword_boost: float = 0.3, vector_boost: float = 0.7) -> DataFrame:
-    """Boosted sum of both scores; a chunk found by one alone has that part."""
-    both = keyword_scores.withColumn("score", F.col("score") * keyword_boost).unionByName(vector_scores.withColumn("score", F.col("score") * vector_boost))
-    return top(both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")), k)
+    return _nearest(vectors, queries, k).join(kept, "chunk_id", "left_semi").select("query_id", "rank", "chunk_id", "score")
+
+
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, keyword_boost: float = 0.3, vector_boost: float = 0.7) -> DataFrame:
+    """Boosted sum of BM25 and inner product; a chunk that one of them alone finds has that part. Text and vector of a chunk meet once, and each task hands on k a query."""
+    asked, idf, mean = _statistics(chunks, queries)
+    rows = chunks.select("chunk_id", _hashes("text").alias("t")).join(vectors.select("chunk_id", "embedding"), "chunk_id", "full_outer")
+    rows = rows.withColumn("t", F.coalesce("t", F.array().cast("array<bigint>")))
+    known = {r.query_id: r.embedding for r in query_vectors.where("embedding is not null").select("query_id", "embedding").collect()}
+    have = {r.query_id for r in asked}
+    asked = [(r.query_id, list(r.terms)) for r in asked] + [(q, []) for q in sorted(known) if q not in have]
+    out = []
+    for block in _blocks(asked) or [[]]:
+        scorer = KeywordScorer(np.concatenate([np.full(len(t), j) for j, (_, t) in enumerate(block)] or [np.zeros(0)]).astype(np.int64), np.concatenate([np.array(t, np.int64) for _, t in block] or [np.zeros(0, np.int64)]), idf, mean)
+        sized: dict[int, list] = {}
+        for j, (q, _) in enumerate(block):
+            if q in known:
+                sized.setdefault(len(known[q]), []).append(j)
+        sides = [(d, js, np.array([known[block[j][0]] for j in js], np.float64)) for d, js in sized.items()]
+
+        def score(b, scorer=scorer, sides=sides, n=len(block)):
+            s, met = scorer.scores(b.column("t"), n)
+            s = np.round(s, 6) * keyword_boost
+            for dims, js, q in sides:
+                x, ok = _matrix(b.column("embedding"), dims)
+                s[js] += np.round(q @ x.T, 6) * ok * vector_boost
+                met[js] |= ok
+            return np.round(s, 9), met
+
+        out.append(_scan(rows, [q for q, _ in block], score, k, dict(queries.dtypes)["query_id"]))
+    return top(_union(out), k)
 
 
 def rrf(keyword_top: DataFrame, vector_top: DataFrame, k: int = 10) -> DataFrame:
@@ -86,6 +234,17 @@ def fetch_size(k: int) -> int:
     return min(3 * k, 100)
 
 
+def search(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, mode: str = "hybrid", k: int = 10, by: dict | None = None) -> DataFrame:
+    """Results of a mode: keyword, vector, hybrid or rrf. Filters hold in the first two, which are the ones that take them before the k."""
+    modes = {
+        "keyword": lambda: keyword(chunks, queries, k, by), "vector": lambda: vector(vectors, query_vectors, k, by), "hybrid": lambda: hybrid(chunks, vectors, queries, query_vectors, k),
+        "rrf": lambda: rrf(keyword(chunks, queries, fetch_size(k)), vector(vectors, query_vectors, fetch_size(k)), k),
+    }
+    if mode not in modes:
+        raise ValueError(f"no search mode {mode}; there are {', '.join(modes)}")
+    return modes[mode]()
+
+
 def context(results: DataFrame, chunks: DataFrame) -> DataFrame:
     """Numbered passages and citations of each query's results, in order of rank."""
     rows = results.join(chunks, "chunk_id")

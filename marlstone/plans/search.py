@@ -86,8 +86,8 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark, sf_dir) -> DataFrame:
     """Sliding windows with their source's filter columns."""
-    c = chunking.windows(doc_words(spark, sf_dir), SIZE, STEP).select(F.concat("doc", F.lit("_"), "chunk").alias("chunk_id"), "doc", "text")
-    return c.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source"), "doc")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words("text").alias("words"), "lang", "source")
+    return chunking.windows(docs, SIZE, STEP, "lang", "source").select(F.concat("doc", F.lit("_"), "chunk").alias("chunk_id"), "doc", "text", "lang", "source")
 
 
 def queries_of(spark, sf_dir) -> DataFrame:
@@ -176,7 +176,7 @@ _WHOLE = f"""
     SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 10""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and vectors are paired by equal numbers: a choice of this query, the tables do not say so."""
-    return retrieval.hybrid(retrieval.bm25_scores(_whole_docs(spark, sf_dir), queries_of(spark, sf_dir)), retrieval.knn_scores(vectors(spark, sf_dir), vector_queries(spark, sf_dir)))
+    return retrieval.search(_whole_docs(spark, sf_dir), vectors(spark, sf_dir), queries_of(spark, sf_dir), vector_queries(spark, sf_dir), "hybrid")
 
 
 _RRF = f"""
