@@ -158,14 +158,6 @@ def reflow(blocks: DataFrame, edited: DataFrame, line_height: float = 12.0, bott
     return rows.select("doc", "page", "block_id", (F.col("y0") + F.col("shift")).alias("y0"), (F.col("y1") + F.col("shift") + F.col("delta")).alias("y1"), F.greatest(F.col("y1") + F.col("shift") + F.col("delta") - bottom, F.lit(0.0)).alias("overflow"))
 
 
-def split_page(blocks: DataFrame, margin: float = 72.0, gap: float = 6.0) -> DataFrame:
-    """Blocks moved to a new page stand below each other: y is the margin plus the heights and gaps before."""
-    w = Window.partitionBy("doc", "page").orderBy("y0", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    h = F.col("y1") - F.col("y0")
-    y = margin + F.coalesce(F.sum(h + gap).over(w), F.lit(0.0))
-    return blocks.select("doc", (F.col("page") + 1).alias("page"), "block_id", y.alias("y0"), (y + h).alias("y1"))
-
-
 def toc_entries(lines: DataFrame) -> DataFrame:
     """Table-of-contents lines (doc, page, ord, text): number prefixes with a point join the next entry, a lone page number is the reference of the entry before; pages with three references or more count."""
     parts = r"^(.*?)\s*\.{3,}\s*(\d+|[ivxlc]+)?\s*$"

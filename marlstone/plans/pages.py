@@ -75,12 +75,6 @@ def header_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icd_blocks(spark, sf_dir).where("y0 < 60 or y0 > 700").select("block_id", F.when(F.col("y0") < 60, "header").otherwise("footer").alias("zone"), layout.alignment().alias("alignment"))
 
 
-@query("page_split", f"""WITH {CTE} SELECT doc, page + 1 AS page, block_id, 72 + coalesce(sum(y1 - y0 + 6) OVER w, 0) AS y0, 72 + coalesce(sum(y1 - y0 + 6) OVER w, 0) + y1 - y0 AS y1 FROM icdr
-    WINDOW w AS (PARTITION BY doc, page ORDER BY y0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.split_page(_a(spark, sf_dir))
-
-
 @query("reflow", f"""WITH {CTE}, e AS (SELECT *, CASE WHEN ord % 5 = 0 THEN 24.0::DOUBLE - (y1 - y0) ELSE 0 END AS delta FROM icdr),
     s AS (SELECT *, CASE WHEN y0 < 60 OR y0 > 742 THEN 0 ELSE coalesce(sum(delta) OVER (PARTITION BY doc, page ORDER BY y0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END AS shift FROM e)
     SELECT doc, page, block_id, y0 + shift AS y0, y1 + shift + delta AS y1, greatest(y1 + shift + delta - 742, 0) AS overflow FROM s""")
