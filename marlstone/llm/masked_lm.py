@@ -79,6 +79,17 @@ def _order(numbers: np.ndarray) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16), kind="stable")
 
 
+def _softmax(z: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Turns the columns of z into their softmax; returns the log probability of the given row of each."""
+    z -= z.max(0)
+    logp = z[row, n]
+    np.exp(z, out=z)
+    total = z.sum(0)
+    z /= total
+    logp -= np.log(total)
+    return logp
+
+
 class Network:
     """Parameters as float32 arrays; ``flat`` and ``set`` turn them into one vector and back."""
 
@@ -102,31 +113,29 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = self.p["E"][context]
-        return e, np.tanh((e * self.p["P"]).sum(1) + self.p["b"])
+        a = e[:, 0] * self.p["P"][0]
+        for k in range(1, 2 * WIDTH):
+            a += e[:, k] * self.p["P"][k]
+        a += self.p["b"]
+        return e, np.tanh(a, out=a)
 
     def _output(self, h: np.ndarray, y: np.ndarray):
-        """Log probabilities of y, which ascend, and for training the two softmaxes, by groups of the vocabulary."""
-        z = h @ self.p["G"] + self.p["g"]
-        z -= z.max(1, keepdims=True)
+        """Log probabilities of y, which ascend, and for training the two softmaxes, by groups of the vocabulary.
+
+        The softmaxes have a column for each word, so that maxima and sums run over whole rows at once.
+        """
+        across = np.ascontiguousarray(h.T)
         n, group = np.arange(len(y)), y // GROUP
-        logp = z[n, group]
-        np.exp(z, out=z)
-        total = z.sum(1)
-        logp -= np.log(total)
-        z /= total[:, None]
+        z = self.p["G"].T @ across
+        z += self.p["g"][:, None]
+        logp = _softmax(z, group, n)
         cut = np.searchsorted(y, np.arange(0, VOCAB + 1, GROUP))
-        inner = np.empty((len(y), GROUP), np.float32)
+        inner = np.empty((GROUP, len(y)), np.float32)
         for k in np.flatnonzero(np.diff(cut)).tolist():
-            own = slice(k * GROUP, (k + 1) * GROUP)
-            np.matmul(h[cut[k] : cut[k + 1]], self.p["W"][own].T, out=inner[cut[k] : cut[k + 1]])
-            inner[cut[k] : cut[k + 1]] += self.p["w"][own]
-        inner -= inner.max(1, keepdims=True)
+            own, rows = slice(k * GROUP, (k + 1) * GROUP), slice(cut[k], cut[k + 1])
+            np.add(self.p["W"][own] @ across[:, rows], self.p["w"][own][:, None], out=inner[:, rows])
         place = y - group * GROUP
-        logp += inner[n, place]
-        np.exp(inner, out=inner)
-        total = inner.sum(1)
-        logp -= np.log(total)
-        inner /= total[:, None]
+        logp += _softmax(inner, place, n)
         return logp, z, group, inner, place, cut
 
     def log_probs(self, context: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -142,17 +151,18 @@ class Network:
         e, h = self.hidden(context)
         logp, pz, group, inner, place, cut = self._output(h, y)
         n, size = np.arange(len(y)), np.float32(len(y))
-        pz[n, group] -= 1
+        pz[group, n] -= 1
         pz /= size
-        inner[n, place] -= 1
+        inner[place, n] -= 1
         inner /= size
-        grad = {"G": h.T @ pz, "g": pz.sum(0), "W": np.zeros_like(self.p["W"]), "w": np.zeros_like(self.p["w"])}
-        dh = pz @ self.p["G"].T
+        grad = {"G": (pz @ h).T, "g": pz.sum(1), "W": np.zeros_like(self.p["W"]), "w": np.zeros_like(self.p["w"])}
+        dh = pz.T @ self.p["G"].T
         for k in np.flatnonzero(np.diff(cut)).tolist():
             own, rows = slice(k * GROUP, (k + 1) * GROUP), slice(cut[k], cut[k + 1])
-            grad["W"][own] = inner[rows].T @ h[rows]
-            grad["w"][own] = inner[rows].sum(0)
-            dh[rows] += inner[rows] @ self.p["W"][own]
+            part = inner[:, rows]
+            grad["W"][own] = part @ h[rows]
+            grad["w"][own] = part.sum(1)
+            dh[rows] += part.T @ self.p["W"][own]
         da = dh * (1 - h * h)
         grad["b"] = da.sum(0)
         grad["P"] = np.einsum("nkd,nd->kd", e, da)
