@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, licenses, masked_lm, mixing, mtree, near_dedup, packing, sstable, toxicity
+from . import byte_bpe, exact_dedup, hard_negatives, language_id, licenses, masked_lm, mixing, mtree, near_dedup, packing, periodic, sstable, toxicity
 
-MODULES = [mtree, exact_dedup, near_dedup, packing, sstable, language_id, toxicity, licenses, masked_lm, mixing]
+MODULES = [mtree, exact_dedup, near_dedup, packing, sstable, language_id, toxicity, licenses, masked_lm, mixing, periodic, byte_bpe, hard_negatives]
 
 
 def queries() -> dict:

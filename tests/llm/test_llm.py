@@ -85,7 +85,7 @@ REPEATED = [(None, "no id", "en", "a", 1), *[(5, "twice the same row here", "en"
 TIMES = {
     "op1_mtree_topk": None, "op2_license_scan": {}, "op3_exact_dedup": {5: 1, 6: 1, 7: 2}, "op4_minhash_near_dedup": {5: 1, 6: 1, 7: 2}, "op5_best_fit_packing": {5: 2, 6: 1, 7: 2},
     "op6_sstable_tokens": {5: 2, 6: 1, 7: 2}, "op7_language_id": {None: 1, 5: 2, 6: 1, 7: 2}, "op8_toxicity_nnpu": {None: 1, 5: 2, 6: 1, 7: 2}, "op9_masked_lm": {None: 1, 5: 2, 6: 1, 7: 2},
-    "op10_mix_sources": {5: 2, 6: 1, 7: 2},
+    "op10_mix_sources": {5: 2, 6: 1, 7: 2}, "op11_periodic_runs": {None: 1, 5: 2, 6: 1, 7: 2}, "op12_byte_bpe": {None: 1, 5: 2, 6: 1, 7: 2},
 }
 
 
@@ -99,6 +99,8 @@ def test_null_ids_and_repeated_rows(spark, tmp_path, name):
         assert dict(times) == TIMES[name]
     elif name == "pipeline":  # document 6 has no letter; of the copies 7 stays; what has no id is not packed
         assert {r.doc_id for r in got} <= {7} and len({(r.doc_id, r.piece, r.ids_crc32) for r in got}) <= 2
+    elif name == "op13_hard_negatives":  # the embeddings beside the rows: 0 asks, and only 21 has its label
+        assert {(r.anchor_id, r.positive_id) for r in got} <= {(0, 21)}
     else:  # the embeddings beside the rows: 9 vectors of one length, of which 0 and 20 ask
         assert [(r.query_id, r["rank"]) for r in sorted(got, key=lambda r: (r.query_id, r["rank"]))] == [(q, k) for q in (0, 20) for k in range(1, 9)]
 
