@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -47,14 +48,25 @@ class Codec:
     """Encodes texts to uint32 ids and decodes ids to bytes by one rank file."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f)}
-        self.split = tiktoken.Encoding("split", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.whole = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.bytes = [b""] * (max(ranks.values()) + 1)
-        self.held = np.zeros(len(self.bytes), bool)
-        for token, rank in ranks.items():
-            self.bytes[rank], self.held[rank] = token, True
+        self.path, self.pattern = path, pattern
+
+    def _ranks(self) -> Iterator[tuple[bytes, int]]:
+        with open(self.path, "rb") as f:
+            for token, rank in map(bytes.split, f):
+                yield base64.b64decode(token), int(rank)
+
+    @cached_property
+    def split(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("split", pat_str=self.pattern, mergeable_ranks=dict(self._ranks()), special_tokens={})
+
+    @cached_property
+    def whole(self) -> tiktoken.Encoding:
+        """Merges a text as one match."""
+        return tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=dict(self._ranks()), special_tokens={})
+
+    @cached_property
+    def bytes(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self._ranks()}
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Parts of a text in order, and whether a part is one match; the ids of the parts are those of the text."""
@@ -88,9 +100,10 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids; ValueError for a number that is no id."""
-        if len(ids) and (int(ids.max()) >= len(self.held) or not self.held[ids].all()):
-            raise ValueError("a number is not an id of this vocabulary")
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        try:
+            return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+        except KeyError as e:
+            raise ValueError(f"{e.args[0]} is not an id of this vocabulary") from None
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
