@@ -3,7 +3,9 @@
 The tokenizer's pre-tokenisation never joins characters across white space, so a
 text's ids are those of its words in order, and plain words fall apart into runs of
 letters, digits and other characters. These units are hashed in numpy; ids of units
-that were seen before come from a sorted table, the others from the library.
+that were seen before come from a sorted table, the others from the library. Words in
+which the file's added tokens may stand, such as ``<|endoftext|>``, go to the library whole
+and as they are written; it gives an added token's own id wherever its string stands.
 """
 
 from __future__ import annotations
@@ -35,12 +37,20 @@ _rest = [b for b in range(256) if b not in _printable]
 _ALPHABET = {b: 256 + i for i, b in enumerate(_rest)}
 
 
+def _added(data: np.ndarray) -> np.ndarray:
+    """Where ``<|`` stands, with which the added tokens begin."""
+    out = np.zeros(len(data), bool)
+    out[:-1] = (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+    return out
+
+
 class WordEncoder:
     """Encodes Arrow texts: ``encode(data, offs)`` gives all ids as uint32 and each text's first position (one more at the end)."""
 
     def __init__(self, name: str = VOCABULARY, keep: int = CACHE_WORDS):
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tok.encode_special_tokens = True
+        if not all(t.content.startswith("<|") and not t.normalized for t in self.tok.get_added_tokens_decoder().values()):
+            raise ValueError(f"{name} has added tokens of another kind")
         self.model = self.tok.model
         self.keep = keep
         self._clear()
@@ -69,6 +79,7 @@ class WordEncoder:
         after = np.zeros(len(data), bool)
         after[1:] = lead[:-1]
         odd &= ~(after & (data != 0x97) & (data != 0xB7))
+        odd |= _added(data)
         seen = np.concatenate([[0], np.cumsum(odd)])
         odd_word = seen[e] > seen[s]
         kind = _KIND[data]
@@ -90,8 +101,8 @@ class WordEncoder:
         s, e, odd, first = self.units(data, offs)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        # Letters fold before normalisation only where nothing combines with them.
-        fold = not ((data == 0xCC) | (data == 0xCD)).any()
+        # Letters fold before normalisation only where nothing combines with them and no added token may stand.
+        fold = not ((data == 0xCC) | (data == 0xCD) | _added(data)).any()
         h = tk.span_hashes(data, s, e, tk.BYTE_LOWER if fold else tk.BYTE)  # without folding, plain units keep their case in the key only
         keys, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         pos = np.searchsorted(self.key, keys)

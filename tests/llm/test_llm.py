@@ -9,10 +9,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from marlstone.llm import common, components, exact_dedup, language_id, licenses, masked_lm, mixing, mtree, near_dedup, packing, queries, sstable, tokens, toxicity
 from marlstone.llm import textkit as tk
@@ -32,7 +34,7 @@ def fixture(n=120, seed=5):
     rows = [
         (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "   \n\t", None, "a", 4), (4, "word", "en", "b", 4), (5, "Word", "en", "b", 4),
         (6, "two words", "de", "b", 9), (7, "12 34 !!", "en", "c", 8), (8, "é É ß 日本語", None, None, 9), (9, " ".join(r.choice(vocab) for _ in range(9000)), "en", "a", 1),
-        (10, "x" * 5000, "en", "a", 5000),
+        (10, "x <|endoftext|> " + "x" * 5000, "en", "a", 5000),
     ]
     for i in range(11, n):
         w = r.choice(base).split()
@@ -255,13 +257,34 @@ def test_components_of_random_links(spark):
     assert {x.node: x.component for x in got} == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in links)}
 
 
-ODD = ["", "  ", "İstanbul ΣΑΣ x²y ½", "éA H̱x", "'S it's I'LL ''s don't", "<|endoftext|> a", "日本語 テスト　x", "a b\x1cc\x85d", "naïve ÉÀÿ×÷ ªº µ", "\U0001F600 :-) 123 4a5", "Ǆ ŉ ﬁ K Å", "a_b-c...", None]
+ODD = ["<|endoftext|>", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|><|endoftext|> <|endoftext |>", "", "  ", "İstanbul ΣΑΣ x²y ½", "éA H̱x", "'S it's I'LL ''s don't", "<|endoftext|> a", "日本語 テスト　x", "a b\x1cc\x85d", "naïve ÉÀÿ×÷ ªº µ", "\U0001F600 :-) 123 4a5", "Ǆ ŉ ﬁ K Å", "a_b-c...", None]
+
+
+def library():
+    """A tokenizer of its own, as the file makes it."""
+    return Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+
+
+def test_tokens_equal_the_library_on_random_texts():
+    tok, r = library(), random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "<", "a", "Word", "it's", "12", "é", "É", "e\u0301", "日本", "İ", " ", " ", "\n", "...", "-", "x_y", "'ll", "\x85", "😀"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 500):  # with and without marks that keep letters from folding
+        data, offs = tk.buffers(pa.array(texts[at : at + 500]))
+        ids, first = tokens.WordEncoder().encode(data, offs)
+        for i in range(500):
+            assert ids[first[i] : first[i + 1]].tolist() == want[at + i], texts[at + i]
+    plain = [t for t in texts if "\u0301" not in t][:4000]
+    for t in plain:
+        data, offs = tk.buffers(pa.array([t]))
+        assert tokens.encoder().encode(data, offs)[0].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
 def test_tokens_equal_the_library():
     data, offs = tk.buffers(pa.array(ODD))
     ids, first = tokens.encode_with_end(data, offs)
-    tok = tokens.encoder().tok
+    tok = library()
     for i, t in enumerate(ODD):
         assert ids[first[i] : first[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids + [1]
     small_cache = tokens.WordEncoder(keep=3)
@@ -278,7 +301,7 @@ def test_words_follow_the_pattern():
 
 
 def token_rows(rows):
-    tok = tokens.encoder().tok
+    tok = library()
     return {d: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t, *_ in rows}
 
 
