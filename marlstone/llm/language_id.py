@@ -22,6 +22,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 800
 #: The part of the sample that only sets the temperature.
 CALIBRATION = 4
+#: Texts that are counted together: a row of 2**BITS counts takes up to 12 bytes a cell.
+ROWS = 1024
 _MULTIPLY = np.random.default_rng(5).integers(1, 2**31, (max(ORDERS), max(ORDERS)), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -29,7 +31,7 @@ _MULTIPLY = np.random.default_rng(5).integers(1, 2**31, (max(ORDERS), max(ORDERS
 def _folded() -> np.ndarray:
     """For each code point its lower case, or 32 for what is no letter."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x32000):
+    for c in range(0x110000):
         if not 0xD800 <= c < 0xE000 and (x := chr(c)).isalpha():
             low = x.lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -145,7 +147,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 def _document_counts(it):
     df, n = np.zeros(1 << BITS, np.int64), 0
     for batch in it:
-        for b in tk.pieces(batch, "text", 1 << 20):
+        for b in tk.pieces(batch, "text", 1 << 20, ROWS):
             tf, _ = counts(*tk.buffers(b.column("text")))
             df += (tf > 0).sum(axis=0)
             n += len(tf)
@@ -156,7 +158,7 @@ def _document_counts(it):
 def _sparse(idf: np.ndarray):
     def run(it):
         for batch in it:
-            for b in tk.pieces(batch, "text", 1 << 20):
+            for b in tk.pieces(batch, "text", 1 << 20, ROWS):
                 x = tf_idf(counts(*tk.buffers(b.column("text")))[0], idf)
                 cells = [np.flatnonzero(r) for r in x]
                 yield pa.RecordBatch.from_arrays(
@@ -170,7 +172,7 @@ def _sparse(idf: np.ndarray):
 def _predict(classes: list[str], w: np.ndarray, idf: np.ndarray, t: float):
     def run(it):
         for batch in it:
-            for b in tk.pieces(batch, "text", 1 << 20):
+            for b in tk.pieces(batch, "text", 1 << 20, ROWS):
                 tf, letters = counts(*tk.buffers(b.column("text")))
                 if classes:
                     p = softmax((tf_idf(tf, idf) @ w[:-1] + w[-1]) / t)
@@ -203,7 +205,7 @@ class Model:
 def _accept(predict, least: float):
     def run(it):
         for batch in it:
-            for b in tk.pieces(batch, "text", 1 << 20):
+            for b in tk.pieces(batch, "text", 1 << 20, ROWS):
                 named = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int32()), b.column("text")], ["doc_id", "row", "text"])
                 for got in predict(iter([named])):
                     lang, score = got.column("lang_pred").to_pylist(), np.asarray(got.column("score"))

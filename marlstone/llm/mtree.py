@@ -45,12 +45,13 @@ def slack(base: float) -> float:
     return EPS + 1e-7 * float(np.sqrt(base))
 
 
-def build(ids: np.ndarray, vectors: np.ndarray) -> list[dict]:
-    """Pages of a tree over integer vectors; page 0 is the root.
+def build(ids: np.ndarray, vectors: np.ndarray, keys: np.ndarray | None = None) -> list[dict]:
+    """Pages of a tree over integer vectors; page 0 is the root. ``keys`` tell rows of one id apart; without them ids do.
 
     A set above PAGE vectors is split around up to FAN routing objects taken farthest first; a set that
     distance cannot split (copies) is cut evenly, so pages stay bounded.
     """
+    keys = ids if keys is None else keys
     x = vectors.astype(np.float64)
     norm = np.einsum("ij,ij->i", x, x)
     top = float(norm.max(initial=0.0))
@@ -69,7 +70,7 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> list[dict]:
         if len(rows) <= PAGE:
             order = np.argsort(far, kind="stable")
             rows = rows[order]
-            pages[number] = {"leaf": True, "ids": ids[rows], "vectors": vectors[rows], "parent": far[order]}
+            pages[number] = {"leaf": True, "ids": ids[rows], "keys": keys[rows], "vectors": vectors[rows], "parent": far[order]}
             return number, float(far.max(initial=0.0))
         pivots, nearest, near = [], np.zeros(len(rows), np.int64), np.full(len(rows), np.inf)
         nxt = int(rows[0])
@@ -127,7 +128,7 @@ class Tree:
         return self.typed[number, kind]
 
     def search(self, q: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k largest inner products with q, ties to the smaller id; ``skip`` is left out."""
+        """Ids and scores of the k largest inner products with q, ties to the smaller id; the row with the key ``skip`` is left out."""
         kind = exact_type(self.largest, _largest(q), len(q))
         x = q.astype(np.float64)
         q = q.astype(kind)
@@ -149,12 +150,12 @@ class Tree:
                     continue
                 s = (self.of(number, kind)[lo:hi] @ q).astype(np.int64)
                 self.computed += hi - lo
-                got = page["ids"][lo:hi]
+                got, keys = page["ids"][lo:hi], page["keys"][lo:hi]
                 if len(scores) >= k:
                     keep = s >= scores[-1]
-                    s, got = s[keep], got[keep]
+                    s, got, keys = s[keep], got[keep], keys[keep]
                 if skip is not None and len(got):
-                    keep = got != skip
+                    keep = keys != skip
                     s, got = s[keep], got[keep]
                 if len(s):
                     s, got = np.concatenate([scores, s]), np.concatenate([ids, got])
@@ -182,7 +183,7 @@ def _vectors(column) -> np.ndarray:
 def _build(key, rows):
     if rows.num_rows:
         order = np.argsort(np.asarray(rows.column("id")), kind="stable")
-        pages = build(np.asarray(rows.column("id"))[order], _vectors(rows.column("v"))[order])
+        pages = build(np.asarray(rows.column("id"))[order], _vectors(rows.column("v"))[order], np.asarray(rows.column("key"))[order])
     else:
         pages = []
     return pa.table(
@@ -198,11 +199,11 @@ def _search(k: int):
             order = np.argsort(np.asarray(pages.column("page")))
             raw = pages.column("raw").to_pylist()
             tree = Tree([from_bytes(raw[i]) for i in order])
-            for q, v in zip(queries.column("id").to_pylist(), _vectors(queries.column("v"))):
-                ids, scores = tree.search(v, k, skip=q)
-                out += [(q, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols)})
+            for q, row, v in zip(queries.column("id").to_pylist(), queries.column("key").to_pylist(), _vectors(queries.column("v"))):
+                ids, scores = tree.search(v, k, skip=row)
+                out += [(q, row, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+        cols = list(zip(*out)) or [[], [], [], []]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "query_key", "vec_id", "score"), cols)})
 
     return run
 
@@ -214,18 +215,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     TREE, queries into blocks of about BLOCK; each block meets each tree once, and a query's candidates are
     merged at the end. Products are computed in a type in which they are exact, chosen for each query and tree;
     OverflowError if they may not fit in 64 bits. Without vectors or queries there is no row. Vectors compare with queries of their own length only. A vector that a query repeats
-    under another id is a candidate like any other; rows that repeat an id and a vector count once.
+    under another id is a candidate like any other; rows that repeat an id and a vector count once. Rows that share an id but not
+    the vector are rows of their own: as queries each has its ranks from 1, and each is a candidate, the other's too.
     """
     size = F.size("v").alias("dim")
-    vectors, queries = (d.select("id", "v", size).dropDuplicates(["id", "v"]) for d in (vectors, queries))
+    vectors, queries = (d.select("id", "v", size, F.xxhash64("id", "v").alias("key")).dropDuplicates(["id", "v"]) for d in (vectors, queries))
     trees = max(1, -(-vectors.count() // TREE))
     blocks = max(1, -(-queries.count() // BLOCK))
     built = vectors.withColumn("tree", spread(F.col("id"), trees)).groupBy("dim", "tree").applyInArrow(_build, "dim int, tree int, page int, raw binary")
     pages = written(built, "pages").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", spread(F.struct("id"), blocks)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     key = ["dim", "tree", "block"]
-    found = pages.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = pages.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k), "query_id long, query_key long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -317,6 +317,17 @@ def linked(members: DataFrame, rows_of: Callable[[DataFrame], DataFrame], thresh
     return components(links.unionByName(more.select("a", "b")).distinct(), "a", "b")
 
 
+def _once(texts: DataFrame, again: DataFrame, width: int) -> DataFrame:
+    """Full sets, one for each doc_id and set. ``again``: those that several rows have; each task keeps one of its own before they are moved."""
+    key = ["doc_id", "n", "h1", "h2"]
+    each = texts.mapInArrow(_set_rows(True, width), SETS)
+    if again.isEmpty():
+        return each
+    some = maybe_in(texts, "doc_id", filter_words(again, "doc_id")).mapInArrow(_set_rows(True, width), SETS)
+    several = some.groupBy(*key).agg(F.first("raw").alias("raw")).join(again, key, "left_semi")
+    return each.join(again, key, "left_anti").unionByName(several.select(*each.columns))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, h1, h2) for each document.
 
@@ -325,7 +336,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     100 * intersection >= threshold * union; component_id is the smallest doc_id reachable; h1 and h2 with
     n_shingles identify the set. Null and empty texts are linked with nothing. Very long texts count whole.
     Rows that repeat both doc_id and set are one document; rows that repeat a doc_id with other sets are
-    documents of their own. Rows without a doc_id are no documents. An empty table gives an empty result.
+    documents of their own; a set that many rows of one doc_id have is compared once. Rows without a doc_id are no documents. An empty table gives an empty result.
     Other columns are ignored.
     """
     rows = _rows(docs, doc_id, text)
@@ -344,9 +355,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = written(clusters.join(reps, "node").select(F.col("component").alias("group"), "node", F.col("rep").alias("doc_id"), "n", "h1", "h2", "sig"), "held")
     sizes = held.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     texts = maybe_in(rows, "doc_id", filter_words(held, "doc_id"))
+    key = ["doc_id", "n", "h1", "h2"]
+    again = written(sets.where("n > 0").groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").select(*key), "repeated")
 
     def full(need: DataFrame) -> DataFrame:
-        return need.join(held.drop("group"), "node").join(texts.mapInArrow(_set_rows(True, width), SETS), ["doc_id", "n", "h1", "h2"]).drop("doc_id", "h1", "h2")
+        return need.join(held.drop("group"), "node").join(_once(texts, again, width), key).drop("doc_id", "h1", "h2")
 
     named = linked(held.select("group", "node").join(sizes, "group"), full, threshold, True)
     # Only sets of several documents or with links have a row here; any other document is its own component.

@@ -88,12 +88,13 @@ def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarra
     return out
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
-    """Slices of a batch with about ``most`` bytes of text, one row at least."""
+def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20, rows: int | None = None):
+    """Slices of a batch with about ``most`` bytes of text and at most ``rows`` rows, one row at least."""
     size = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
     ends = np.cumsum(size, dtype=np.int64)
     k = 0
     while k < batch.num_rows:
         to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + most, "right")))
+        to = min(to, k + rows) if rows else to
         yield batch.slice(k, to - k)
         k = to

@@ -246,6 +246,16 @@ def test_op4_texts_of_one_doc_id_are_documents_of_their_own(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(5, 36, 5, True), (7, 1, 7, True), (7, 37, 5, False)]
 
 
+def test_op4_a_set_that_many_rows_repeat_is_compared_once(spark, monkeypatch):
+    handed, search = [], near_dedup._search
+    monkeypatch.setattr(near_dedup, "_search", lambda need, rows_of, threshold, exact, cross: search(need, lambda d: (handed.append((exact, rows_of(d).count())), rows_of(d))[1], threshold, exact, cross))
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base)] * 3000 + [(2, base + " more"), (3, "quite another text of a few words"), (3, "and one more under the same number")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (3, 3)]
+    assert [n for exact, n in handed if exact] == [2]
+
+
 def test_components_of_random_links(spark):
     r = random.Random(4)
     links = [(r.randrange(80), r.randrange(80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
@@ -467,6 +477,14 @@ def test_op7_undetermined(spark, small):
     assert all(got[d] == ("und", 0.0) for d in (1, 2, 3, 7)) and len(got) == len(small[1])
 
 
+def test_op7_many_short_texts_take_bounded_memory():
+    texts = pa.record_batch({"text": pa.array(["ab", "", None, "\U000320aa", "7"] * 4000)})
+    got = list(tk.pieces(texts, "text", 1 << 20, language_id.ROWS))
+    assert sum(b.num_rows for b in got) == 20_000 and max(b.num_rows for b in got) * (1 << language_id.BITS) * 12 <= 128 << 20
+    assert [b.column(0).to_pylist() for b in tk.pieces(texts.slice(0, 5), "text", 1 << 20, 2)] == [["ab", ""], [None, "\U000320aa"], ["7"]]
+    assert language_id.counts(*tk.buffers(texts.slice(0, 5).column(0)))[1].tolist() == [True, False, False, True, False]
+
+
 def test_ngram_counts_by_hand():
     data, offs = tk.buffers(pa.array(["Ab1b", "AB b", None, "é"]))
     tf, letters = language_id.counts(data, offs)
@@ -692,6 +710,13 @@ def test_op1_brute_force_with_ties_and_copies(spark, monkeypatch):
     assert set(map(tuple, mtree.top_k(d, e, 20).collect())) == brute_top(v, q, 20)
 
 
+def test_op1_vectors_that_share_an_id(spark):
+    rows = [(0, [2, 0]), (0, [0, 3]), (1, [1, 1]), (2, [1, 0]), (3, [0, 1]), (3, [5, 0]), (3, [5, 0])]
+    d = spark.createDataFrame(rows, "id long, v array<bigint>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in mtree.top_k(d, d.where("id = 0"), 3).collect())
+    assert got == sorted([(1, 3, 10), (2, 1, 2), (3, 2, 2), (1, 1, 3), (2, 3, 3), (3, 0, 0)])
+
+
 def test_op1_vectors_of_mixed_size(spark, monkeypatch):
     """Products of a query far larger than its tree's vectors, and of both beyond the range of floats, are exact; beyond 64 bits an error tells."""
     monkeypatch.setattr(mtree, "TREE", 200)
