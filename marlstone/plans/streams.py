@@ -14,20 +14,52 @@ from .fixture import CTE
 from .pages import actions
 
 
-@query("stream_tumbling", "WITH m AS (SELECT max(ts) AS m FROM events) SELECT date_trunc('hour', ts) AS w, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL")
+#: Events with the batch they arrive in, and for each row the latest time that earlier batches have brought, in SQL.
+_ARRIVED = """
+    q AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) + (event_id * 7919) % 7200 AS came FROM events),
+    b AS (SELECT * EXCLUDE (came), (4 * (came - (SELECT min(came) FROM q))) // ((SELECT max(came) FROM q) - (SELECT min(came) FROM q) + 1) AS batch FROM q),
+    m AS (SELECT x.batch, max(y.ts) AS mark FROM (SELECT DISTINCT batch FROM b) x LEFT JOIN (SELECT batch, max(ts) AS ts FROM b GROUP BY batch) y ON y.batch < x.batch GROUP BY x.batch),
+    a AS (SELECT b.*, m.mark FROM b JOIN m USING (batch))"""
+
+
+def arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.arrivals(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("stream_tumbling", f"""WITH {_ARRIVED}
+    SELECT date_trunc('hour', ts) AS w, event_type, count(*) AS n, round(sum(value), 4) AS v FROM a
+    WHERE mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark - INTERVAL 30 MINUTE
+    GROUP BY w, event_type HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.run_to_table(events.tumbling(events.stream(spark, sf_dir)), "tumbling", "complete")
+    """Windows that the watermark has closed after four batches out of order, without rows that came too late."""
+    return events.run_batches(arrived(spark, sf_dir), lambda s: events.tumbling(s, late="30 minutes"), "tumbling")
 
 
-@query("stream_sliding", "SELECT w, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS w FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR FROM events) GROUP BY w")
+@query("stream_late", f"""WITH {_ARRIVED} SELECT event_id, ts, user_id FROM a WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark - INTERVAL 30 MINUTE""")
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stream_tumbling has to leave out."""
+    return events.late_rows(arrived(spark, sf_dir), F.date_trunc("hour", "ts") + F.expr("interval 1 hour"), "30 minutes").select("event_id", "ts", "user_id")
+
+
+@query("stream_sliding", f"""WITH {_ARRIVED}, s AS (SELECT *, date_trunc('hour', ts) AS w FROM a UNION ALL SELECT *, date_trunc('hour', ts) - INTERVAL 1 HOUR FROM a)
+    SELECT w, count(*) AS n FROM s WHERE mark IS NULL OR w + INTERVAL 2 HOUR > mark - INTERVAL 30 MINUTE
+    GROUP BY w HAVING w + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.run_to_table(events.sliding(events.stream(spark, sf_dir)), "sliding", "complete")
+    return events.run_batches(arrived(spark, sf_dir), lambda s: events.sliding(s, late="30 minutes"), "sliding")
 
 
-@query("stream_sessions", """WITH l AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 DAY AS n FROM events), s AS (SELECT *, sum(coalesce(n, false)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l)
-    SELECT user_id, min(ts) AS w_start, max(ts) + INTERVAL 1 DAY AS w_end, count(*) AS n FROM s GROUP BY user_id, k""")
+@query("stream_sessions", """WITH l AS (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR AS n FROM events), s AS (SELECT *, sum(coalesce(n, false)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM l)
+    SELECT user_id, min(ts) AS w_start, max(ts) + INTERVAL 6 HOUR AS w_end, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.run_to_table(events.sessions(events.stream(spark, sf_dir)), "sessions", "complete")
+    """Sessions of six hours' gap that the watermark has closed; three hours' delay lets nothing be late."""
+    return events.run_batches(arrived(spark, sf_dir), lambda s: events.sessions(s, "6 hours", "3 hours"), "sessions")
+
+
+@query("stream_interval_join", """SELECT a.user_id, a.event_id AS a_id, a.ts AS a_ts, b.event_id AS b_id, b.ts AS b_ts FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR
+    WHERE a.event_type = 'click' AND b.event_type = 'purchase'""")
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the purchases of the same user within twelve hours, as a join of two streams that come out of order."""
+    return events.run_batches(arrived(spark, sf_dir), lambda s: events.followed(s.where("event_type = 'click'"), s.where("event_type = 'purchase'"), "user_id", "12 hours", "3 hours"), "followed")
 
 
 @query("stream_journal")

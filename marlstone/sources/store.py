@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share; a local one only where none is set."""
+    """A fresh path in the folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is set and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/marlstone/{tag}-{uuid.uuid4().hex}"
