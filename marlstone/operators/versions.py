@@ -176,16 +176,83 @@ def maturity(blocks: DataFrame, items: DataFrame) -> DataFrame:
     return both.withColumn("score", F.round(score, 3)).withColumn("rating", rating(score))
 
 
-def cross_references(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """Pages (doc, page, text) that name another document by one of its terms (target, ord, term): the first term that occurs.
+#: Terms of an automaton, and texts that one task scans with it.
+TERMS, TEXTS = 100_000, 20_000
 
-    Terms are looked up by their first word, so pages meet only terms that may stand in them.
+
+def contained(texts: DataFrame, terms: DataFrame, block: int = TERMS, slot: int = TEXTS) -> DataFrame:
+    """(text_id, term_id) for each term (term_id, term) that stands in a text (text_id, text), wherever it begins; upper and lower case are alike.
+
+    Terms are dealt into blocks, texts into slots; each slot meets each block in one task, which builds one automaton of the
+    block's terms and reads each text once. Null and empty terms and texts contain nothing.
+    """
+    import ahocorasick
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    texts = texts.select("text_id", F.lower("text").alias("text")).where("text <> ''")
+    terms = terms.select("term_id", F.lower("term").alias("term")).where("term <> ''")
+    blocks, slots = max(1, -(-terms.count() // block)), max(1, -(-texts.count() // slot))
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    t = terms.withColumn("block", spread("term", blocks)).withColumn("slot", every(slots))
+    p = texts.withColumn("slot", spread("text_id", slots)).withColumn("block", every(blocks))
+
+    def run(pages, names):
+        words = ahocorasick.Automaton()
+        held: dict[str, list] = {}
+        for place, w in enumerate(names.column("term").to_pylist()):
+            held.setdefault(w, []).append(place)
+        for w in held:
+            words.add_word(w, w)
+        texts_at, terms_at = [], []
+        if held:
+            words.make_automaton()
+            for place, x in enumerate(pages.column("text").to_pylist()):
+                for w in {w for _, w in words.iter(x)}:
+                    texts_at.extend([place] * len(held[w]))
+                    terms_at.extend(held[w])
+        ids = [c.take(pa.array(at, pa.int64())).to_pylist() for c, at in ((pages.column("text_id"), texts_at), (names.column("term_id"), terms_at))]
+        return pa.table([pa.array(x, f.type) for x, f in zip(ids, result)], schema=result)
+
+    result = to_arrow_schema(schema := StructType.fromDDL(", ".join(f"{c} {dict(d.dtypes)[c]}" for d, c in ((texts, "text_id"), (terms, "term_id")))))
+    return p.groupBy("block", "slot").cogroup(t.groupBy("block", "slot")).applyInArrow(run, schema)
+
+
+def _mentions(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc, page, target, term): of the terms of another document that stand on a page the first in order."""
+    t = terms.where(F.length(F.trim("term")) >= 3).select(F.struct("target", "ord", "term").alias("term_id"), "term")
+    hits = contained(pages.select(F.struct("doc", "page").alias("text_id"), "text"), t)
+    hits = hits.select("text_id.doc", "text_id.page", "term_id.target", "term_id.ord", "term_id.term").where(F.col("doc") != F.col("target"))
+    return hits.groupBy("doc", "page", "target").agg(F.min(F.struct("ord", "term")).alias("m")).select("doc", "page", "target", "m.term")
+
+
+def cross_references(pages: DataFrame, terms: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """(doc, page, target, term, ref_type): pages (doc, page, text) that name another document by one of its terms (target, ord, term), the first that occurs.
+
+    ``sections`` are the texts of reference sections (doc, page, text). What they name is an applicable_document; a page where a section names a document has no
+    inline_mention of the same one. Terms are found wherever they stand, also inside words; those of fewer than three characters are left out.
+    """
+    inline = _mentions(pages, terms).withColumn("ref_type", F.lit("inline_mention"))
+    if sections is None:
+        return inline
+    applicable = _mentions(sections, terms).withColumn("ref_type", F.lit("applicable_document"))
+    return applicable.unionByName(inline.join(applicable.select("doc", "page", "target"), ["doc", "page", "target"], "left_anti"))
+
+
+def title_counts(stems: DataFrame, items: DataFrame) -> DataFrame:
+    """(stem, item_type, n): items (title, item_type) of each document by name: the stem or its first ten characters stand in the title, or the title in the stem.
+
+    Documents without items have no row; empty names and titles belong to nothing. Titles that repeat are compared once.
     """
-    first = lambda c: F.regexp_extract(F.lower(c), T.TOKEN, 0)
-    p = pages.withColumn("key", F.explode(F.array_distinct(T.tokens("text"))))
-    t = terms.where(F.length("term") >= 3).withColumn("key", first("term"))
-    hits = p.join(t, "key").where((F.col("doc") != F.col("target")) & F.contains(F.lower("text"), F.lower("term")))
-    return hits.groupBy("doc", "page", "target").agg(F.min_by("term", "ord").alias("term"))
+    counted = items.groupBy(F.lower("title").alias("title"), "item_type").agg(F.count("*").alias("n"))
+    titles = counted.select("title").distinct()
+    names = stems.select(F.lower("stem").alias("low"), "stem").distinct()
+    begins = names.select(F.col("stem").alias("term_id"), F.substring("low", 1, 10).alias("term"))  # a stem that stands in a title does so with its beginning
+    inside = contained(titles.select(F.col("title").alias("text_id"), F.col("title").alias("text")), begins).select(F.col("text_id").alias("title"), F.col("term_id").alias("stem"))
+    around = contained(names.select(F.col("stem").alias("text_id"), F.col("low").alias("text")), titles.select(F.col("title").alias("term_id"), F.col("title").alias("term"))).select(F.col("term_id").alias("title"), F.col("text_id").alias("stem"))
+    return inside.unionByName(around).distinct().join(counted, "title").groupBy("stem", "item_type").agg(F.sum("n").alias("n"))
 
 
 def quick_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

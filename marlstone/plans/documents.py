@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import items, requirements, versions
+from ..operators import fragments, items, requirements, versions
 from .base import query, table
 from .fixture import CTE, icd_blocks, icd_documents
 
@@ -226,12 +226,50 @@ def section_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("cross_references", f"""WITH {CTE}, p AS (SELECT doc, page, string_agg(text, ' ' ORDER BY ord, text) AS text FROM icd GROUP BY doc, page), t AS (SELECT CAST(s_suppkey AS BIGINT) AS target, 'NAS-' || s_suppkey AS term FROM supplier)
-    SELECT doc, page, target, term FROM p JOIN t ON doc <> target AND contains(lower(text), lower(term))""")
+    SELECT doc, page, target, term, CASE WHEN page = 1 THEN 'applicable_document' ELSE 'inline_mention' END AS ref_type FROM p JOIN t ON doc <> target AND contains(lower(text), lower(term))""")
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ")
     pages = icd_blocks(spark, sf_dir).groupBy("doc", "page").agg(t.alias("text"))
     terms = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("target"), F.lit(0).alias("ord"), F.concat(F.lit("NAS-"), "s_suppkey").alias("term"))
-    return versions.cross_references(pages, terms)
+    return versions.cross_references(pages, terms, pages.where("page = 1"))
+
+
+@query("title_item_counts", """WITH s AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 10, '0') || '-' || p_name AS stem FROM part),
+    i AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'ICD ' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') || '-draft' WHEN 1 THEN lpad(CAST(l_partkey AS VARCHAR), 10, '0') ELSE 'no title' END AS title, CASE l_orderkey % 2 WHEN 0 THEN 'TBD' ELSE 'TBR' END AS item_type FROM lineitem),
+    c AS (SELECT lower(title) AS title, item_type, count(*) AS n FROM i GROUP BY ALL)
+    SELECT stem, item_type, CAST(sum(n) AS BIGINT) AS n FROM s JOIN c ON substr(stem, 1, 10) = regexp_extract(title, '[0-9]{10}') AND (contains(title, lower(substr(stem, 1, 10))) OR contains(lower(stem), title)) GROUP BY ALL""")
+def title_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of each part's document, by titles that hold its name or stand in it."""
+    number = lambda c: F.lpad(F.col(c).cast("string"), 10, "0")
+    stems = table(spark, sf_dir, "part").select(F.concat(number("p_partkey"), F.lit("-"), "p_name").alias("stem"))
+    title = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("ICD "), number("l_partkey"), F.lit("-draft"))).when(F.col("l_linenumber") % 3 == 1, number("l_partkey")).otherwise("no title")
+    found = table(spark, sf_dir, "lineitem").select(title.alias("title"), F.when(F.col("l_orderkey") % 2 == 0, "TBD").otherwise("TBR").alias("item_type"))
+    return versions.title_counts(stems, found)
+
+
+_LCP = lambda a, b, most: f"len(list_filter(range(1, CAST({most} AS BIGINT) + 1), lambda i: left({a}, i) = left({b}, i)))"
+_PAIRS = "v AS (SELECT a.block_id, a.text AS x, b.text AS y FROM icd a JOIN icd b ON a.doc = b.doc AND a.ord = b.ord AND a.rev = 'A' AND b.rev = 'N' WHERE a.text <> b.text)"
+
+
+@query("changed_fragments", f"""WITH {CTE}, {_PAIRS}, p AS (SELECT *, {_LCP('x', 'y', 'least(length(x), length(y))')} AS p FROM v),
+    s AS (SELECT *, {_LCP('reverse(x)', 'reverse(y)', 'least(length(x), length(y)) - p')} AS s FROM p),
+    c AS (SELECT *, length(x) - s AS oe, substr(y, p + 1, length(y) - s - p) AS fresh FROM s),
+    w AS (SELECT *, p - length(regexp_extract(left(x, p), '[^ \n]*$')) AS a, oe + length(regexp_extract(substr(x, oe + 1), '^[^ \n]*')) AS e FROM c),
+    f AS (SELECT block_id, substr(x, a + 1, e - a) AS old_fragment, CASE WHEN oe = p THEN substr(y, a + 1, e + length(fresh) - a) ELSE substr(x, a + 1, p - a) || fresh || substr(x, oe + 1, e - oe) END AS new_fragment FROM w)
+    SELECT * FROM f WHERE old_fragment <> '' AND old_fragment <> new_fragment""")
+def changed_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the blocks of two revisions."""
+    old, new = rev(spark, sf_dir, "A"), rev(spark, sf_dir, "N")
+    pairs = old.select("doc", "ord", "block_id", F.col("text").alias("x")).join(new.select("doc", "ord", F.col("text").alias("y")), ["doc", "ord"])
+    return fragments.fragments(pairs, "x", "y").select("block_id", "old_fragment", "new_fragment")
+
+
+@query("edited_pages", f"""WITH {CTE}, t AS (SELECT doc, rev, page, string_agg(text, ' ' ORDER BY ord) AS text FROM icd WHERE rev IN ('A', 'N') GROUP BY ALL)
+    SELECT a.doc, a.page FROM t a JOIN t b ON a.doc = b.doc AND a.page = b.page AND a.rev = 'A' AND b.rev = 'N' WHERE trim(regexp_replace(a.text, '\\s+', ' ', 'g')) <> trim(regexp_replace(b.text, '\\s+', ' ', 'g'))""")
+def edited_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
+    old, new = (rev(spark, sf_dir, r).groupBy("doc", "page").agg(text.alias("text")) for r in "AN")
+    return fragments.edited_pages(old, new, "doc")
 
 
 _FIRST = lambda *p: "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '{x}', 1), '')" for x in p) + ", '')"

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking, providers, report
-from ..sources import ir
+from ..sources import ir, shapes
 from ..streaming import events
 from .base import query, table
 from .documents import scanned, _items_cte
-from .fixture import CTE
+from .fixture import CTE, icd_documents
 from .pages import actions
 
 
@@ -101,3 +101,57 @@ def export_items_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("journal_actions", "SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS action FROM events")
 def journal_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions(spark, sf_dir).select("session", "seq", "action")
+
+
+def _page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the fixture as JSON: documents of even number in the form with typed blocks, odd ones with headings apart, and page 9 broken off."""
+    b = icd_documents(spark, sf_dir).withColumn("heading", F.col("k").isin(4, 11))
+    real = F.struct(F.when(F.col("heading"), "heading").otherwise("paragraph").alias("block_type"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("text_verbatim"), F.struct(F.col("y0").alias("y0")).alias("bbox"))
+    test = F.struct("text", F.col("y0").alias("y"), F.when(F.col("heading"), F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\s", 1)).alias("section_number"))
+    ordered = lambda c, when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("ord", c.alias("b"))))), lambda x: x["b"])
+    odd = F.col("doc") % 2 == 1
+    g = b.groupBy("doc", "page").agg(ordered(real, ~odd).alias("real"), ordered(test, odd & F.col("heading")).alias("headings"), ordered(test, odd & ~F.col("heading")).alias("texts"))
+    body = F.when(odd, F.to_json(F.struct(F.col("page").alias("page_number"), "headings", F.col("texts").alias("text_blocks")))).otherwise(F.to_json(F.struct(F.col("page").alias("page_number"), F.col("real").alias("text_blocks"))))
+    return g.select("doc", "page", F.when(F.col("page") == 9, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body).alias("text"))
+
+
+@query("page_shapes", f"""WITH {CTE} SELECT doc, page, CASE WHEN k IN (4, 11) THEN 'heading' ELSE 'text' END AS kind, row_number() OVER (PARTITION BY doc, page, k IN (4, 11) ORDER BY ord) - 1 AS ord, y0 AS y, text,
+    CASE WHEN k IN (4, 11) THEN nullif(regexp_extract(text, '^(\\d+(?:\\.\\d+)*)\\s', 1), '') END AS section_number FROM icdr WHERE page <> 9""")
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings and texts of pages in two forms, alike; an odd document's page without headings and with headings only are both plain."""
+    good, _ = shapes.parse(_page_json(spark, sf_dir))
+    return shapes.elements(good.select("doc", "v"), "v", "doc").withColumn("ord", F.col("ord").cast("long"))
+
+
+@query("page_shapes_rejected", f"WITH {CTE} SELECT DISTINCT doc, page FROM icdr WHERE page = 9")
+def page_shapes_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.parse(_page_json(spark, sf_dir))[1].select("doc", "page")
+
+
+@query("vector_shapes", "SELECT vec_id, vec_id % 8 AS shape, CASE WHEN vec_id % 8 < 7 THEN CAST(embedding AS DOUBLE[]) END AS embedding FROM embeddings")
+def vector_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of answers of seven shapes; the eighth has none."""
+    e, shape = F.col("embedding"), F.col("vec_id") % 8
+    forms = [
+        F.struct(e.alias("embedding")), F.struct(F.array(e).alias("embeddings")), F.struct(e.alias("embeddings")), F.struct(F.struct(F.array(e).alias("float")).alias("embeddings")),
+        F.struct(F.lit("x").alias("embedding"), e.alias("vector")), F.struct(F.struct(F.array(e).alias("int8")).alias("embeddings")), F.struct(F.array().cast("array<float>").alias("embeddings"), e.alias("output")), F.struct(F.array(F.lit("a")).alias("data")),
+    ]
+    text = F.coalesce(*[F.when(shape == k, F.to_json(f)) for k, f in enumerate(forms)])
+    good, _ = shapes.parse(table(spark, sf_dir, "embeddings").select("vec_id", shape.alias("shape"), text.alias("text")))
+    return good.select("vec_id", "shape", F.transform(shapes.vector(F.col("v")), lambda x: x.cast("float").cast("double")).alias("embedding"))
+
+
+@query("search_answers", """SELECT l_orderkey AS query_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_linestatus) AS INTEGER) AS rank, CASE WHEN l_linenumber % 2 = 0 THEN 'c' || l_partkey ELSE 'h' || l_linenumber END AS chunk_id,
+    CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_linestatus END AS text, CAST(l_quantity AS DOUBLE) AS score, CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_linenumber END AS page_number, CASE WHEN l_linenumber % 5 = 0 THEN 'table' ELSE 'paragraph' END AS content_type,
+    l_orderkey % 100 AS took_ms, count(*) OVER (PARTITION BY l_orderkey) AS total_hits FROM lineitem""")
+def search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer of a search service for each order, its lines as hits with fields missing here and there, read back as rows."""
+    n = F.col("l_linenumber")
+    source = F.struct(F.when(n % 2 == 0, F.concat(F.lit("c"), "l_partkey")).alias("chunk_id"), F.when(n % 3 != 0, F.col("l_linestatus")).alias("text"), F.when(n % 4 != 0, n).alias("page_number"), F.when(n % 5 == 0, "table").alias("content_type"))
+    hit = F.struct(F.concat(F.lit("h"), n).alias("_id"), F.col("l_quantity").cast("double").alias("_score"), source.alias("_source"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_linestatus", hit.alias("h")))), lambda x: x["h"]).alias("hits"))
+    answer = F.to_json(F.struct((F.col("l_orderkey") % 100).alias("took"), F.struct(F.struct(F.col("n").alias("value")).alias("total"), "hits").alias("hits")))
+    good, _ = shapes.parse(g.select(F.col("l_orderkey").alias("query_id"), answer.alias("text")))
+    good = good.select("query_id", "v", shapes.search_totals(F.col("v")).alias("t"))
+    hits = shapes.search_hits(good.select("query_id", "v", "t.took_ms", "t.total_hits"), "v", "query_id", "took_ms", "total_hits")
+    return hits.select("query_id", "rank", "chunk_id", "text", "score", "page_number", "content_type", "took_ms", "total_hits")
