@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import scratch
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -40,7 +41,7 @@ def _hashes(text: Column | str) -> Column:
 
 
 class KeywordScorer:
-    """BM25 of rows of token hashes for a block of queries; holds the block's terms with their weights and the queries of each."""
+    """BM25 of rows of terms for a block of queries; holds the block's terms with their weights and the queries of each."""
 
     def __init__(self, query: np.ndarray, term: np.ndarray, idf: dict[int, float], avgdl: float):
         order = np.argsort(term, kind="stable")
@@ -48,20 +49,20 @@ class KeywordScorer:
         self.queries, self.first = query[order], np.append(first, len(order))
         self.idf, self.avgdl = np.array([idf.get(int(t), 0.0) for t in self.terms]), avgdl
 
-    def scores(self, tokens: pa.ListArray, n_queries: int) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (queries, rows), and which rows hold a term of the query."""
-        rows = len(tokens)
+    def scores(self, batch: pa.RecordBatch, n_queries: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (queries, rows) of rows (dl, terms, tf), and which rows hold a term of the query."""
+        rows = batch.num_rows
         out, met = np.zeros((n_queries, rows)), np.zeros((n_queries, rows), bool)
-        at = np.asarray(tokens.offsets, dtype=np.int64)
-        values = np.asarray(tokens.values, dtype=np.int64)[at[0] : at[-1]]
-        length = np.diff(at)
-        row = np.repeat(np.arange(rows), length)
+        lists = [batch.column(c) for c in ("terms", "tf")]
+        at = np.asarray(lists[0].offsets, dtype=np.int64)
+        values, tf = (np.asarray(x.flatten(), dtype=np.int64) for x in lists)
+        length = np.asarray(batch.column("dl"), dtype=np.float64)
+        row = np.repeat(np.arange(rows), np.diff(at))
         if not len(self.terms) or not len(values):
             return out, met
         k = np.minimum(np.searchsorted(self.terms, values), len(self.terms) - 1)
         held = self.terms[k] == values
-        cell, tf = np.unique(row[held] * len(self.terms) + k[held], return_counts=True)
-        row, k = cell // len(self.terms), cell % len(self.terms)
+        row, k, tf = row[held], k[held], tf[held]
         part = self.idf[k] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.avgdl))
         n = self.first[k + 1] - self.first[k]
         ends = np.cumsum(n)
@@ -87,20 +88,23 @@ def _best(ids: np.ndarray, queries: np.ndarray, scores: np.ndarray, met: np.ndar
     return q, np.concatenate(c) if c else ids[:0], np.concatenate(s) if s else np.zeros(0)
 
 
-def _scan(rows: DataFrame, queries: list, score, k: int, query_type: str) -> DataFrame:
-    """Best k of each batch of rows (chunk_id, ...) for each query, of which ``top`` takes the best; only these are shuffled."""
+def _scan(rows: DataFrame, blocks: list, k: int, query_type: str) -> DataFrame:
+    """Best k of each batch of rows (chunk_id, ...) for each query, of which ``top`` takes the best; only these are shuffled.
+
+    blocks: query_ids and what scores a batch for them; all blocks are asked in the one scan of the rows.
+    """
     id_type = dict(rows.dtypes)["chunk_id"]
+    kind, arrow = ("string", pa.string()) if query_type == "string" else ("long", pa.int64())
 
     def run(it):
-        ask = np.array(queries, dtype=object)
         for batch in it:
             for lo in range(0, batch.num_rows, ROWS):
                 b = batch.slice(lo, ROWS)
                 ids = np.array(b.column("chunk_id").to_pylist(), dtype=object if id_type == "string" else None)
-                q, c, s = _best(ids, ask, *score(b), k)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.string() if query_type == "string" else pa.int64()), pa.array(list(c), b.column("chunk_id").type), pa.array(s, pa.float64())], ["query_id", "chunk_id", "score"])
+                for queries, score in blocks:
+                    q, c, s = _best(ids, queries, *score(b), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q, arrow), pa.array(list(c), b.column("chunk_id").type), pa.array(s, pa.float64())], ["query_id", "chunk_id", "score"])
 
-    kind = "string" if query_type == "string" else "long"
     found = rows.mapInArrow(run, f"query_id {kind}, chunk_id {id_type}, score double")
     return found.withColumn("query_id", F.col("query_id").cast(query_type))
 
@@ -109,17 +113,48 @@ def _blocks(rows: list, size: int = QUERY_BLOCK):
     return [rows[i : i + size] for i in range(0, len(rows), size)]
 
 
-def _statistics(chunks: DataFrame, queries: DataFrame) -> tuple[list, dict[int, float], float]:
-    """The stated queries with their term hashes, the weights of those terms and the mean length: over all chunks, whatever is filtered."""
-    asked = queries.select("query_id", F.array_distinct(_hashes("query")).alias("terms")).orderBy("query_id").collect()
-    # One pass: each chunk gives its distinct terms, and a null for itself, so that chunks and lengths are counted beside them.
-    docs = chunks.select(_hashes("text").alias("t"))
-    terms = docs.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("long")))).alias("term"))
-    counted = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
-    wanted = queries.select(F.explode(F.array_distinct(_hashes("query"))).alias("term")).distinct().unionByName(queries.sparkSession.range(1).select(F.lit(None).cast("long").alias("term")))
-    found = counted.alias("c").join(wanted.alias("w"), F.col("c.term").eqNullSafe(F.col("w.term")), "left_semi").collect()
+def _asked(queries: DataFrame) -> list:
+    """The stated queries with their term hashes."""
+    return queries.select("query_id", F.array_distinct(_hashes("query")).alias("terms")).orderBy("query_id").collect()
+
+
+def _reduced(chunks: DataFrame, asked: list, *keep: str) -> DataFrame:
+    """Chunks with their length ``dl`` and, of the stated queries' terms only, ``terms`` and how often each stands there (``tf``): each text is tokenised once, and nothing else of it is kept.
+
+    Written, since statistics over all chunks and then the scores are taken from it.
+    """
+    wanted = np.unique(np.concatenate([np.array(r.terms, np.int64) for r in asked] or [np.zeros(0, np.int64)]))
+    rows = chunks.select("chunk_id", *keep, _hashes("text").alias("_t"))
+
+    def run(it):
+        for b in it:
+            tokens = b.column("_t")
+            at = np.asarray(tokens.offsets, dtype=np.int64)
+            values = np.asarray(tokens.values, dtype=np.int64)[at[0] : at[-1]]
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
+            if len(wanted):
+                k = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+                held = wanted[k] == values
+                cell, tf = np.unique(row[held] * len(wanted) + k[held], return_counts=True)
+            else:
+                cell = tf = np.zeros(0, np.int64)
+            ends = pa.array(np.searchsorted(cell, np.arange(b.num_rows + 1) * max(1, len(wanted))), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, pa.array(wanted[cell % max(1, len(wanted))] if len(cell) else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("chunk_id", *keep)], pa.array(np.diff(at)), terms, pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], ["chunk_id", *keep, "dl", "terms", "tf"])
+
+    schema = rows.drop("_t").withColumns({"dl": F.lit(0).cast("long"), "terms": F.array().cast("array<bigint>"), "tf": F.array().cast("array<bigint>")}).schema
+    out = rows.mapInArrow(run, schema)
+    path = scratch(chunks.sparkSession, "terms")
+    out.write.parquet(path)
+    return chunks.sparkSession.read.schema(schema).parquet(path)
+
+
+def _weights(reduced: DataFrame) -> tuple[dict[int, float], float]:
+    """Weights of the stated terms and the mean length, over all chunks whatever is filtered. A null term stands for each chunk itself."""
+    terms = reduced.select("dl", F.explode(F.concat("terms", F.array(F.lit(None).cast("long")))).alias("term"))
+    found = terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total")).collect()  # as many rows as the queries have terms
     n, total = next(((r.df, r.total) for r in found if r.term is None), (0, 0))
-    return asked, {r.term: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in found if r.term is not None}, total / n if total else 1.0
+    return {r.term: float(np.log(1 + (n - r.df + 0.5) / (r.df + 0.5))) for r in found if r.term is not None}, total / n if total else 1.0
 
 
 def _scorer(block: list, idf: dict, mean: float) -> KeywordScorer:
@@ -128,27 +163,23 @@ def _scorer(block: list, idf: dict, mean: float) -> KeywordScorer:
     return KeywordScorer(q, t, idf, mean)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def keyword(chunks: DataFrame, queries: DataFrame, k: int = 10, by: dict | None = None) -> DataFrame:
-    """BM25 top k for a stated query set. A task scores its chunks against a block of queries and hands on k a query, so nothing else is shuffled; statistics are those of all chunks."""
-    asked, idf, mean = _statistics(chunks, queries)
-    rows = chunks.where(filters(by)).select("chunk_id", _hashes("text").alias("t"))
-    kind = dict(queries.dtypes)["query_id"]
-    out = []
-    for block in _blocks(asked) or [[]]:
-        scorer = _scorer(block, idf, mean) if block else None
-
-        def score(b, scorer=scorer, n=len(block)):
-            if scorer is None:
-                return np.zeros((0, b.num_rows)), np.zeros((0, b.num_rows), bool)
-            s, met = scorer.scores(b.column("t"), n)
+    """BM25 top k for a stated query set. Each text is tokenised once; a task scores its chunks against the queries, a block at a time, and hands on k a query, so nothing else is shuffled. Statistics are those of all chunks."""
+    asked = _asked(queries)
+    names = [c for c in (by or {}) if c != "chunk_id"]
+    reduced = _reduced(chunks, asked, *names)
+    idf, mean = _weights(reduced)
+    rows = reduced.where(filters(by)).select("chunk_id", "dl", "terms", "tf")
+    blocks = [([r.query_id for r in block], _scorer(block, idf, mean)) for block in _blocks(asked)]
+
+    def score(scorer, n):
+        def run(b):
+            s, met = scorer.scores(b, n)
             return np.round(s, 6), met
 
-        out.append(_scan(rows, [r.query_id for r in block], score, k, kind))
-    return top(_union(out), k)
+        return run
+
+    return top(_scan(rows, [(ids, score(scorer, len(ids))) for ids, scorer in blocks], k, dict(queries.dtypes)["query_id"]), k)
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,17 +202,18 @@ def _by_size(queries: DataFrame) -> dict[int, list]:
 
 
 def _nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows, kind, out = vectors.select("chunk_id", "embedding"), dict(queries.dtypes)["query_id"], []
-    for dims, asked in (_by_size(queries) or {0: []}).items():
-        for block in _blocks(asked) or [[]]:
-            q = np.array([r.embedding for r in block], np.float64).reshape(len(block), dims)
+    def score(q, dims):
+        def run(b):
+            x, ok = _matrix(b.column("embedding"), dims)
+            return np.round(q @ x.T, 6), np.broadcast_to(ok, (len(q), len(x)))
 
-            def score(b, q=q, dims=dims):
-                x, ok = _matrix(b.column("embedding"), dims)
-                return np.round(q @ x.T, 6), np.broadcast_to(ok, (len(q), len(x)))
+        return run
 
-            out.append(_scan(rows, [r.query_id for r in block], score, k, kind))
-    return top(_union(out), k)
+    blocks = []
+    for dims, asked in _by_size(queries).items():
+        for block in _blocks(asked):
+            blocks.append(([r.query_id for r in block], score(np.array([r.embedding for r in block], np.float64).reshape(len(block), dims), dims)))
+    return top(_scan(vectors.select("chunk_id", "embedding"), blocks, k, dict(queries.dtypes)["query_id"]), k)
 
 
 def vector(vectors: DataFrame, queries: DataFrame, k: int = 10, by: dict | None = None, placement: str = "pre") -> DataFrame:
@@ -194,23 +226,19 @@ def vector(vectors: DataFrame, queries: DataFrame, k: int = 10, by: dict | None
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int = 10, keyword_boost: float = 0.3, vector_boost: float = 0.7) -> DataFrame:
     """Boosted sum of BM25 and inner product; a chunk that one of them alone finds has that part. Text and vector of a chunk meet once, and each task hands on k a query."""
-    asked, idf, mean = _statistics(chunks, queries)
-    rows = chunks.select("chunk_id", _hashes("text").alias("t")).join(vectors.select("chunk_id", "embedding"), "chunk_id", "full_outer")
-    rows = rows.withColumn("t", F.coalesce("t", F.array().cast("array<bigint>")))
+    asked = _asked(queries)
+    reduced = _reduced(chunks, asked)
+    idf, mean = _weights(reduced)
+    rows = reduced.join(vectors.select("chunk_id", "embedding"), "chunk_id", "full_outer")
+    none = F.array().cast("array<bigint>")
+    rows = rows.select("chunk_id", F.coalesce("dl", F.lit(0).cast("long")).alias("dl"), F.coalesce("terms", none).alias("terms"), F.coalesce("tf", none).alias("tf"), "embedding")
     known = {r.query_id: r.embedding for r in query_vectors.where("embedding is not null").select("query_id", "embedding").collect()}
     have = {r.query_id for r in asked}
     asked = [(r.query_id, list(r.terms)) for r in asked] + [(q, []) for q in sorted(known) if q not in have]
-    out = []
-    for block in _blocks(asked) or [[]]:
-        scorer = KeywordScorer(np.concatenate([np.full(len(t), j) for j, (_, t) in enumerate(block)] or [np.zeros(0)]).astype(np.int64), np.concatenate([np.array(t, np.int64) for _, t in block] or [np.zeros(0, np.int64)]), idf, mean)
-        sized: dict[int, list] = {}
-        for j, (q, _) in enumerate(block):
-            if q in known:
-                sized.setdefault(len(known[q]), []).append(j)
-        sides = [(d, js, np.array([known[block[j][0]] for j in js], np.float64)) for d, js in sized.items()]
 
-        def score(b, scorer=scorer, sides=sides, n=len(block)):
-            s, met = scorer.scores(b.column("t"), n)
+    def score(scorer, sides, n):
+        def run(b):
+            s, met = scorer.scores(b, n)
             s = np.round(s, 6) * keyword_boost
             for dims, js, q in sides:
                 x, ok = _matrix(b.column("embedding"), dims)
@@ -218,8 +246,18 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, query_vect
                 met[js] |= ok
             return np.round(s, 9), met
 
-        out.append(_scan(rows, [q for q, _ in block], score, k, dict(queries.dtypes)["query_id"]))
-    return top(_union(out), k)
+        return run
+
+    blocks = []
+    for block in _blocks(asked):
+        scorer = KeywordScorer(np.concatenate([np.full(len(t), j) for j, (_, t) in enumerate(block)] or [np.zeros(0)]).astype(np.int64), np.concatenate([np.array(t, np.int64) for _, t in block] or [np.zeros(0, np.int64)]), idf, mean)
+        sized: dict[int, list] = {}
+        for j, (q, _) in enumerate(block):
+            if q in known:
+                sized.setdefault(len(known[q]), []).append(j)
+        sides = [(d, js, np.array([known[block[j][0]] for j in js], np.float64)) for d, js in sized.items()]
+        blocks.append(([q for q, _ in block], score(scorer, sides, len(block))))
+    return top(_scan(rows, blocks, k, dict(queries.dtypes)["query_id"]), k)
 
 
 def rrf(keyword_top: DataFrame, vector_top: DataFrame, k: int = 10) -> DataFrame:
