@@ -69,40 +69,88 @@ def filter_items(items: DataFrame, status: str | None = None, item_type: str | N
     return items if in_shall is None else items.where(F.col("in_shall") == in_shall)
 
 
-def correlate(items: DataFrame, least: float = 0.75, high: float = 0.85, block: int = 512) -> DataFrame:
+#: Most pivots, and items that stand in one task or ask there.
+PIVOTS, BLOCK = 256, 512
+
+
+def correlate(items: DataFrame, least: float = 0.75, high: float = 0.85, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Pairs of items (item_id, doc, embedding, resolution) of different documents with cosine similarity above ``least``.
 
-    Exact: every item meets every other, in blocks. Items are dealt evenly into blocks, each pair of blocks
-    is one task's matrix product, and only similar pairs leave it.
+    Exact, and pairs that cannot be similar never meet: angles obey the triangle inequality, so an item visits the cell of a pivot only if its angle to the pivot,
+    less the cell's radius, is within the angle of ``least``. Pivots are items of the smallest hashes, at most ``pivots``; each item stands in the cell of its nearest
+    one. A large cell is cut into parts, and what visits it is dealt into turns, so a task holds about ``block`` items that stand and four times as many that ask.
+    Items without a vector or with one of zeros are similar to none; all vectors have one dimension. conflict: both are resolved, differently. ``least`` is not negative.
     """
     import numpy as np
     import pandas as pd
 
-    n = max(1, -(-items.count() // block))
-    rows = items.withColumn("bl", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
-    meet = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    meet = meet.withColumn("p", F.least("bl", "other")).withColumn("q", F.greatest("bl", "other"))
-
-    def pairs(pdf):
-        x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norm == 0, 1, norm)
-        ids, doc, bl, res = (pdf[c].to_numpy() for c in ("item_id", "doc", "bl", "resolution"))
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        a, b = np.flatnonzero(bl == p), np.flatnonzero(bl == q)
-        s = x[a] @ x[b].T
-        i, j = np.nonzero((s > least) & (doc[a][:, None] != doc[b][None, :]))
-        if p == q:
-            keep = ids[a[i]] < ids[b[j]]
-            i, j = i[keep], j[keep]
-        left, right, sim = a[i], b[j], s[i, j]
-        swap = ids[left] > ids[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
+    from ..sources.store import scratch
+
+    if least < 0:
+        raise ValueError("least must not be negative")
+    spark, reach = items.sparkSession, float(np.arccos(min(1.0, least))) + 1e-6
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = items.select("item_id", "doc", F.col("embedding").cast("array<double>").alias("embedding"), "resolution").where(F.exists("embedding", lambda x: x != 0))
+    held = [r.embedding for r in rows.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots).select("embedding").collect()]
+    centres = unit(np.array(held, np.float64)) if held else np.zeros((0, 1))
+
+    def angles(pdf):
+        return np.arccos(np.clip(unit(np.array(pdf["embedding"].tolist(), np.float64)) @ centres.T, -1, 1))
+
+    def placed(it):
+        for pdf in it:
+            a = angles(pdf) if len(pdf) else np.zeros((0, 1))
+            yield pdf.assign(cell=a.argmin(1), angle=a.min(1))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    path = scratch(spark, "cells")
+    rows.mapInPandas(placed, f"{kinds}, cell int, angle double").write.parquet(path)
+    cells = spark.read.schema(f"{kinds}, cell int, angle double").parquet(path)
+    known = {r.cell: (r.radius, -(-r.n // block)) for r in cells.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # a row a pivot
+    radius = np.array([known.get(k, (-np.inf, 0))[0] for k in range(len(centres))])
+    parts = np.array([known.get(k, (0, 0))[1] for k in range(len(centres))], dtype=np.int64)
+
+    def visits(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            own = pdf["cell"].to_numpy()
+            near = (angles(pdf) - radius <= reach) & (np.arange(len(centres)) > own[:, None])
+            at, cell = np.nonzero(near)
+            yield pdf.iloc[at].drop(columns=["cell", "angle", "part"]).assign(cell=cell.astype(np.int32))
+
+    part = F.pmod(F.xxhash64("item_id", F.lit(1)), F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts] or [F.lit(1)]), F.col("cell") + 1)).cast("int")
+    n_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts] or [F.lit(0)]), F.col("cell") + 1)
+    stand = cells.withColumn("part", part)
+    inside = stand.where(F.col("part") + 1 < n_parts).withColumn("part", F.explode(F.sequence(F.col("part") + 1, n_parts - 1))).drop("angle")
+    guests = stand.mapInPandas(visits, f"{kinds}, cell int").withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    path = scratch(spark, "asks")
+    inside.select(*rows.columns, "cell", "part").unionByName(guests.select(*rows.columns, "cell", "part")).write.parquet(path)
+    asks = spark.read.schema(f"{kinds}, cell int, part int").parquet(path)
+    turns = asks.groupBy("cell", "part").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("turns"))
+    stand = stand.drop("angle").join(turns, ["cell", "part"], "left").withColumn("turn", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("turns", F.lit(1)), F.lit(1)) - 1)))
+    asks = asks.join(turns, ["cell", "part"]).withColumn("turn", F.pmod(F.xxhash64("item_id", F.lit(2)), F.col("turns")).cast("int"))
+    key = ["cell", "part", "turn"]
+
+    def pairs(group, mine, guests):
+        if not len(mine):
+            return pd.DataFrame({c: [] for c in ("item_a", "item_b", "similarity", "conflict")})
+        both = pd.concat([mine, guests]) if len(guests) else mine
+        m = len(mine)
+        x = unit(np.array(both["embedding"].tolist(), np.float64))
+        ids, doc, res = (both[c].to_numpy() for c in ("item_id", "doc", "resolution"))
+        s = x @ x[:m].T
+        fits = (s > least) & (doc[:, None] != doc[None, :m]) & (ids[:, None] != ids[None, :m])
+        # Those that stand meet in the first turn, each pair once.
+        fits[:m] &= (ids[:m, None] < ids[None, :m]) if group[2] == 0 else False
+        i, j = np.nonzero(fits)
+        swap = ids[i] > ids[j]
+        left, right = np.where(swap, j, i), np.where(swap, i, j)
         conflict = [bool(u) and bool(v) and u != v for u, v in zip(res[left], res[right])]
-        return pd.DataFrame({"item_a": ids[left], "item_b": ids[right], "similarity": sim, "conflict": np.array(conflict, bool)})
+        return pd.DataFrame({"item_a": ids[left], "item_b": ids[right], "similarity": s[i, j], "conflict": np.array(conflict, bool)})
 
     kind = dict(items.dtypes)["item_id"]
-    found = meet.groupBy("p", "q").applyInPandas(pairs, f"item_a {kind}, item_b {kind}, similarity double, conflict boolean")
+    found = stand.select(*rows.columns, *key).groupBy(*key).cogroup(asks.select(*rows.columns, *key).groupBy(*key)).applyInPandas(pairs, f"item_a {kind}, item_b {kind}, similarity double, conflict boolean")
     return found.withColumn("confidence", F.when(F.col("similarity") > high, "high").otherwise("medium"))
 
 

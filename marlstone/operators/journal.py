@@ -5,29 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tablefunctions import undo_redo
 
-def stacks(actions: DataFrame) -> DataFrame:
-    """(session, applied, undone): seqs on the undo and redo stacks after all actions, an ordered fold per session. A new edit clears the redo stack; undo and redo of nothing do nothing."""
-    start = F.struct(F.array().cast("array<long>").alias("u"), F.array().cast("array<long>").alias("r"))
-    pop = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    last = lambda a: F.slice(a, F.greatest(F.size(a), F.lit(1)), 1)
-
-    def step(acc, e):
-        u, r = acc["u"], acc["r"]
-        undo, redo = (e["action"] == "undo") & (F.size(u) > 0), (e["action"] == "redo") & (F.size(r) > 0)
-        edit = e["action"] == "edit"
-        return F.struct(
-            F.when(edit, F.concat(u, F.array(e["seq"]))).when(undo, pop(u)).when(redo, F.concat(u, last(r))).otherwise(u).alias("u"),
-            F.when(edit, F.array().cast("array<long>")).when(undo, F.concat(r, last(u))).when(redo, pop(r)).otherwise(r).alias("r"),
-        )
 
-    s = actions.groupBy("session").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "action"))).alias("a"))
-    return s.withColumn("st", F.aggregate("a", start, step)).select("session", F.col("st.u").alias("applied"), F.col("st.r").alias("undone"))
+def stacks(actions: DataFrame) -> DataFrame:
+    """(session, applied, undone): seqs on the undo and redo stacks after all actions of each session. A new edit clears the redo stack; undo and redo of nothing do nothing."""
+    held = undo_redo(actions)
+    side = lambda undone: F.transform(F.array_sort(F.collect_list(F.when(F.col("undone") == undone, F.struct("place", F.col("seq").cast("long").alias("seq"))))), lambda x: x["seq"])
+    found = held.groupBy("session").agg(side(False).alias("applied"), side(True).alias("undone"))
+    none = F.array().cast("array<bigint>")
+    return actions.select("session").distinct().join(found, "session", "left").select("session", F.coalesce("applied", none).alias("applied"), F.coalesce("undone", none).alias("undone"))
 
 
 def net_edits(actions: DataFrame) -> DataFrame:
     """Per session and block: text before the first and after the last edit that still applies."""
-    live = stacks(actions).select("session", F.explode("applied").alias("seq"))
+    live = undo_redo(actions).where("not undone").select("session", "seq")
     rows = actions.where("action = 'edit'").join(live, ["session", "seq"], "left_semi")
     return rows.groupBy("session", "block_id").agg(F.min_by("old_text", "seq").alias("old_text"), F.max_by("new_text", "seq").alias("new_text"), F.count("*").alias("n_edits"))
 

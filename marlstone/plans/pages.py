@@ -148,12 +148,22 @@ def actions(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("journal_state")
+#: The stacks u (applied) and r (undone) of each session after all its actions, by a recursion over them.
+STACKS = """a AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f(session, n, u, r) AS (SELECT DISTINCT session, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM a UNION ALL
+        SELECT f.session, a.n, CASE WHEN action = 'edit' THEN list_append(u, seq) WHEN action = 'undo' THEN u[:len(u) - 1] WHEN len(r) > 0 THEN list_append(u, r[len(r)]) ELSE u END,
+            CASE WHEN action = 'edit' THEN []::BIGINT[] WHEN action = 'undo' THEN CASE WHEN len(u) > 0 THEN list_append(r, u[len(u)]) ELSE r END WHEN len(r) > 0 THEN r[:len(r) - 1] ELSE r END
+        FROM f JOIN a ON a.session = f.session AND a.n = f.n + 1),
+    l AS (SELECT session, arg_max(u, n) AS u, arg_max(r, n) AS r FROM f GROUP BY session)"""
+
+
+@query("journal_state", f"WITH RECURSIVE {STACKS} SELECT session, array_to_string(u, ',') AS applied, array_to_string(r, ',') AS undone FROM l")
 def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.stacks(actions(spark, sf_dir)).select("session", F.array_join(F.col("applied").cast("array<string>"), ",").alias("applied"), F.array_join(F.col("undone").cast("array<string>"), ",").alias("undone"))
 
 
-@query("net_edits")
+@query("net_edits", f"""WITH RECURSIVE {STACKS}, e AS (SELECT session, unnest(u) AS seq FROM l)
+    SELECT session, seq % 5 AS block_id, 'o' || min(seq) AS old_text, 'n' || max(seq) AS new_text, count(*) AS n_edits FROM e GROUP BY ALL""")
 def net_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.net_edits(actions(spark, sf_dir))
 
