@@ -156,17 +156,3 @@ def reflow(blocks: DataFrame, edited: DataFrame, line_height: float = 12.0, bott
     shift = F.when(running, 0.0).otherwise(F.coalesce(F.sum("delta").over(w), F.lit(0.0)))
     rows = rows.withColumn("shift", shift)
     return rows.select("doc", "page", "block_id", (F.col("y0") + F.col("shift")).alias("y0"), (F.col("y1") + F.col("shift") + F.col("delta")).alias("y1"), F.greatest(F.col("y1") + F.col("shift") + F.col("delta") - bottom, F.lit(0.0)).alias("overflow"))
-
-
-def toc_entries(lines: DataFrame) -> DataFrame:
-    """Table-of-contents lines (doc, page, ord, text): number prefixes with a point join the next entry, a lone page number is the reference of the entry before; pages with three references or more count."""
-    parts = r"^(.*?)\s*\.{3,}\s*(\d+|[ivxlc]+)?\s*$"
-    rows = lines.withColumn("title", F.regexp_extract("text", parts, 1)).withColumn("ref", F.regexp_extract("text", parts, 2))
-    w = Window.partitionBy("doc", "page").orderBy("ord")
-    prefix = F.lag(F.when(F.col("text").rlike(r"^\d+\.[\d.]*$"), F.col("text"))).over(w)
-    rows = rows.withColumn("prefix", prefix).withColumn("entry", F.count_if(F.col("title") != "").over(w))
-    number = F.max_by(F.when(F.col("text").rlike(r"^\d+$"), F.col("text")), F.when(F.col("text").rlike(r"^\d+$"), F.col("ord"))).over(Window.partitionBy("doc", "page", "entry"))
-    rows = rows.withColumn("ref", F.coalesce(number, "ref")).where("title <> ''")
-    rows = rows.withColumn("title", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(" "), "title")).otherwise(F.col("title")))
-    n = F.count_if(F.col("ref") != "").over(Window.partitionBy("doc", "page"))
-    return rows.withColumn("n", n).where("n >= 3").select("doc", "page", "ord", "title", "ref")

@@ -270,3 +270,56 @@ def word_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     squeeze = lambda c: F.array_join(T.words(c), " ")
     state = F.when(F.col("ta") == F.col("tb"), "exact").when(squeeze("ta") == squeeze("tb"), "whitespace").otherwise("differs")
     return rows.select(key, F.array_sort(F.array_except("x", "y")).alias("missing"), F.array_sort(F.array_except("y", "x")).alias("extra"), F.round(F.size(F.array_intersect("x", "y")) / F.greatest(F.size("x"), F.lit(1)), 9).alias("retention"), state.alias("state"))
+
+
+def text_totals(report: DataFrame, *keys: str) -> DataFrame:
+    """Totals of a document's page comparisons (keys, page, n_words, missing, extra, state): pages, exact ones, distinct words by page, lost and new ones, share kept in percent, and the pages that keep most and least.
+
+    Of pages that keep alike the first counts. A document without words keeps all. A page without words keeps 100 %.
+    """
+    lost, fresh = F.size("missing"), F.size("extra")
+    kept = F.when(F.col("n_words") > 0, (F.col("n_words") - lost) / F.col("n_words") * 100).otherwise(100.0)
+    g = report.withColumn("kept", kept).groupBy(*keys).agg(
+        F.count("*").alias("pages"), F.count_if(F.col("state") == "exact").alias("exact"), F.count_if(F.col("state") == "whitespace").alias("whitespace"), F.count_if(F.col("state") == "differs").alias("differs"),
+        F.sum("n_words").alias("words"), F.sum(lost).alias("missing_words"), F.sum(fresh).alias("extra_words"),
+        F.min(F.struct((-F.col("kept")).alias("k"), "page")).alias("b"), F.min(F.struct(F.col("kept").alias("k"), "page")).alias("w"), F.avg("kept").alias("mean_retention"),
+    )
+    share = F.when(F.col("words") > 0, (F.col("words") - F.col("missing_words")) / F.col("words") * 100).otherwise(100.0)
+    return g.select(*keys, "pages", "exact", "whitespace", "differs", "words", "missing_words", "extra_words", F.round(share, 6).alias("word_retention"), F.round("mean_retention", 6).alias("mean_retention"), F.col("b.page").alias("best_page"), F.col("w.page").alias("worst_page"))
+
+
+def page_report(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """(keys, page, n_words, missing, extra, state) of pages (keys, page, text) that both versions have: the words lost and gained, sorted, and whether the texts are exact but for white space, have the same words, or differ."""
+    k = [*keys, "page"]
+    plain = lambda c: F.array_join(T.words(c), " ")
+    rows = a.select(*k, F.col("text").alias("ta")).join(b.select(*k, F.col("text").alias("tb")), k)
+    rows = rows.withColumn("x", F.array_distinct(T.words("ta"))).withColumn("y", F.array_distinct(T.words("tb")))
+    rows = rows.withColumn("missing", F.array_sort(F.array_except("x", "y"))).withColumn("extra", F.array_sort(F.array_except("y", "x")))
+    same = (F.size("missing") == 0) & (F.size("extra") == 0)
+    return rows.select(*k, F.size("x").alias("n_words"), "missing", "extra", F.when(plain("ta") == plain("tb"), "exact").when(same, "whitespace").otherwise("differs").alias("state"))
+
+
+def text_report(report: DataFrame, totals: DataFrame, *keys: str, names: int = 3) -> DataFrame:
+    """(keys, report): the text-accuracy report of each document in Markdown: a table of its pages, naming at most ``names`` words of each kind, and the summary. A document's pages make one row."""
+    named = lambda c, label: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(c, 1, names), ", ")))
+    status = F.when(F.col("state") == "exact", "Exact").when(F.col("state") == "whitespace", "Whitespace").otherwise("Differs")
+    line = F.concat_ws(" | ", F.concat(F.lit("| "), "page"), status, "n_words", F.size("missing").cast("string"), F.size("extra").cast("string"), F.concat(F.concat_ws("; ", named("missing", "Missing"), named("extra", "Extra")), F.lit(" |")))
+    pages = report.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", line.alias("line")))).alias("lines"))
+    head = "## Per-Page Results\n\n| Page | Status | Words Orig | Missing | Extra | Notes |\n|------|--------|-----------|---------|-------|-------|\n"
+    rows = [("Pages with exact text match", F.concat("exact", F.lit("/"), "pages")), ("Word retention", F.concat(F.format_number("word_retention", 1), F.lit("%"))), ("Total unique words in original", F.col("words").cast("string")), ("Total missing words", F.col("missing_words").cast("string")), ("Total extra words", F.col("extra_words").cast("string"))]
+    summary = F.concat(F.lit("\n\n## Summary\n\n| Metric | Value |\n|--------|-------|"), *[F.concat(F.lit(f"\n| {n} | "), v, F.lit(" |")) for n, v in rows])
+    both = pages.join(totals, list(keys))
+    return both.select(*keys, F.concat(F.lit(head), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), summary).alias("report"))
+
+
+def revision_totals(compared: DataFrame, *keys: str) -> DataFrame:
+    """Totals of a comparison's sections (as ``compare_sections`` gives them) with the words of old and new texts and their overlap as sets, rounded to three places."""
+    word = lambda c: T.words(F.coalesce(F.col(c), F.lit("")))
+    n = lambda v: F.count_if(F.col("change_type") == v).alias(v)
+    g = compared.groupBy(*keys).agg(
+        n("added"), n("removed"), n("modified"), n("unchanged"), F.count_if("has_requirement_change").alias("requirement_changes"), F.count_if("has_tbd_change").alias("tbd_changes"), F.count_if(F.col("classification") == "technical").alias("technical"),
+        F.sum(F.size(word("old_text"))).alias("old_words"), F.sum(F.size(word("new_text"))).alias("new_words"),
+    )
+    side = lambda c, f: compared.select(*keys, F.explode(F.array_distinct(word(c))).alias("_w")).distinct().withColumn(f, F.lit(True))
+    met = side("old_text", "a").join(side("new_text", "b"), [*keys, "_w"], "full_outer").groupBy(*keys).agg(F.count_if(F.col("a") & F.col("b")).alias("both"), F.count("*").alias("all"))
+    return g.join(met, list(keys), "left").withColumn("word_similarity", F.round(F.coalesce(F.col("both") / F.col("all"), F.lit(0.0)), 3)).drop("both", "all")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import chunking, diffs, evaluate, items, journal, layout, listing, providers, requirements, retrieval, versions
+from marlstone.operators import chunking, contents, diffs, evaluate, items, journal, layout, listing, providers, requirements, retrieval, versions
 from marlstone.plans.registry import QUERIES
 from marlstone.sources import connectors, ir, store
 
@@ -304,9 +304,9 @@ def test_A7_document_without_counted_blocks(spark):
 
 
 def test_W13_lone_page_numbers(spark):
-    rows = [(1, 1, i, t) for i, t in enumerate(["1.", "Scope ........ 3", "Purpose .......", "12", "2.1", "Means .... iv", "Other text", "Ends ..... 7"])]
-    got = [(r.title, r.ref) for r in layout.toc_entries(spark.createDataFrame(rows, "doc int, page int, ord int, text string")).orderBy("ord").collect()]
-    assert got == [("1. Scope", "3"), ("Purpose", "12"), ("2.1 Means", "iv"), ("Ends", "7")]
+    rows = [(1, 1, i, 90.0, 100.0 + i, t) for i, t in enumerate(["1.", "Scope ........ 3", "Purpose .......", "12", "2.1", "Means ...... iv", "Other text", "Ends ...... 7"])]
+    got = [(r.title, r.page_ref) for r in contents.table_of_contents(spark.createDataFrame(rows, "doc int, page int, ord int, x0 double, y0 double, text string")).orderBy("place").collect()]
+    assert got == [("1. Scope", "3"), ("Purpose", "12"), ("2.1 Means", "iv"), ("Other text", ""), ("Ends", "7")]
 
 
 @pytest.mark.parametrize("mode", ["complete", "append"])
