@@ -156,3 +156,21 @@ def reflow(blocks: DataFrame, edited: DataFrame, line_height: float = 12.0, bott
     shift = F.when(running, 0.0).otherwise(F.coalesce(F.sum("delta").over(w), F.lit(0.0)))
     rows = rows.withColumn("shift", shift)
     return rows.select("doc", "page", "block_id", (F.col("y0") + F.col("shift")).alias("y0"), (F.col("y1") + F.col("shift") + F.col("delta")).alias("y1"), F.greatest(F.col("y1") + F.col("shift") + F.col("delta") - bottom, F.lit(0.0)).alias("overflow"))
+
+
+def table_cells(spans: DataFrame, heights: DataFrame | None = None, y_min: float = 0.0, y_max: float = 9999.0, margin: float = 60.0) -> DataFrame:
+    """(doc, page, row, col, id, text, x0, y0, x1, y1, rows, columns) of the spans (doc, page, text, x0, y0, x1, y1) of a page's table, for an editor.
+
+    Spans in the margins (of pages of a height (doc, page, height_pt), 792 where none is given), outside y_min to y_max and blank ones are left out. Rows are
+    spans within 5 pt of the row's first one, cells stand from left to right. A page with fewer than four spans, two rows or two columns has no table.
+    """
+    page = ["doc", "page"]
+    rows = spans.withColumn("text", F.trim("text")).where(F.col("text") != "")
+    rows = rows.withColumn("height_pt", F.lit(792.0)) if heights is None else rows.join(heights.select(*page, "height_pt"), page, "left").withColumn("height_pt", F.coalesce("height_pt", F.lit(792.0)))
+    rows = rows.where((F.col("y0") >= margin) & (F.col("y0") <= F.col("height_pt") - margin) & F.col("y0").between(y_min, y_max)).select(*page, "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    placed = group_rows(rows.select(*page, "y0", "x0", "text", "x1", "y1"), page, 5.0, "y0")
+    col = F.row_number().over(Window.partitionBy(*page, "row").orderBy("x0", "y0", "text", "x1", "y1")) - 1
+    every = Window.partitionBy(*page)
+    cells = placed.withColumn("col", col).withColumn("n", F.count("*").over(every)).withColumn("rows", F.max("row").over(every) + 1).withColumn("columns", F.max("col").over(every) + 1)
+    cells = cells.where("n >= 4 and rows >= 2 and columns >= 2")
+    return cells.select(*page, "row", "col", F.format_string("cell-p%02d-r%d-c%d", "page", "row", "col").alias("id"), "text", "x0", "y0", "x1", "y1", "rows", "columns")

@@ -12,6 +12,8 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"there are two queries {name}")
         QUERIES[name] = f
         if oracle:
             ORACLES[name] = oracle

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contents, items, requirements, versions
+from ..operators import contents, items, layout, requirements, versions
 from .base import query, table
 from .documents import rev
 from .fixture import CTE, icd_documents
@@ -102,3 +102,13 @@ def similarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("R"), F.col("vec_id") % 2)).when(F.col("vec_id") % 3 == 1, F.lit(""))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("doc"), "embedding", value.alias("resolution"))
     return items.correlate(v, 0.3, 0.45).where("conflict").select("item_a", "item_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("page_table_cells", "WITH p AS (" + SPANS.replace("D0", "::DOUBLE") + """), s AS (SELECT doc, page, trim(text) AS text, x0, y0, x0 + 50 AS x1, y0 + 10 AS y1, ord FROM p WHERE y0 BETWEEN 60 AND 500),
+    r AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY doc, page ORDER BY y0) - 1 AS INTEGER) AS row FROM s), c AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc, page, row ORDER BY x0, text) - 1 AS INTEGER) AS col FROM r),
+    n AS (SELECT *, count(*) OVER w AS n, max(row) OVER w + 1 AS rows, max(col) OVER w + 1 AS columns FROM c WINDOW w AS (PARTITION BY doc, page))
+    SELECT doc, page, row, col, printf('cell-p%02d-r%d-c%d', page, row, col) AS id, text, x0, y0, x1, y1, rows, columns FROM n WHERE n >= 4 AND rows >= 2 AND columns >= 2""")
+def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of pages 560 pt high as cells of a table."""
+    s = spans(spark, sf_dir).withColumn("x1", F.col("x0") + 50).withColumn("y1", F.col("y0") + 10)
+    return layout.table_cells(s, s.select("doc", "page").distinct().withColumn("height_pt", F.lit(560.0)))

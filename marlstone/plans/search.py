@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evaluate, providers, retrieval
+from ..operators import chunking, collection, evaluate, providers, retrieval
+from ..sources.store import scratch
+from ..sources.tables import Tables
 from .base import query, table
 
 SIZE, STEP = chunking.window_size(512, 64)
@@ -223,6 +225,49 @@ def rag_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.warnings(results.join(_whole_docs(spark, sf_dir), "chunk_id"), _answers(spark, sf_dir, results))
 
 
+class Unsteady(providers.ExtractiveGenerator):
+    """Fails on questions whose length is divisible by 3."""
+
+    def answer(self, question, context):
+        return F.when(F.length(question) % 3 != 0, super().answer(question, context))
+
+
+@query("ask", _RRF + """, f AS (SELECT query_id, rank, chunk_id, score, text FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10),
+    x AS (SELECT query_id, string_agg('[' || rank || '] ' || chunk_id || ': ' || substr(text, 1, 200), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_passages, bool_or(contains(lower(text), 'tbd')) AS open_items, max(score) AS top_score FROM f GROUP BY query_id),
+    an AS (SELECT x.*, length(b.text) % 3 <> 0 AS generated, array_to_string(string_split(context, chr(10) || chr(10))[1:3], chr(10) || chr(10)) AS first FROM x JOIN benchmark b ON item_id = query_id),
+    y AS (SELECT *, CASE WHEN generated THEN first ELSE 'I encountered an error generating a synthesized answer. Here are the most relevant passages:' || chr(10) || chr(10) || first || chr(10) || chr(10) END AS answer FROM an),
+    h AS (SELECT f.query_id, count(*) FILTER (f.score > top_score * 0.5) AS strong FROM f JOIN x USING (query_id) GROUP BY f.query_id)
+    SELECT query_id, answer, generated, CASE WHEN contains(lower(answer), 'could not find') OR contains(lower(answer), 'no information') OR contains(lower(answer), 'unclear') OR contains(lower(answer), 'not specified') THEN 'low'
+        WHEN top_score > 0.03 AND strong >= 3 THEN 'high' WHEN top_score > 0.02 AND strong >= 2 THEN 'medium' ELSE 'low' END AS confidence, n_passages, open_items, contains(lower(answer), 'shall') AS contractual, NULL::VARCHAR AS warning FROM y JOIN h USING (query_id)""")
+def ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to all benchmark texts by a generator that fails on some of them."""
+    return collection.answer(_rrf(spark, sf_dir), _whole_docs(spark, sf_dir), queries_of(spark, sf_dir), Unsteady())
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> collection.Collection:
+    """The documents under three configurations; those of even number are ingested a second time."""
+    made = collection.Collection(Tables(spark, scratch(spark, "collection")), [
+        collection.Configuration("paragraph 64", "paragraph", {"max_tokens": 100_000}), collection.Configuration("section 64", "section", {"max_tokens": 100_000}), collection.Configuration("window 32", "sliding_window", {}, providers.HashingEmbedder(32)),
+    ])
+    rows = elements(spark, sf_dir).withColumn("title", F.concat(F.lit("Document "), "doc"))
+    made.ingest(rows)
+    made.ingest(rows.where("doc % 2 = 0"))
+    return made
+
+
+@query("ingest_configurations", f"""WITH {_ELEMENTS},
+    s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY ord) AS seg FROM e),
+    g AS (SELECT doc, seg, string_agg(text, chr(10) ORDER BY ord) FILTER (NOT head AND trim(text) <> '') AS body FROM s GROUP BY doc, seg),
+    w AS (SELECT doc_id AS doc, unnest(generate_series(0, len(regexp_extract_all(text, '\\S+')) - 1, {STEP})) AS i0 FROM documents),
+    a AS (SELECT 'icd_paragraph_64' AS "index", doc FROM e WHERE head OR trim(text) <> '' UNION ALL SELECT 'icd_section_64', doc FROM g WHERE body IS NOT NULL AND trim(body) <> '' UNION ALL SELECT 'icd_window_32', doc FROM w)
+    SELECT "index", count(*) AS n_chunks, count(DISTINCT doc) AS n_docs, 64 - 32 * CAST("index" = 'icd_window_32' AS INTEGER) AS dims FROM a GROUP BY "index" """)
+def ingest_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and documents of each configuration's index after the second ingest has replaced a part of the first."""
+    made = indexed(spark, sf_dir)
+    parts = [made.chunks(c).agg(F.count("*").alias("n_chunks"), F.count_distinct("document_hash").alias("n_docs"), F.max(F.size("embedding")).alias("dims")).withColumn("index", F.lit(c.index)) for c in made.configurations]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("rag_context", _RRF + """, f AS (SELECT query_id, rank, chunk_id, score, substr(text, 1, 200) AS t FROM r JOIN documents ON doc_id = chunk_id WHERE rank <= 10)
     SELECT query_id, string_agg('[' || rank || '] ' || chunk_id || ': ' || t, chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_passages, max(score) AS top_score FROM f GROUP BY query_id""")
 def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,13 @@ def search_hits(answers: DataFrame, v: str, *keys: str) -> DataFrame:
         *keys, (F.col("rank") + 1).alias("rank"), own.alias("chunk_id"), text("text"), value(h, "$._score", "double", 0.0).alias("score"), text("document_hash"), text("document_title"),
         value(h, "$._source.page_number", "int", 0).alias("page_number"), text("section_heading", None), text("section_number", None), text("content_type", "paragraph"), F.coalesce(F.to_json(_at(h, "$._source.metadata")), F.lit("{}")).alias("metadata"),
     )
+
+
+def table_text(table: Column) -> Column:
+    """A table variant as text to search: rows that are arrays or hold cells as lines, their cells joined by bars; without rows the texts of its cells. Nulls count as empty."""
+    rows, cells = array(table, "$.rows"), array(table, "$.cells")
+    plain = lambda r: F.transform(F.coalesce(_at(r, "$", "array<variant>"), F.array().cast("array<variant>")), lambda c: F.coalesce(_at(c, "$", "string"), F.lit("")))
+    texts = lambda cs: F.transform(cs, lambda c: F.coalesce(_at(c, "$.text", "string"), F.lit("")))
+    is_list = lambda r: F.coalesce(F.schema_of_variant(r).startswith("ARRAY"), F.lit(False))
+    line = lambda r: F.array_join(F.when(is_list(r), plain(r)).otherwise(texts(array(r, "$.cells"))), " | ")
+    return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, line), "\n")).otherwise(F.array_join(F.filter(texts(cells), lambda t: t != ""), " | "))
