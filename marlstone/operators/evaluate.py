@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import picked
+
 
 def score_queries(hits: DataFrame, judgments: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, recall, reciprocal_rank, ndcg_raw, ndcg_capped, hit) from hits (query_id, rank, text) and judgments (query_id, relevant_texts).
@@ -30,18 +32,14 @@ def score_queries(hits: DataFrame, judgments: DataFrame, k: int = 10) -> DataFra
     )
 
 
-def nth(values, share: float):
-    """Element at index int(n * share) of the sorted values, not interpolated."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, (F.least(F.floor(F.size(s) * share), F.size(s) - 1) + 1).cast("int"))
-
-
 def aggregate(metrics: DataFrame, *by: str) -> DataFrame:
     """Means, hit rate and, if there is a latency, its p50 and p95 as picked elements."""
     out = [F.round(F.avg("recall"), 9).alias("mean_recall"), F.round(F.avg("reciprocal_rank"), 9).alias("mean_mrr"), F.round(F.avg("ndcg_raw"), 9).alias("mean_ndcg_raw"), F.round(F.avg(F.col("hit").cast("double")), 9).alias("hit_rate"), F.count("*").alias("n_queries")]
-    if "latency_ms" in metrics.columns:
-        out += [nth("latency_ms", 0.5).alias("p50_ms"), nth("latency_ms", 0.95).alias("p95_ms")]
-    return metrics.groupBy(*by).agg(*out)
+    g = metrics.groupBy(*by).agg(*out)
+    if "latency_ms" not in metrics.columns:
+        return g
+    times = picked(metrics, list(by), "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95})
+    return g.join(times, list(by), "left")
 
 
 def best(configs: DataFrame) -> DataFrame:

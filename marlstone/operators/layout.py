@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ranks import picked
 
 
 def block_type(page_height: float = 792.0) -> Column:
@@ -71,9 +72,9 @@ def gap_sessions(rows: DataFrame, keys: list[str], value: str, gap: float, *tie:
 
 def cluster_positions(rows: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:
     """Upper median of each cluster of two or more values."""
-    s = F.array_sort(F.collect_list(value))
-    g = gap_sessions(rows, keys, value, gap).groupBy(*keys, "cluster").agg(F.count("*").alias("n"), s.alias("s")).where("n >= 2")
-    return g.select(*keys, "cluster", "n", F.element_at("s", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("position"))
+    g = gap_sessions(rows, keys, value, gap)
+    sizes = g.groupBy(*keys, "cluster").agg(F.count("*").alias("n")).where("n >= 2")
+    return sizes.join(picked(g, [*keys, "cluster"], value, {"position": 0.5}), [*keys, "cluster"]).select(*keys, "cluster", "n", "position")
 
 
 def table_zones(spans: DataFrame, keys: list[str], band: float = 15.0, gap: float = 120.0, least: int = 3) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .layout import anchored
+from ..functions.ranks import picked
+from .tablefunctions import anchor_groups
 
 # Common font sizes.
 SIZES = [8, 9, 10, 11, 12, 14, 16, 18, 20, 24]
@@ -26,45 +27,46 @@ def band(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("band", F.explode(cells))
 
 
-def match(primary: DataFrame, secondary: DataFrame, size: float = 50.0) -> DataFrame:
-    """First primary word that each secondary word overlaps by more than half: (secondary columns as s, primary as p)."""
+def match(primary: DataFrame, secondary: DataFrame, by: tuple = ("page",), size: float = 50.0) -> DataFrame:
+    """First primary word that each secondary word of its page (``by``) overlaps by more than half: (secondary columns as s, primary as p)."""
     a, b = band(primary, size).alias("a"), band(secondary, size).alias("b")
-    hit = (F.col("a.page") == F.col("b.page")) & (F.col("a.band") == F.col("b.band"))
+    hit = F.col("a.band") == F.col("b.band")
+    for c in by:
+        hit = hit & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     pairs = b.join(a, hit).where(overlap("b", "a") > 0.5)
     word = lambda t, d: F.struct(*[F.col(f"{t}.{c}").alias(c) for c in d.columns])
     return pairs.select(word("b", secondary).alias("s"), word("a", primary).alias("p")).groupBy("s").agg(F.min_by("p", "p.ord").alias("p"))
 
 
-def merge(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Primary words and the secondary ones (page, ord, text, x0, y0, x1, y1, confidence, source) that overlap none."""
-    got = match(primary, secondary).select("s.*")
-    return primary.unionByName(secondary.join(got.select("page", "ord"), ["page", "ord"], "left_anti"))
+def merge(primary: DataFrame, secondary: DataFrame, by: tuple = ("page",)) -> DataFrame:
+    """Primary words and the secondary ones (by, ord, text, x0, y0, x1, y1, confidence, source) that overlap none."""
+    got = match(primary, secondary, by).select("s.*")
+    return primary.unionByName(secondary.join(got.select(*by, "ord"), [*by, "ord"], "left_anti"))
 
 
-def review_flags(primary: DataFrame, secondary: DataFrame, sure: float = 70.0, low: float = 60.0) -> DataFrame:
-    """(page, ord, source, reason, confidence): confident sources that disagree, then merged words of low confidence."""
-    m = match(primary, secondary).where((F.lower("s.text") != F.lower("p.text")) & (F.col("s.confidence") > sure) & (F.col("p.confidence") > sure))
-    a = m.select("s.page", "s.ord", "s.source", F.lit("disagreement").alias("reason"), F.least("s.confidence", "p.confidence").alias("confidence"))
-    b = merge(primary, secondary).where(F.col("confidence") < low).select("page", "ord", "source", F.lit("low confidence").alias("reason"), "confidence")
+def review_flags(primary: DataFrame, secondary: DataFrame, sure: float = 70.0, low: float = 60.0, by: tuple = ("page",)) -> DataFrame:
+    """(by, ord, source, reason, confidence): confident sources that disagree, then merged words of low confidence."""
+    m = match(primary, secondary, by).where((F.lower("s.text") != F.lower("p.text")) & (F.col("s.confidence") > sure) & (F.col("p.confidence") > sure))
+    a = m.select(*[f"s.{c}" for c in by], "s.ord", "s.source", F.lit("disagreement").alias("reason"), F.least("s.confidence", "p.confidence").alias("confidence"))
+    b = merge(primary, secondary, by).where(F.col("confidence") < low).select(*by, "ord", "source", F.lit("low confidence").alias("reason"), "confidence")
     return a.unionByName(b)
 
 
 def font_size(words: DataFrame, *keys: str) -> DataFrame:
     """Nearest common size (the first of several) to the upper median of heights above 3, over 1.2; 11 without any."""
-    h = F.array_sort(F.collect_list(F.when(F.col("y1") - F.col("y0") > 3, F.col("y1") - F.col("y0"))))
-    g = words.groupBy(*keys).agg(h.alias("h"))
-    est = F.element_at("h", (F.floor(F.size("h") / 2) + 1).cast("int")) / 1.2
-    near = F.array_sort(F.transform(F.array(*[F.lit(float(s)) for s in SIZES]), lambda s: F.struct(F.abs(s - est).alias("d"), s.alias("s"))))[0]["s"]
-    return g.select(*keys, F.when(F.size("h") > 0, near).otherwise(11.0).alias("font_size"))
+    rows = words.withColumn("_h", F.when(F.col("y1") - F.col("y0") > 3, F.col("y1") - F.col("y0")))
+    g = rows.select(*keys).distinct().join(picked(rows, list(keys), "_h", {"h": 0.5}), list(keys), "left")
+    near = F.array_sort(F.transform(F.array(*[F.lit(float(s)) for s in SIZES]), lambda s: F.struct(F.abs(s - F.col("h") / 1.2).alias("d"), s.alias("s"))))[0]["s"]
+    return g.select(*keys, F.when(F.col("h").isNotNull(), near).otherwise(11.0).alias("font_size"))
 
 
-def lines(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """(page, line, text, y0): words in order of height go to a new line where they are ``tolerance`` from the line's first word."""
-    s = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "ord", "text"))).alias("s"))
-    s = s.withColumn("g", anchored(F.transform("s", lambda x: x["y0"].cast("double")), tolerance))
-    rows = s.select("page", F.explode(F.zip_with("s", "g", lambda a, b: F.struct(a.alias("w"), b.alias("line")))).alias("z")).select("page", "z.line", "z.w.*")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "ord", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy("page", "line").agg(F.min("y0").alias("y0"), text.alias("text"))
+def lines(words: DataFrame, tolerance: float = 5.0, by: tuple = ("page",)) -> DataFrame:
+    """(by, line, text, y0): words of a page in order of height go to a new line where they are ``tolerance`` from the line's first word."""
+    key = F.struct(*by)
+    placed = anchor_groups(words.select(key.alias("key"), F.struct("x0", "ord", "text").alias("ord"), F.col("y0").cast("double").alias("value")), tolerance)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("ord")), lambda x: x["text"]), " ")
+    rows = placed.groupBy("key", F.col("number").alias("line")).agg(F.min("value").alias("y0"), text.alias("text"))
+    return rows.select(*[F.col(f"key.{c}").alias(c) for c in by], "line", "y0", "text")
 
 
 def cost_summary(calls: DataFrame) -> DataFrame:
@@ -77,14 +79,3 @@ def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost of usage (model, tokens_in, tokens_out) by a price table (model, price_in, price_out per 1,000 tokens); unknown models cost nothing."""
     cost = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1000
     return usage.join(prices, "model", "left").withColumn("cost", F.round(cost, 9)).drop("price_in", "price_out")
-
-
-def invisible_text(spans: DataFrame, dark: DataFrame, light: float = 200.0, size: float = 50.0) -> DataFrame:
-    """Spans (page, span_id, colour, box) of light colour whose centre lies in no image or dark fill (page, box)."""
-    c = F.col("colour")
-    mean = (F.shiftright(c, 16).bitwiseAND(255) + F.shiftright(c, 8).bitwiseAND(255) + c.bitwiseAND(255)) / 3
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    s = spans.where(mean >= light).withColumn("cx", x).withColumn("cy", y).withColumn("band", F.floor(y / size).cast("long")).alias("s")
-    d = band(dark, size).alias("d")
-    inside = (F.col("s.page") == F.col("d.page")) & (F.col("s.band") == F.col("d.band")) & F.col("s.cx").between(F.col("d.x0"), F.col("d.x1")) & F.col("s.cy").between(F.col("d.y0"), F.col("d.y1"))
-    return s.join(d, inside, "left_anti").select(*spans.columns)

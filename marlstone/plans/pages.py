@@ -86,32 +86,32 @@ def reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _words(spark, sf_dir):
     """Two sources of words on invented pages: the second is shifted, disagrees at times and sees some that the first does not."""
     p = table(spark, sf_dir, "part").select(
-        (F.col("p_partkey") % 20).alias("page"), F.col("p_partkey").alias("ord"), F.substring_index("p_name", " ", 1).alias("text"),
-        ((F.col("p_partkey") / 20).cast("int") % 10 * 60.0).alias("x0"), ((F.col("p_partkey") / 200).cast("int") * 20.0).alias("y0"), (F.lit(30.0) + F.col("p_partkey") * 7 % 70).cast("double").alias("confidence"), "p_size",
+        F.floor(F.col("p_partkey") / 1000).alias("doc"), (F.col("p_partkey") % 20).alias("page"), F.col("p_partkey").alias("ord"), F.substring_index("p_name", " ", 1).alias("text"),
+        ((F.col("p_partkey") / 20).cast("int") % 10 * 60.0).alias("x0"), ((F.col("p_partkey") % 1000 / 200).cast("int") * 20.0).alias("y0"), (F.lit(30.0) + F.col("p_partkey") * 7 % 70).cast("double").alias("confidence"), "p_size",
     )
-    box = lambda d, dx: d.select("page", "ord", "text", (F.col("x0") + dx).alias("x0"), "y0", (F.col("x0") + dx + 40).alias("x1"), (F.col("y0") + 12).alias("y1"), "confidence", "source")
+    box = lambda d, dx: d.select("doc", "page", "ord", "text", (F.col("x0") + dx).alias("x0"), "y0", (F.col("x0") + dx + 40).alias("x1"), (F.col("y0") + 12).alias("y1"), "confidence", "source")
     first = box(p.where("p_size % 5 <> 0").withColumn("source", F.lit("a")), 0)
     other = p.withColumn("text", F.when(F.col("p_size") % 3 == 0, F.upper("text")).when(F.col("p_size") % 3 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
     return first, box(other.withColumn("confidence", F.col("confidence") + 5).withColumn("source", F.lit("b")), F.lit(8))
 
 
-_OCR = """p AS (SELECT p_partkey % 20 AS page, p_partkey AS ord, split_part(p_name, ' ', 1) AS text, (p_partkey // 20) % 10 * 60.0::DOUBLE AS x0, (p_partkey // 200) * 20.0::DOUBLE AS y0, (30.0 + p_partkey * 7 % 70)::DOUBLE AS confidence, p_size FROM part),
-    a AS (SELECT page, ord, text, x0, y0, x0 + 40 AS x1, y0 + 12 AS y1, confidence, 'a' AS source FROM p WHERE p_size % 5 <> 0),
-    b AS (SELECT page, ord, CASE p_size % 3 WHEN 0 THEN upper(text) WHEN 1 THEN text || 'x' ELSE text END AS text, x0 + 8 AS x0, y0, x0 + 48 AS x1, y0 + 12 AS y1, confidence + 5 AS confidence, 'b' AS source FROM p),
-    o AS (SELECT b.*, a.ord AS a_ord, a.text AS a_text, a.confidence AS a_conf FROM b JOIN a ON a.page = b.page AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) > 0 AND (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0
+_OCR = """p AS (SELECT p_partkey // 1000 AS doc, p_partkey % 20 AS page, p_partkey AS ord, split_part(p_name, ' ', 1) AS text, (p_partkey // 20) % 10 * 60.0::DOUBLE AS x0, (p_partkey % 1000 // 200) * 20.0::DOUBLE AS y0, (30.0 + p_partkey * 7 % 70)::DOUBLE AS confidence, p_size FROM part),
+    a AS (SELECT doc, page, ord, text, x0, y0, x0 + 40 AS x1, y0 + 12 AS y1, confidence, 'a' AS source FROM p WHERE p_size % 5 <> 0),
+    b AS (SELECT doc, page, ord, CASE p_size % 3 WHEN 0 THEN upper(text) WHEN 1 THEN text || 'x' ELSE text END AS text, x0 + 8 AS x0, y0, x0 + 48 AS x1, y0 + 12 AS y1, confidence + 5 AS confidence, 'b' AS source FROM p),
+    o AS (SELECT b.*, a.ord AS a_ord, a.text AS a_text, a.confidence AS a_conf FROM b JOIN a ON a.doc = b.doc AND a.page = b.page AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) > 0 AND (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 0
         AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / 480.0 > 0.5),
-    f AS (SELECT DISTINCT ON (page, ord) * FROM o ORDER BY page, ord, a_ord),
-    m AS (SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN f USING (page, ord))"""
+    f AS (SELECT DISTINCT ON (doc, page, ord) * FROM o ORDER BY doc, page, ord, a_ord),
+    m AS (SELECT * FROM a UNION ALL SELECT * FROM b ANTI JOIN f USING (doc, page, ord))"""
 
 
 @query("ocr_merge", f"WITH {_OCR} SELECT * FROM m")
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.merge(*_words(spark, sf_dir))
+    return ocr.merge(*_words(spark, sf_dir), ("doc", "page"))
 
 
-@query("ocr_review_flags", f"WITH {_OCR} SELECT page, ord, source, 'disagreement' AS reason, least(confidence, a_conf) AS confidence FROM f WHERE lower(text) <> lower(a_text) AND confidence > 70 AND a_conf > 70 UNION ALL SELECT page, ord, source, 'low confidence', confidence FROM m WHERE confidence < 60")
+@query("ocr_review_flags", f"WITH {_OCR} SELECT doc, page, ord, source, 'disagreement' AS reason, least(confidence, a_conf) AS confidence FROM f WHERE lower(text) <> lower(a_text) AND confidence > 70 AND a_conf > 70 UNION ALL SELECT doc, page, ord, source, 'low confidence', confidence FROM m WHERE confidence < 60")
 def ocr_review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.review_flags(*_words(spark, sf_dir))
+    return ocr.review_flags(*_words(spark, sf_dir), by=("doc", "page"))
 
 
 @query("ocr_font_size", """WITH h AS (SELECT p_brand, p_size AS h FROM part), m AS (SELECT p_brand, list_sort(list(h::DOUBLE) FILTER (h > 3)) AS s FROM h GROUP BY p_brand), e AS (SELECT p_brand, s[len(s) // 2 + 1] / 1.2 AS est FROM m)
@@ -120,9 +120,9 @@ def ocr_font_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.font_size(table(spark, sf_dir, "part").select("p_brand", F.lit(0.0).alias("y0"), F.col("p_size").cast("double").alias("y1")), "p_brand")
 
 
-@query("ocr_lines", f"WITH {_OCR} SELECT page, CAST(y0 / 20 AS INT) AS line, y0, string_agg(text, ' ' ORDER BY x0, ord) AS text FROM (SELECT page, y0, x0, ord, text, FROM b) GROUP BY page, y0")
+@query("ocr_lines", f"WITH {_OCR} SELECT doc, page, CAST(y0 / 20 AS INT) AS line, y0, string_agg(text, ' ' ORDER BY x0, ord) AS text FROM b GROUP BY doc, page, y0")
 def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.lines(_words(spark, sf_dir)[1])
+    return ocr.lines(_words(spark, sf_dir)[1], by=("doc", "page"))
 
 
 def _calls(spark, sf_dir) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.ranks import picked
 from ..operators import chunking, collection, evaluate, providers, retrieval
 from ..sources.store import scratch
 from ..sources.tables import Tables
@@ -305,4 +306,4 @@ def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("latency_percentiles", """
     SELECT event_type AS mode, list_sort(list(value))[count(*) // 2 + 1] AS p50_ms, list_sort(list(value))[least(CAST(trunc(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95_ms FROM events GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("mode")).agg(evaluate.nth("value", 0.5).alias("p50_ms"), evaluate.nth("value", 0.95).alias("p95_ms"))
+    return picked(table(spark, sf_dir, "events").select(F.col("event_type").alias("mode"), "value"), ["mode"], "value", {"p50_ms": 0.5, "p95_ms": 0.95})
