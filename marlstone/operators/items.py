@@ -77,7 +77,7 @@ def correlate(items: DataFrame, least: float = 0.75, high: float = 0.85, block:
     """Pairs of items (item_id, doc, embedding, resolution) of different documents with cosine similarity above ``least``.
 
     Exact, and pairs that cannot be similar never meet: angles obey the triangle inequality, so an item visits the cell of a pivot only if its angle to the pivot,
-    less the cell's radius, is within the angle of ``least``. Pivots are items of the smallest hashes, at most ``pivots``; each item stands in the cell of its nearest
+    less the cell's radius, is within the angle of ``least``. Pivots are items of the smallest hashes, one for ``block`` items but at most ``pivots``; each item stands in the cell of its nearest
     one. A large cell is cut into parts, and what visits it is dealt into turns, so a task holds about ``block`` items that stand and four times as many that ask.
     Items without a vector or with one of zeros are similar to none; all vectors have one dimension. conflict: both are resolved, differently. ``least`` is not negative.
     """
@@ -91,7 +91,7 @@ def correlate(items: DataFrame, least: float = 0.75, high: float = 0.85, block:
     spark, reach = items.sparkSession, float(np.arccos(min(1.0, least))) + 1e-6
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     rows = items.select("item_id", "doc", F.col("embedding").cast("array<double>").alias("embedding"), "resolution").where(F.exists("embedding", lambda x: x != 0))
-    held = [r.embedding for r in rows.orderBy(F.xxhash64("item_id"), "item_id").limit(pivots).select("embedding").collect()]
+    held = [r.embedding for r in rows.orderBy(F.xxhash64("item_id"), "item_id").limit(max(1, min(pivots, -(-rows.count() // block)))).select("embedding").collect()]
     centres = unit(np.array(held, np.float64)) if held else np.zeros((0, 1))
 
     def angles(pdf):
