@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def families(files: DataFrame) -> DataFrame:
-    """Groups of two or more files (filename, sha256, pages, date, revision) with one normalised stem, versions by date and revision."""
+def families(files: DataFrame, order: str = "date") -> DataFrame:
+    """Groups of two or more files (filename, sha256, pages, date, revision) with one normalised stem.
+
+    Versions go by date and revision, missing ones first, or with ``order="revision"`` by revision, a missing one as Z, and date.
+    """
+    if order not in ("date", "revision"):
+        raise ValueError(f"no order {order}; there are date and revision")
+    known = lambda c, v: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(v))
+    by = [known("date", ""), known("revision", "")] if order == "date" else [known("revision", "Z"), known("date", "")]
     rows = files.withColumn("family", T.normalized_stem("filename"))
     g = rows.groupBy("family").agg(
         F.count("*").alias("n_versions"), F.count_distinct("sha256").alias("n_contents"), F.count_distinct("pages").alias("n_page_counts"),
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("date", F.lit("")), F.coalesce("revision", F.lit("")), "filename"))), lambda x: x["filename"]).alias("versions"),
+        F.transform(F.array_sort(F.collect_list(F.struct(by[0].alias("a"), by[1].alias("b"), "filename"))), lambda x: x["filename"]).alias("versions"),
     ).where("n_versions >= 2")
     status = F.when(F.col("n_contents") == 1, "identical").when(F.col("n_page_counts") > 1, "page_count_differs").otherwise("content_differs")
     return g.withColumn("status", status)
@@ -256,11 +263,40 @@ def title_counts(stems: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def quick_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Overlap of the words, case kept, of two first pages (key, filename, text) and whether they are related: above 0.3, or of one family by name."""
+    """Overlap of the words, case kept, of two first pages (key, filename, text and, where known, pages) and whether they are related: above 0.3, or of one family by name.
+
+    Revisions are those in the first 500 characters, empty if there is none. Page counts are compared where both sides have ``pages``.
+    """
     w = lambda c: F.array_distinct(T.words(c))
-    side = lambda d, n: d.select(key, w("text").alias(f"w{n}"), T.normalized_stem("filename").alias(f"f{n}"))
-    rows = side(a, 0).join(side(b, 1), key).withColumn("s", T.jaccard(F.col("w0"), F.col("w1")))
-    return rows.select(key, F.round("s", 3).alias("similarity"), ((F.col("s") > 0.3) | F.col("f0").eqNullSafe(F.col("f1"))).alias("related"))
+    counts = "pages" in a.columns and "pages" in b.columns
+
+    def side(d, n):
+        more = [F.col("pages").alias(f"pages_{n}")] if counts else []
+        return d.select(key, w("text").alias(f"w_{n}"), T.normalized_stem("filename").alias(f"f_{n}"), T.revision(F.substring(F.coalesce("text", F.lit("")), 1, 500)).alias(f"revision_{n}"), *more)
+
+    rows = side(a, "a").join(side(b, "b"), key).withColumn("s", T.jaccard(F.col("w_a"), F.col("w_b")))
+    pages = ["pages_a", "pages_b", (F.col("pages_a") == F.col("pages_b")).alias("page_count_match")] if counts else []
+    return rows.select(key, F.round("s", 3).alias("similarity"), ((F.col("s") > 0.3) | F.col("f_a").eqNullSafe(F.col("f_b"))).alias("related"), "revision_a", "revision_b", *pages)
+
+
+def summary(documents: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(doc, stem, filename, revision, date, page_count, tbd_count, tbr_count) of documents (doc, filename, text of the first page, pages): the row of a briefing.
+
+    With ``items`` (doc, item_type) their numbers, else zeros.
+    """
+    head = F.substring(F.coalesce("text", F.lit("")), 1, 500)
+    rows = documents.select("doc", T.stem("filename").alias("stem"), "filename", T.revision(head).alias("revision"), T.date_text(head).alias("date"), F.col("pages").alias("page_count"))
+    if items is None:
+        return rows.withColumn("tbd_count", F.lit(0).cast("long")).withColumn("tbr_count", F.lit(0).cast("long"))
+    n = items.groupBy("doc").agg(F.count_if(F.col("item_type") == "TBD").alias("tbd_count"), F.count_if(F.col("item_type") == "TBR").alias("tbr_count"))
+    return rows.join(n, "doc", "left").fillna(0, ["tbd_count", "tbr_count"])
+
+
+def gather(documents: DataFrame, items: DataFrame, stems: list[str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A briefing of the documents named by their stems, in a list or a table (stem): their summaries, and all their open items with the stem. Stems that no document has are passed over."""
+    rows = summary(documents, items)
+    wanted = rows.join(stems.select("stem"), "stem", "left_semi").select(*rows.columns) if isinstance(stems, DataFrame) else rows.where(F.col("stem").isin(list(stems)))
+    return wanted, items.join(wanted.select("doc", "stem"), "doc")
 
 
 def word_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

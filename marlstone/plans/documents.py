@@ -157,6 +157,26 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.families(files(spark, sf_dir)).withColumn("versions", F.array_join("versions", ","))
 
 
+@query("families_by_revision", f"""WITH {_FILES}, x AS (SELECT family, list(filename ORDER BY CASE WHEN coalesce(revision, '') = '' THEN 'Z' ELSE revision END, filename) AS versions FROM g GROUP BY family HAVING count(*) >= 2) SELECT family, array_to_string(versions, ',') AS versions FROM x""")
+def families_by_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other order of versions: files without a revision come last."""
+    return versions.families(files(spark, sf_dir), "revision").select("family", F.array_join("versions", ",").alias("versions"))
+
+
+@query("briefing", f"WITH {CTE}, {_items_cte('t')}, p AS (SELECT doc, count(DISTINCT page) AS page_count FROM icdr GROUP BY doc), h AS (SELECT doc, arg_min(text, page * 100000 + ord) AS text FROM icdr GROUP BY doc)"
+    """, d AS (SELECT doc, 'ICD_' || doc || '_Rev' || chr(CAST(65 + doc % 32 AS INT)) AS stem, page_count, text FROM p JOIN h USING (doc) WHERE doc % 5 = 0)
+    SELECT d.doc, stem, stem || '.pdf' AS filename, coalesce(nullif(regexp_extract(text, '[Rr]ev(?:ision)?[\\s.:]*([A-Z])\\b', 1), ''), nullif(regexp_extract(text, '[Rr]ev(?:ision)?[\\s.:]*(\\d+)', 1), ''), regexp_extract(text, '[Vv]ersion[\\s.:]*(\\d+(?:\\.\\d+)*)', 1)) AS revision,
+        coalesce(nullif(regexp_extract(text, '(\\w+ \\d{4})', 1), ''), nullif(regexp_extract(text, '(\\d{4}-\\d{2}-\\d{2})', 1), ''), regexp_extract(text, '(\\d{2}/\\d{2}/\\d{4})', 1)) AS date, page_count,
+        count(*) FILTER (item_type = 'TBD') AS tbd_count, count(*) FILTER (item_type = 'TBR') AS tbr_count FROM d LEFT JOIN t ON t.doc = d.doc GROUP BY ALL""")
+def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of every fifth document, named by their stems, with their open items by type."""
+    b = icd_documents(spark, sf_dir)
+    stem = F.concat(F.lit("ICD_"), "doc", F.lit("_Rev"), F.chr((65 + F.col("doc") % 32).cast("int")))
+    docs = b.groupBy("doc").agg(F.count_distinct("page").alias("pages"), F.min_by("text", F.struct("page", "ord")).alias("text")).withColumn("filename", F.concat(stem, F.lit(".pdf")))
+    names = table(spark, sf_dir, "supplier").select(F.explode(F.array(*[F.col("s_suppkey") * 32 + k for k in (0, 13, 17)])).alias("doc")).where("doc % 5 = 0").select(stem.alias("stem"))
+    return versions.gather(docs, scanned(spark, sf_dir), names)[0]
+
+
 def _doc_key(df: DataFrame) -> DataFrame:
     return df.select(F.concat("doc", F.lit("-"), "ord").alias("block_id"), "text")
 
@@ -293,7 +313,7 @@ def _pairs(spark, sf_dir):
     SELECT doc_id, round(s, 3) AS similarity, s > 0.3 OR same AS related FROM p""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text stands for the first page, language and source for the name of the file."""
-    return versions.quick_compare(*_pairs(spark, sf_dir), "doc_id")
+    return versions.quick_compare(*_pairs(spark, sf_dir), "doc_id").select("doc_id", "similarity", "related")
 
 
 @query("word_set_diff", """WITH w AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '\\S+')) AS w, array_to_string(regexp_extract_all(text, '\\S+'), ' ') AS q FROM documents)
