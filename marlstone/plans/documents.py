@@ -323,8 +323,8 @@ def word_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.word_report(*_pairs(spark, sf_dir), "doc_id").withColumns({c: F.array_join(c, " ") for c in ("missing", "extra")})
 
 
-@query("boilerplate_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, 'old → ' || line AS snippet FROM l WHERE length(line) >= 20)
+@query("boilerplate_lines", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, 'old → ' || line AS snippet FROM l)
     SELECT snippet, count(*) AS n FROM s GROUP BY snippet HAVING count(*) >= 3""")
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("length(line) >= 20")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return versions.boilerplate(rows.select(F.col("doc_id").alias("section"), F.concat(F.lit("old → "), "line").alias("snippet")))

@@ -87,7 +87,7 @@ def reflow_and_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagework.reflow_and_split(b, grown, bottom=200.0).select("doc", "page", "ord", "block_id", "y0", "y1", "moved")
 
 
-@query("rogue_text", f"""WITH {CTE}, s AS (SELECT doc, page, ord, substr(text, 1, 12) AS text, CASE WHEN k % 3 = 0 THEN 255 ELSE 200 END AS bright, x0 + k * 2 AS x0, y0 + k AS y0, x0 + k * 2 + 40 AS x1, y0 + k + 10 AS y1 FROM icdr WHERE ord % 3 <> 0),
+@query("rogue_text", f"""WITH {CTE}, s AS (SELECT doc, page, ord, substr(text, 1, 12) AS text, CASE WHEN k % 3 = 0 THEN 255 ELSE 200 END AS bright, x0 + k * 2 AS x0, y0 + k AS y0, x0 + k * 2 + 40 AS x1, y0 + k + 10 AS y1 FROM icdr),
     d AS (SELECT doc, page, x0, y0, x1, y0 + 20 AS y1 FROM icdr WHERE k = 8), v AS (SELECT * REPLACE (trim(text) AS text) FROM s),
     h AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc = v.doc AND d.page = v.page AND (v.x0 + v.x1) / 2 BETWEEN d.x0 AND d.x1 AND (v.y0 + v.y1) / 2 BETWEEN d.y0 AND d.y1)),
     f AS (SELECT h.*, t.block_id, row_number() OVER (PARTITION BY h.doc, h.page, h.ord ORDER BY NOT (abs(t.x0 - h.x0) < 20 AND abs(t.y0 - h.y0) < 20), t.ord) AS k FROM h JOIN icdr t ON t.doc = h.doc AND t.page = h.page AND ((abs(t.x0 - h.x0) < 20 AND abs(t.y0 - h.y0) < 20) OR contains(t.text, h.text))),
@@ -98,7 +98,7 @@ def rogue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _b(spark, sf_dir)
     shade = F.when(F.col("k") % 3 == 0, 0xFFFFFF).otherwise(0xC8C8C8)
     x, y = F.col("x0") + F.col("k") * 2, F.col("y0") + F.col("k")
-    spans = b.where("ord % 3 <> 0").select(*KEYS, "ord", F.substring("text", 1, 12).alias("text"), shade.alias("color"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 10).alias("y1"))
+    spans = b.select(*KEYS, "ord", F.substring("text", 1, 12).alias("text"), shade.alias("color"), x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 10).alias("y1"))
     dark = b.where("k = 8").select(*KEYS, "x0", "y0", "x1", (F.col("y0") + 20).alias("y1"))
     return pagework.rogue_text(spans, dark, b)
 

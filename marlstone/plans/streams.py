@@ -71,10 +71,15 @@ def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("session").agg(F.max_by("applied", "last_seq").alias("applied"), F.max_by("undone", "last_seq").alias("undone"))
 
 
-@query("html_elements", """WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g') AS h FROM pages), t AS (SELECT page_id, unnest(regexp_extract_all(h, '(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]>')) AS x FROM b)
-    SELECT page_id AS doc, count(*) AS n_headings FROM t GROUP BY page_id""")
+_TAGS = " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, unnest(regexp_extract_all(h, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)) AS x FROM b" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td"))
+
+
+@query("html_elements", f"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>', ' ', 'g') AS h FROM pages), t AS ({_TAGS}),
+    c AS (SELECT page_id, tag, trim(regexp_replace(replace(regexp_replace(x, '(?s)<[^>]*>', '', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS x FROM t)
+    SELECT page_id AS doc, tag, count(*) AS n FROM c WHERE x <> '' GROUP BY ALL""")
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir.html_elements(table(spark, sf_dir, "pages")).where("kind = 'heading'").groupBy("doc").agg(F.count("*").alias("n_headings"))
+    """Elements of each page by their tag."""
+    return ir.html_elements(table(spark, sf_dir, "pages")).groupBy("doc", "tag").agg(F.count("*").alias("n"))
 
 
 @query("html_section_chunks")
