@@ -103,8 +103,26 @@ def boilerplate(snippets: DataFrame, least: int = 3) -> DataFrame:
     return snippets.where(F.contains("snippet", F.lit("→")) & ~F.col("snippet").rlike("^[+-]")).groupBy("snippet").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def without_boilerplate(snippets: DataFrame, least: int = 3) -> DataFrame:
-    return snippets.join(boilerplate(snippets, least), "snippet", "left_anti")
+def without_boilerplate(sections: DataFrame, *keys: str, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Sections of comparisons (keys, heading, change_type, classification, has_requirement_change, snippets, value_changes, tbd_changes) without boilerplate, and that boilerplate as (keys, snippet, n).
+
+    Boilerplate are substitutions that occur ``least`` times in the modified sections of one comparison, however many sections that are; what is added or removed is content even if it repeats. A
+    modified section of which no snippet is left, and which has no changed value or open item, is unchanged and editorial. Sections that had no snippets stay as they are. Headings are unique in a comparison;
+    value_changes and tbd_changes are counts, null for none.
+    """
+    k, of = list(keys), [*keys, "heading"]
+    said = sections.where((F.col("change_type") == "modified") & (F.size("snippets") > 0)).select(*of, F.posexplode("snippets").alias("_at", "snippet"))
+    substitution = F.contains("snippet", F.lit("→")) & ~F.col("snippet").rlike("^[+-]")
+    stamps = said.where(substitution).groupBy(*k, "snippet").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = said.join(stamps.select(*k, "snippet"), [*k, "snippet"], "left_anti").groupBy(*of).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "snippet"))), lambda x: x["snippet"]).alias("_kept"))
+    rows = sections.join(kept, of, "left")
+    had = (F.col("change_type") == "modified") & (F.size("snippets") > 0)
+    left = F.when(had, F.coalesce("_kept", F.array().cast("array<string>"))).otherwise(F.col("snippets"))
+    nothing = had & (F.size(left) == 0) & (F.coalesce("value_changes", F.lit(0)) == 0) & (F.coalesce("tbd_changes", F.lit(0)) == 0)
+    out = rows.withColumn("_left", left).withColumn("_no", nothing)
+    out = out.withColumn("change_type", F.when(F.col("_no"), "unchanged").otherwise(F.col("change_type"))).withColumn("classification", F.when(F.col("_no"), "editorial").otherwise(F.col("classification")))
+    out = out.withColumn("has_requirement_change", F.when(F.col("_no"), False).otherwise(F.col("has_requirement_change"))).withColumn("snippets", F.col("_left"))
+    return out.select(*sections.columns), stamps
 
 
 def spec_values(blocks: DataFrame, around: int = 60) -> DataFrame:

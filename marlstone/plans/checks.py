@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import contents, items, layout, requirements, versions
 from .base import query, table
-from .documents import rev
+from .documents import _SEC, rev, section_compare
 from .fixture import CTE, icd_documents
 
 #: Spans of invented contents pages, which both engines derive: leader dots, numbers alone, section numbers in a row, plain lines.
@@ -112,3 +112,31 @@ def page_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of pages 560 pt high as cells of a table."""
     s = spans(spark, sf_dir).withColumn("x1", F.col("x0") + 50).withColumn("y1", F.col("y0") + 10)
     return layout.table_cells(s, s.select("doc", "page").distinct().withColumn("height_pt", F.lit(560.0)))
+
+
+_STAMPED = f"""{CTE}, {_SEC}, m AS (SELECT doc, heading, change_type, classification, has_requirement_change, CASE WHEN change_type = 'modified' THEN ['Page ' || (page_old % 3) || ' → ' || (page_new % 2), '+ "' || substr(new_text, 1, 8) || '"'][1:1 + length(new_text) % 2] ELSE [] END AS snippets,
+        CAST(classification = 'technical' AND page_old % 2 = 0 AS INTEGER) AS value_changes, CAST(has_tbd_change AS INTEGER) AS tbd_changes FROM s),
+    x AS (SELECT doc, heading, unnest(snippets) AS snippet, generate_subscripts(snippets, 1) AS at_ FROM m), b AS (SELECT doc, snippet, count(*) AS n FROM x WHERE contains(snippet, '→') AND NOT regexp_matches(snippet, '^[+-]') GROUP BY ALL HAVING count(*) >= 3),
+    k AS (SELECT doc, heading, list(snippet ORDER BY at_) AS kept FROM x ANTI JOIN b USING (doc, snippet) GROUP BY ALL),
+    r AS (SELECT m.*, coalesce(kept, []) AS left_, change_type = 'modified' AND len(snippets) > 0 AND kept IS NULL AND value_changes = 0 AND tbd_changes = 0 AS no FROM m LEFT JOIN k USING (doc, heading))"""
+
+
+def _stamped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sections of two revisions with invented snippets: a stamp of their pages, and for some what was added."""
+    said = F.slice(F.array(F.concat(F.lit("Page "), F.col("page_old") % 3, F.lit(" → "), F.col("page_new") % 2), F.concat(F.lit('+ "'), F.substring("new_text", 1, 8), F.lit('"'))), F.lit(1), 1 + F.length("new_text") % 2)
+    value = ((F.col("classification") == "technical") & (F.col("page_old") % 2 == 0)).cast("int")
+    rows = section_compare(spark, sf_dir).select(
+        "doc", "heading", "change_type", "classification", "has_requirement_change", F.when(F.col("change_type") == "modified", said).otherwise(F.array().cast("array<string>")).alias("snippets"), value.alias("value_changes"), F.col("has_tbd_change").cast("int").alias("tbd_changes")
+    )
+    return versions.without_boilerplate(rows, "doc")
+
+
+@query("sections_without_boilerplate", f"WITH {_STAMPED} SELECT doc, heading, CASE WHEN no THEN 'unchanged' ELSE change_type END AS change_type, CASE WHEN no THEN 'editorial' ELSE classification END AS classification, NOT no AND has_requirement_change AS has_requirement_change, array_to_string(left_, ';') AS snippets FROM r")
+def sections_without_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stamped(spark, sf_dir)[0]
+    return rows.select("doc", "heading", "change_type", "classification", "has_requirement_change", F.array_join("snippets", ";").alias("snippets"))
+
+
+@query("boilerplate_changes", f"WITH {_STAMPED} SELECT doc, snippet, n FROM b")
+def boilerplate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stamped(spark, sf_dir)[1]

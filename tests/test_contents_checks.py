@@ -100,3 +100,18 @@ def test_revision_totals(spark):
     b = spark.createDataFrame([("d", "1 A", 1, 1, "x y shall"), ("d", "2 B", 2, 1, "same words"), ("d", "3 C", 3, 1, "new TBD")], "doc string, heading string, ord int, page int, text string")
     got = versions.revision_totals(versions.compare_sections(a, b, "doc"), "doc").first()
     assert (got.added, got.removed, got.modified, got.unchanged, got.requirement_changes, got.tbd_changes, got.technical, got.old_words, got.new_words, got.word_similarity) == (1, 0, 1, 1, 1, 1, 1, 5, 7, 0.5)
+
+
+def test_boilerplate_is_counted_by_occurrence_and_empty_sections_are_unchanged(spark):
+    rows = [
+        ("d", "1", "modified", "technical", True, ["Rev A → Rev B"], None, None), ("d", "2", "modified", "structural", True, ["Rev A → Rev B", "Rev A → Rev B", "real → change"], 0, 0), ("d", "3", "modified", "technical", True, ["Rev A → Rev B"], 1, 0),
+        ("d", "4", "modified", "technical", True, ["Rev A → Rev B"], 0, 2), ("d", "5", "modified", "technical", True, [], 0, 0), ("d", "6", "added", "structural", False, ["Rev A → Rev B"], 0, 0), ("d", "7", "modified", "technical", True, ["+ x → y", "+ x → y", "+ x → y"], 0, 0),
+        ("e", "1", "modified", "technical", True, ["Rev A → Rev B", "Rev A → Rev B"], 0, 0), ("e", "2", "modified", "technical", True, None, 0, 0),
+    ]
+    schema = "doc string, heading string, change_type string, classification string, has_requirement_change boolean, snippets array<string>, value_changes int, tbd_changes int"
+    out, stamps = versions.without_boilerplate(spark.createDataFrame(rows, schema), "doc")
+    got = {(r.doc, r.heading): (r.change_type, r.classification, r.has_requirement_change, r.snippets) for r in out.collect()}
+    assert [tuple(r) for r in stamps.collect()] == [("d", "Rev A → Rev B", 5)]
+    assert got["d", "1"] == ("unchanged", "editorial", False, []) and got["d", "2"] == ("modified", "structural", True, ["real → change"])
+    assert got["d", "3"] == got["d", "4"] == ("modified", "technical", True, []) and got["d", "5"] == ("modified", "technical", True, [])
+    assert got["d", "6"][3] == ["Rev A → Rev B"] and len(got["d", "7"][3]) == 3 and len(got["e", "1"][3]) == 2 and got["e", "2"][3] is None and len(got) == 9
