@@ -129,7 +129,7 @@ def spec_values(blocks: DataFrame, around: int = 60) -> DataFrame:
     """(doc, page, ord, block_id, n, value, unit, context, keywords): numbers with units, then tolerances with ± before their unit."""
 
     def of(pattern: str, kind: int, sign: str):
-        rows = blocks.where(F.length("text") >= 3).select("doc", "page", "ord", "block_id", "text", F.posexplode(F.arrays_zip(T.spans("text", pattern).alias("s"), T.found("text", pattern, 1).alias("v"), T.found("text", pattern, 2).alias("u"))).alias("n", "m"))
+        rows = blocks.where((F.length("text") >= 3) & F.col("text").rlike(pattern)).select("doc", "page", "ord", "block_id", "text", F.posexplode(F.arrays_zip(T.spans("text", pattern).alias("s"), T.found("text", pattern, 1).alias("v"), T.found("text", pattern, 2).alias("u"))).alias("n", "m"))
         ctx = T.context("text", F.col("m.s.start"), F.col("m.s.end"), around)
         return rows.select("doc", "page", "ord", "block_id", F.lit(kind).alias("kind"), "n", F.col("m.v").cast("double").alias("value"), F.concat(F.lit(sign), F.col("m.u")).alias("unit"), ctx.alias("context"), T.keywords(ctx).alias("keywords"))
 
