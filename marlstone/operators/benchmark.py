@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Share of the baseline's recall that a model needs to come into the last stage.
 COMPETITIVE = 0.9
+#: Decimals to which recalls are compared: a mean of doubles depends on the order of its rows beyond them.
+PLACES = 9
 
 
 def subset(queries: DataFrame, per_stratum: int) -> DataFrame:
@@ -36,7 +38,7 @@ def staged(models: DataFrame, outcomes: DataFrame, baseline_recall: float, cap:
     """(model_id, stage_reached, recall, mrr, hit_rate, n_queries, recall_delta, cost): what became of each model that was tried at all.
 
     Stage 1 looks whether a model gives valid vectors, stage 2 asks a subset with the same number of queries of each stratum, stage 3 all queries, of
-    models with at least COMPETITIVE of the baseline's recall. Models come in order of ord; before each, the cost of all that was done so far must be below the cap, else
+    models with at least COMPETITIVE of the baseline's recall, both to PLACES decimals. Models come in order of ord; before each, the cost of all that was done so far must be below the cap, else
     the stage ends. Figures are those of the last stage that a model reached; after stage 1 there are none. cost is that of all its stages.
     """
     first = run_until(models.withColumn("filter_cost", F.coalesce("filter_cost", F.lit(0.0))), "filter_cost", cap)
@@ -45,7 +47,7 @@ def staged(models: DataFrame, outcomes: DataFrame, baseline_recall: float, cap:
     asked = subset(outcomes.select("query_id", "stratum"), per_stratum)
     second = run_until(measured(valid, outcomes.join(valid.select("model_id"), "model_id", "left_semi"), asked), "cost", cap, spent)
     spent += second.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
-    good = second.where(F.col("recall") >= baseline_recall * COMPETITIVE)
+    good = second.where(F.round("recall", PLACES) >= round(baseline_recall * COMPETITIVE, PLACES))
     third = run_until(measured(good, outcomes.join(good.select("model_id"), "model_id", "left_semi")), "cost", cap, spent)
     names = ["recall", "mrr", "hit_rate", "n_queries", "cost"]
     tagged = lambda d, k: d.select("model_id", *[F.col(c).alias(f"{c}{k}") for c in names])
