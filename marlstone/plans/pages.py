@@ -41,7 +41,7 @@ def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gap_sessions", """WITH g AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS t FROM events), l AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) >= 86400 AS n FROM g)
     SELECT user_id, event_id, CAST(sum(coalesce(n, false)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS BIGINT) AS cluster FROM l""")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("double").alias("t"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return layout.gap_sessions(e, ["user_id"], "t", 86400.0, "event_id").select("user_id", "event_id", "cluster")
 
 
