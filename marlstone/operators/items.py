@@ -5,6 +5,12 @@ Blocks are rows (doc, page, ord, block_id, text); order is (page, ord) within do
 
 from __future__ import annotations
 
+import math
+from typing import Iterator, Tuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,88 +75,131 @@ def filter_items(items: DataFrame, status: str | None = None, item_type: str | N
     return items if in_shall is None else items.where(F.col("in_shall") == in_shall)
 
 
-#: Most pivots, and items that stand in one task or ask there.
-PIVOTS, BLOCK = 256, 512
+#: Most pivots, items for which there is one, most items that stand in one task, and how many times as many may ask there.
+PIVOTS, EACH, BLOCK, ASKING = 256, 512, 32_768, 2
+#: Pairs that a task looks at, and may give out, at once.
+PAIRS = 2_000_000
+
+
+def _vectors(column) -> np.ndarray:
+    """The rows of an Arrow column of lists as unit vectors."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
+def _blocks(centres: np.ndarray, counts: list[int], block: int) -> tuple[list[int], list[int]]:
+    """The first block of each cell and its number of blocks: a large cell is cut, small ones that lie near one another share a block."""
+    first, parts, left, used = [0] * len(counts), [1] * len(counts), set(range(len(counts))), 0
+    at, room = 0, 0
+    while left:
+        at = max(left, key=lambda k: (centres[at] @ centres[k], -k))
+        left.discard(at)
+        if counts[at] > block:
+            first[at], parts[at], room = used, -(-counts[at] // block), 0
+            used += parts[at]
+        else:
+            if counts[at] > room:
+                used, room = used + 1, block
+            first[at] = used - 1
+            room -= counts[at]
+    return first, parts
 
-def correlate(items: DataFrame, least: float = 0.75, high: float = 0.85, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+
+def correlate(items: DataFrame, least: float = 0.75, high: float = 0.85, block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """Pairs of items (item_id, doc, embedding, resolution) of different documents with cosine similarity above ``least``.
 
     Exact, and pairs that cannot be similar never meet: angles obey the triangle inequality, so an item visits the cell of a pivot only if its angle to the pivot,
-    less the cell's radius, is within the angle of ``least``. Pivots are items of the smallest hashes, one for ``block`` items but at most ``pivots``; each item stands in the cell of its nearest
-    one. A large cell is cut into parts, and what visits it is dealt into turns, so a task holds about ``block`` items that stand and four times as many that ask.
-    Items without a vector or with one of zeros are similar to none; all vectors have one dimension. conflict: both are resolved, differently. ``least`` is not negative.
+    less the cell's radius, is within the angle of ``least``. Pivots are items of the smallest hashes, at most ``pivots``; each item stands in the cell of its nearest
+    one. Near cells share a block of at most ``block`` items, a larger cell has several; without a number there are about four times the root of the task slots, of BLOCK items at
+    most, since each item is sent to half of the blocks where nothing is too far apart. An item asks the later blocks with a cell that it visits. Those who ask are dealt into
+    turns of ASKING times a block, and a task gives out its pairs as it finds them, so neither copies nor size add to its memory.
+    Items without a vector or with one of zeros, and those without id or document, are similar to none; all vectors have one dimension. conflict: both are resolved, differently. ``least`` is not negative.
     """
-    import numpy as np
-    import pandas as pd
-
     from ..sources.store import scratch
 
     if least < 0:
         raise ValueError("least must not be negative")
     spark, reach = items.sparkSession, float(np.arccos(min(1.0, least))) + 1e-6
-    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    rows = items.select("item_id", "doc", F.col("embedding").cast("array<double>").alias("embedding"), "resolution").where(F.exists("embedding", lambda x: x != 0))
-    held = [r.embedding for r in rows.orderBy(F.xxhash64("item_id"), "item_id").limit(max(1, min(pivots, -(-rows.count() // block)))).select("embedding").collect()]
-    centres = unit(np.array(held, np.float64)) if held else np.zeros((0, 1))
+    vector = F.col("embedding") if dict(items.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = items.select("item_id", "doc", vector.alias("embedding"), "resolution").where(F.exists("embedding", lambda x: x != 0) & F.col("item_id").isNotNull() & F.col("doc").isNotNull())
+    total = rows.count()
+    block = block or min(BLOCK, max(EACH, -(-total // math.ceil(4 * spark.sparkContext.defaultParallelism**0.5))))
+    held = [r.embedding for r in rows.orderBy(F.xxhash64("item_id"), "item_id").limit(max(1, min(pivots, -(-total // min(EACH, block))))).select("embedding").collect()]
+    centres = np.array(held, np.float64) if held else np.ones((1, 1))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
 
-    def angles(pdf):
-        return np.arccos(np.clip(unit(np.array(pdf["embedding"].tolist(), np.float64)) @ centres.T, -1, 1))
+    def angles(batch):
+        return np.arccos(np.clip(_vectors(batch.column("embedding")) @ centres.T, -1, 1))
 
     def placed(it):
-        for pdf in it:
-            a = angles(pdf) if len(pdf) else np.zeros((0, 1))
-            yield pdf.assign(cell=a.argmin(1), angle=a.min(1))
+        for batch in it:
+            if len(batch):
+                a = angles(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(a.argmin(1), pa.int32()), pa.array(a.min(1))], [*batch.schema.names, "cell", "angle"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     path = scratch(spark, "cells")
-    rows.mapInPandas(placed, f"{kinds}, cell int, angle double").write.parquet(path)
+    rows.mapInArrow(placed, f"{kinds}, cell int, angle double").write.parquet(path)
     cells = spark.read.schema(f"{kinds}, cell int, angle double").parquet(path)
-    known = {r.cell: (r.radius, -(-r.n // block)) for r in cells.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # a row a pivot
+    known = {r.cell: (r.radius, r.n) for r in cells.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}  # a row a pivot
     radius = np.array([known.get(k, (-np.inf, 0))[0] for k in range(len(centres))])
-    parts = np.array([known.get(k, (0, 0))[1] for k in range(len(centres))], dtype=np.int64)
+    first, parts = _blocks(centres, [known.get(k, (0, 0))[1] for k in range(len(centres))], block)
+    of = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("cell") + 1)
+    stand = cells.withColumn("block", (of(first) + F.pmod(F.xxhash64("item_id", F.lit(1)), of(parts))).cast("int")).drop("cell")
 
     def visits(it):
-        for pdf in it:
-            if not len(pdf):
+        for batch in it:
+            if not len(batch):
                 continue
-            own = pdf["cell"].to_numpy()
-            near = (angles(pdf) - radius <= reach) & (np.arange(len(centres)) > own[:, None])
-            at, cell = np.nonzero(near)
-            yield pdf.iloc[at].drop(columns=["cell", "angle", "part"]).assign(cell=cell.astype(np.int32))
-
-    part = F.pmod(F.xxhash64("item_id", F.lit(1)), F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts] or [F.lit(1)]), F.col("cell") + 1)).cast("int")
-    n_parts = F.element_at(F.array(*[F.lit(int(p)) for p in parts] or [F.lit(0)]), F.col("cell") + 1)
-    stand = cells.withColumn("part", part)
-    inside = stand.where(F.col("part") + 1 < n_parts).withColumn("part", F.explode(F.sequence(F.col("part") + 1, n_parts - 1))).drop("angle")
-    guests = stand.mapInPandas(visits, f"{kinds}, cell int").withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+            near, own = angles(batch) - radius <= reach, batch.column("block").to_numpy()
+            asked: dict[int, np.ndarray] = {}
+            for k in range(len(centres)):
+                for b in range(first[k], first[k] + parts[k]):
+                    asked[b] = asked[b] | near[:, k] if b in asked else near[:, k]
+            rest = batch.drop_columns(["angle", "block"])
+            for b, mask in asked.items():
+                out = rest.filter(pa.array(mask & (own < b)))
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(len(out), b, np.int32))], [*out.schema.names, "block"])
+
     path = scratch(spark, "asks")
-    inside.select(*rows.columns, "cell", "part").unionByName(guests.select(*rows.columns, "cell", "part")).write.parquet(path)
-    asks = spark.read.schema(f"{kinds}, cell int, part int").parquet(path)
-    turns = asks.groupBy("cell", "part").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("turns"))
-    stand = stand.drop("angle").join(turns, ["cell", "part"], "left").withColumn("turn", F.explode(F.sequence(F.lit(0), F.greatest(F.coalesce("turns", F.lit(1)), F.lit(1)) - 1)))
-    asks = asks.join(turns, ["cell", "part"]).withColumn("turn", F.pmod(F.xxhash64("item_id", F.lit(2)), F.col("turns")).cast("int"))
-    key = ["cell", "part", "turn"]
-
-    def pairs(group, mine, guests):
-        if not len(mine):
-            return pd.DataFrame({c: [] for c in ("item_a", "item_b", "similarity", "conflict")})
-        both = pd.concat([mine, guests]) if len(guests) else mine
-        m = len(mine)
-        x = unit(np.array(both["embedding"].tolist(), np.float64))
-        ids, doc, res = (both[c].to_numpy() for c in ("item_id", "doc", "resolution"))
-        s = x @ x[:m].T
-        fits = (s > least) & (doc[:, None] != doc[None, :m]) & (ids[:, None] != ids[None, :m])
+    stand.mapInArrow(visits, f"{kinds}, block int").write.parquet(path)
+    asks = spark.read.schema(f"{kinds}, block int").parquet(path)
+    turns = {r.block: -(-r.n // (ASKING * block)) for r in asks.groupBy("block").agg(F.count("*").alias("n")).collect()}  # a row a block
+    n_turns = F.element_at(F.array(*[F.lit(max(1, turns.get(b, 1))) for b in range(max(x + y for x, y in zip(first, parts)))]), F.col("block") + 1)
+    stand = stand.drop("angle").withColumn("asks", F.lit(False)).withColumn("turn", F.explode(F.sequence(F.lit(0), n_turns - 1)))
+    asks = asks.withColumn("asks", F.lit(True)).withColumn("turn", F.pmod(F.xxhash64("item_id", F.lit(2)), n_turns).cast("int"))
+    names = ["item_a", "item_b", "similarity", "conflict"]
+
+    def pairs(group: Tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches))
+        guest = both.column("asks")
+        both = pa.concat_tables([both.filter(pc.invert(guest)), both.filter(guest)]).combine_chunks()
+        m = len(both) - pc.sum(guest).as_py()
+        if not m:
+            return
+        x = _vectors(both.column("embedding"))
+        code = lambda c: both.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        ids, doc, res = both.column("item_id").to_numpy(), code("doc"), code("resolution")
+        solved = pc.fill_null(pc.not_equal(both.column("resolution"), ""), False).to_numpy()
+        key, step = both.column("item_id").combine_chunks(), max(1, PAIRS // m)
         # Those that stand meet in the first turn, each pair once.
-        fits[:m] &= (ids[:m, None] < ids[None, :m]) if group[2] == 0 else False
-        i, j = np.nonzero(fits)
-        swap = ids[i] > ids[j]
-        left, right = np.where(swap, j, i), np.where(swap, i, j)
-        conflict = [bool(u) and bool(v) and u != v for u, v in zip(res[left], res[right])]
-        return pd.DataFrame({"item_a": ids[left], "item_b": ids[right], "similarity": s[i, j], "conflict": np.array(conflict, bool)})
+        for lo in range(0 if group[1].as_py() == 0 else m, len(both), step):
+            s = x[lo:lo + step] @ x[:m].T
+            i, j = np.nonzero(s > least)
+            near, i = s[i, j], i + lo
+            fits = (doc[i] != doc[j]) & (ids[i] != ids[j]) & ((i >= m) | (ids[i] < ids[j]))
+            i, j, near = i[fits], j[fits], near[fits]
+            if len(i):
+                swap = ids[i] > ids[j]
+                left, right = np.where(swap, j, i), np.where(swap, i, j)
+                conflict = solved[left] & solved[right] & (res[left] != res[right])
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(left)), key.take(pa.array(right)), pa.array(near), pa.array(conflict)], names)
 
     kind = dict(items.dtypes)["item_id"]
-    found = stand.select(*rows.columns, *key).groupBy(*key).cogroup(asks.select(*rows.columns, *key).groupBy(*key)).applyInPandas(pairs, f"item_a {kind}, item_b {kind}, similarity double, conflict boolean")
+    cols = [*rows.columns, "asks", "block", "turn"]
+    found = stand.select(*cols).unionByName(asks.select(*cols)).groupBy("block", "turn").applyInArrow(pairs, f"item_a {kind}, item_b {kind}, similarity double, conflict boolean")
     return found.withColumn("confidence", F.when(F.col("similarity") > high, "high").otherwise("medium"))
 
 

@@ -42,3 +42,19 @@ def test_far_cells_are_not_visited_and_empty_input(spark, tmp_path, monkeypatch)
     asks = spark.read.parquet(made[1]).count()
     assert asks < 400 * 6  # of 32 cells
     assert items.correlate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_small_cells_share_blocks(spark, monkeypatch):
+    """Small cells share blocks, so what asks does not grow with the number of cells; items without a document have no pairs."""
+    r = np.random.default_rng(3)
+    centres = np.vstack([np.eye(6), np.eye(6)])
+    first, parts = items._blocks(centres, [3] * 6 + [50] + [3] * 5, 20)
+    assert parts == [1] * 6 + [3] + [1] * 5 and len(set(first)) <= 6
+    rows = [(i, f"d{i % 4}" if i % 9 else None, r.normal(size=6).tolist(), None) for i in range(300)]
+    made = []
+    from marlstone.sources import store
+
+    monkeypatch.setattr(store, "scratch", lambda s, tag, f=store.scratch: made.append(f(s, tag)) or made[-1])
+    got = items.correlate(spark.createDataFrame(rows, SCHEMA), 0.3, 0.9, 60, 64)
+    assert {(x.item_a, x.item_b) for x in got.collect()} == set(plain([x for x in rows if x[1]], 0.3))
+    assert spark.read.parquet(made[1]).count() <= 300 * 6
