@@ -101,7 +101,8 @@ def similarity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar items of different documents that are both resolved, but differently; an empty resolution is none."""
     value = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("R"), F.col("vec_id") % 2)).when(F.col("vec_id") % 3 == 1, F.lit(""))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("label").alias("doc"), "embedding", value.alias("resolution"))
-    return items.correlate(v, 0.3, 0.45).where("conflict").select("item_a", "item_b", F.round("similarity", 6).alias("similarity"))
+    resolved = v.where("resolution <> ''")  # one of two that is not resolved makes no conflict
+    return items.correlate(resolved, 0.3, 0.45).where("conflict").select("item_a", "item_b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("page_table_cells", "WITH p AS (" + SPANS.replace("D0", "::DOUBLE") + """), s AS (SELECT doc, page, trim(text) AS text, x0, y0, x0 + 50 AS x1, y0 + 10 AS y1, ord FROM p WHERE y0 BETWEEN 60 AND 500),

@@ -58,3 +58,12 @@ def test_small_cells_share_blocks(spark, monkeypatch):
     got = items.correlate(spark.createDataFrame(rows, SCHEMA), 0.3, 0.9, 60, 64)
     assert {(x.item_a, x.item_b) for x in got.collect()} == set(plain([x for x in rows if x[1]], 0.3))
     assert spark.read.parquet(made[1]).count() <= 300 * 6
+
+
+def test_only_resolved_items_are_looked_at_for_conflicts(spark, sf_dir, monkeypatch):
+    from marlstone.plans import checks
+
+    seen = []
+    monkeypatch.setattr(items, "correlate", lambda v, *a, f=items.correlate: seen.append(v) or f(v, *a))
+    checks.similarity_conflicts(spark, sf_dir)
+    assert seen[0].count() > 0 and seen[0].where("coalesce(resolution, '') = ''").count() == 0
