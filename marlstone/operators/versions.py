@@ -266,18 +266,37 @@ def cross_references(pages: DataFrame, terms: DataFrame, sections: DataFrame | N
     return applicable.unionByName(inline.join(applicable.select("doc", "page", "target"), ["doc", "page", "target"], "left_anti"))
 
 
+#: Characters by which names and titles find each other.
+GRAM = 10
+
+
+def _holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text, term) for each term that stands in a text, of distinct texts and terms, neither empty.
+
+    A term's key is its first GRAM characters, or all where it has fewer; a text meets the keys that it holds, of the lengths that terms have. So what is shuffled grows
+    with the characters of the texts, not with texts times terms. Case counts.
+    """
+    keyed = terms.withColumn("key", F.substring("term", 1, GRAM))
+    lengths = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())  # GRAM at most
+    every = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    cut = [F.when(F.length("text") >= n, every(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
+    keys = texts.select("text", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *cut))).alias("key"))
+    return keys.join(keyed, "key").where(F.contains("text", F.col("term"))).select("text", "term")
+
+
 def title_counts(stems: DataFrame, items: DataFrame) -> DataFrame:
     """(stem, item_type, n): items (title, item_type) of each document by name: the stem or its first ten characters stand in the title, or the title in the stem.
 
     Documents without items have no row; empty names and titles belong to nothing. Titles that repeat are compared once.
     """
     counted = items.groupBy(F.lower("title").alias("title"), "item_type").agg(F.count("*").alias("n"))
-    titles = counted.select("title").distinct()
-    names = stems.select(F.lower("stem").alias("low"), "stem").distinct()
-    begins = names.select(F.col("stem").alias("term_id"), F.substring("low", 1, 10).alias("term"))  # a stem that stands in a title does so with its beginning
-    inside = contained(titles.select(F.col("title").alias("text_id"), F.col("title").alias("text")), begins).select(F.col("text_id").alias("title"), F.col("term_id").alias("stem"))
-    around = contained(names.select(F.col("stem").alias("text_id"), F.col("low").alias("text")), titles.select(F.col("title").alias("term_id"), F.col("title").alias("term"))).select(F.col("term_id").alias("title"), F.col("text_id").alias("stem"))
-    return inside.unionByName(around).distinct().join(counted, "title").groupBy("stem", "item_type").agg(F.sum("n").alias("n"))
+    titles = items.select(F.lower("title").alias("title")).where("title <> ''").distinct()
+    names = stems.select(F.lower("stem").alias("low"), "stem").where("low <> ''").distinct()
+    start = F.substring("low", 1, 10)  # a stem that stands in a title does so with its beginning
+    inside = _holding(titles.select(F.col("title").alias("text")), names.select(start.alias("term")).distinct()).select(F.col("text").alias("title"), F.col("term").alias("start"))
+    around = _holding(names.select(F.col("low").alias("text")).distinct(), titles.select(F.col("title").alias("term"))).select(F.col("term").alias("title"), F.col("text").alias("low"))
+    held = names.withColumn("start", start).join(inside, "start").select("title", "stem").unionByName(names.join(around, "low").select("title", "stem"))
+    return held.distinct().join(counted, "title").groupBy("stem", "item_type").agg(F.sum("n").alias("n"))
 
 
 def quick_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -115,3 +115,18 @@ def test_counts_by_title(spark):
     items = spark.createDataFrame([("The icd_valve_ draft", "TBD"), ("the ICD_VALVE_ draft", "TBD"), ("valve", "TBR"), ("pump house", "TBD"), ("", "TBD"), (None, "TBD")], "title string, item_type string")
     got = sorted(tuple(x) for x in versions.title_counts(stems, items).collect())
     assert got == [("ICD_Valve_2", "TBD", 2), ("ICD_Valve_2", "TBR", 1), ("Pump", "TBD", 1)]
+
+
+def test_titles_and_stems_meet_by_their_beginnings(spark, monkeypatch):
+    """Texts are not sent to all blocks of terms, and short and long names find each other as in a loop."""
+    r = random.Random(5)
+    word = lambda most: "".join(r.choice("abA") for _ in range(r.randint(0, most)))
+    stems, items = [word(24) for _ in range(60)], [(word(16), r.choice(["TBD", "TBR"])) for _ in range(300)] + [(None, "TBD")]
+    monkeypatch.setattr(versions, "contained", None)
+    got = {(x.stem, x.item_type): x.n for x in versions.title_counts(spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame(items, "title string, item_type string")).collect()}
+    want = {}
+    for s in set(stems) - {""}:
+        for t, kind in items:
+            if t and (s.lower()[:10] in t.lower() or t.lower() in s.lower()):
+                want[s, kind] = want.get((s, kind), 0) + 1
+    assert got == want and len(want) > 60
