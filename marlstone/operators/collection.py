@@ -54,7 +54,8 @@ class Collection:
         """
         titles = elements.groupBy("doc").agg(F.min("title").alias("title"))
         docs = elements.select(F.col("doc").alias("document_hash")).distinct()
-        put, drop = {}, {}
+        put, drop, split = {}, {}, {}
+        elements = elements.repartition("doc")  # once for all windows and groups of a strategy, which go by document
         for c in self.configurations:
             chunks = chunking.chunk_document(elements.drop("title"), c.strategy, **c.options).join(titles, "doc")
             rows = chunks.select(
@@ -62,9 +63,9 @@ class Collection:
                 "content_type", "section_heading", "text", c.embedder.embed(F.col("text")).alias("embedding"),
             )
             whole = F.coalesce(F.size("embedding") == c.embedder.dims, F.lit(False))
-            put[c.index], put[f"{c.index}__quarantine"] = rows.where(whole), rows.where(~whole)
+            put[c.index], split[c.index] = rows, (whole, f"{c.index}__quarantine")
             drop[c.index] = drop[f"{c.index}__quarantine"] = docs
-        at = self.tables.commit(put=put, drop=drop)
+        at = self.tables.commit(put=put, drop=drop, split=split)
         count = lambda n: self.tables.read(n, at).join(docs, "document_hash", "left_semi").agg(F.count("*").alias("n"))
         parts = [count(c.index).select(F.lit(c.index).alias("index"), F.col("n").alias("n_chunks")).crossJoin(count(f"{c.index}__quarantine").select(F.col("n").alias("n_rejected"))) for c in self.configurations]  # one row each
         return reduce(DataFrame.unionByName, parts)

@@ -12,7 +12,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -71,9 +71,11 @@ class Tables:
             out.append(rows)
         return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], schema)
 
-    def commit(self, put: dict[str, DataFrame] | None = None, drop: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
+    def commit(self, put: dict[str, DataFrame] | None = None, drop: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, base: int | None = None, split: dict[str, tuple[Column, str]] | None = None) -> int:
         """Add rows, delete keys (the first column of a frame) and replace whole tables, all in one new version; gives its number.
 
+        ``split`` sends what is put into a table to another one where a condition does not hold; both are written in one pass.
+
         Within one commit deletes go before additions. With ``replace``, or a ``base`` that is given, the commit stands only on that
         version and raises Conflict if there is a later one; others are put on top of what other writers did meanwhile.
         """
@@ -85,6 +87,13 @@ class Tables:
         for kind, group in (("put", put), ("replace", replace)):
             for name, df in group.items():
                 path = f"{name}/{tag}-{kind}"
+                if kind == "put" and name in (split or {}):
+                    holds, other = split[name]
+                    df.withColumn("_holds", F.coalesce(holds, F.lit(False)).cast("int")).write.partitionBy("_holds").parquet(f"{self.root}/{path}")
+                    for to, part in ((name, f"{path}/_holds=1"), (other, f"{path}/_holds=0")):
+                        self._files.mkdirs(self._path(self.root, part))  # where no row went there
+                        written[kind, to] = part, df.schema
+                    continue
                 df.write.parquet(f"{self.root}/{path}")
                 written[kind, name] = path, df.schema
         for name, df in drop.items():  # one frame for several tables is written once
@@ -145,6 +154,11 @@ class Tables:
             for part in self._files.listStatus(folder.getPath()):
                 if name == "_versions" and part.getPath().getName() == f"{n:012d}.json" or f"{name}/{part.getPath().getName()}" in held:
                     continue
+                if any(p.startswith(f"{name}/{part.getPath().getName()}/") for p in held):  # written for two tables at once
+                    for side in self._files.listStatus(part.getPath()):
+                        if side.isDirectory() and f"{name}/{part.getPath().getName()}/{side.getPath().getName()}" not in held:
+                            self._files.delete(side.getPath(), True)
+                    continue
                 self._files.delete(part.getPath(), True)
 
     def removed(self, name: str, version: int) -> DataFrame:

@@ -178,3 +178,25 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         store.scratch(Cluster, "x")
+
+
+def test_rows_are_made_once_for_two_tables(spark, tmp_path):
+    """What is put and what is set aside come from one pass, also where one of them is empty; vacuum keeps both."""
+    from pyspark.sql import functions as F
+
+    from marlstone.sources.tables import Tables
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "document_hash string, n int").mapInPandas(count, "document_hash string, n int")
+    t = Tables(spark, f"file://{tmp_path}/t")
+    t.commit(put={"x": rows}, split={"x": (F.col("n") > 0, "x_bad")})
+    assert seen.value == 3 and sorted(r.document_hash for r in t.read("x").collect()) == ["a", "c"] and [tuple(r) for r in t.read("x_bad").collect()] == [("b", None)]
+    t.commit(put={"x": rows.where("n = 3")}, drop={k: rows.where("n = 3").select("document_hash") for k in ("x", "x_bad")}, split={"x": (F.col("n") > 0, "x_bad")})
+    t.vacuum()
+    assert sorted(tuple(r) for r in t.read("x").collect()) == [("a", 1), ("c", 3)] and t.read("x_bad").count() == 1
