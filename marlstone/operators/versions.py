@@ -140,29 +140,50 @@ def match_values(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Changed values between two versions of spec_values rows: (keys, unit, old_value, new_value, context).
 
     For each old value in order, the new value of its unit (± aside) with most shared keywords, two at least,
-    the first of several; a new value is used up only by a differing match. The fold runs per keys and unit.
+    the first of several; a new value is used up only by a differing match. Rows come sorted by keys and unit and are folded as they stream by; new values with the same keywords stand in one
+    queue, of which only the first can match, so a large group does not take the square of its size unless its keywords all differ.
     """
-    unit = F.regexp_replace("unit", "^±", "").alias("base")
-    cols = [*keys, unit, "page", "ord", "kind", "n", "value", "unit", "context", "keywords"]
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     group = [*keys, "base"]
-    out = ", ".join(f"{k} {dict(old.dtypes)[k]}" for k in keys) + ", unit string, old_value double, new_value double, context string"
-
-    def fold(a, b):
-        import pandas as pd
-
-        order = ["page", "ord", "kind", "n"]
-        a, b = a.sort_values(order), b.sort_values(order)
-        targets, used, rows = [set(k) for k in b["keywords"]], set(), []
-        values = b["value"].tolist()
-        for r in a.itertuples():
-            mine = set(r.keywords)
-            score, at = max(((len(mine & t), -i) for i, t in enumerate(targets) if i not in used), default=(0, 0))
-            if score >= 2 and values[-at] != r.value:
-                used.add(-at)
-                rows.append([*(getattr(r, k) for k in keys), r.unit, r.value, values[-at], r.context])
-        return pd.DataFrame(rows, columns=[*keys, "unit", "old_value", "new_value", "context"])
-
-    return old.select(*cols).groupBy(*group).cogroup(new.select(*cols).groupBy(*group)).applyInPandas(fold, out)
+    words = F.array_join(F.array_sort(F.array_distinct(F.filter("keywords", lambda w: w.isNotNull()))), " ").alias("words")
+    side = lambda d, n: d.select(*keys, F.regexp_replace("unit", "^±", "").alias("base"), F.lit(n).alias("side"), "page", "ord", "kind", "n", "value", "unit", "context", words)
+    rows = side(new, 0).unionByName(side(old, 1)).repartition(*group).sortWithinPartitions(*group, "side", "page", "ord", "kind", "n").select(*group, "side", "value", "unit", "context", "words")
+    out = to_arrow_schema(schema := StructType.fromDDL(", ".join(f"{k} {dict(old.dtypes)[k]}" for k in keys) + ", unit string, old_value double, new_value double, context string"))
+
+    def fold(it):
+        at, sets = None, {}  # sets: of a group's new values by their keywords, places and values in order and how many of them are used up
+        for batch in it:
+            found = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                key, (old_side, value, unit, context, text) = row[:len(group)], row[len(group):]
+                if key != at:
+                    at, sets, near, place = key, {}, {}, 0
+                if not old_side:
+                    sets.setdefault(text, [[], 0])[0].append((place, value))
+                    place += 1
+                    continue
+                if text not in near:
+                    mine = set(text.split())
+                    near[text] = sorted(((-n, t) for t in sets if (n := len(mine.intersection(t.split()))) >= 2))
+                best, least = None, 0
+                for less, t in near[text]:
+                    if best is not None and less != least:
+                        break
+                    values, used = sets[t]
+                    if used < len(values) and (best is None or values[used][0] < sets[best][0][sets[best][1]][0]):
+                        best, least = t, less
+                if best is not None:
+                    values, used = sets[best]
+                    if values[used][1] != value:
+                        sets[best][1] += 1
+                        found.append((*key[:-1], unit, value, values[used][1], context))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(out), out)], schema=out)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def heading(blocks: DataFrame) -> Column:
