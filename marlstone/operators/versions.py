@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import scratch
 
 
 def families(files: DataFrame, order: str = "date") -> DataFrame:
@@ -289,35 +290,52 @@ def cross_references(pages: DataFrame, terms: DataFrame, sections: DataFrame | N
 
 #: Characters by which names and titles find each other.
 GRAM = 10
+#: Bits of the filter by which texts drop keys that no term has: at most 2**24 / 64 = 262,144 rows of 16 bytes, whatever the input.
+KEY_BITS = 24
+
+
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    """The rows, written once and read from there."""
+    df.write.parquet(path := scratch(df.sparkSession, tag))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _known(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows without most of those whose key is not among ``keys``, before they are shuffled; one hash a key, so some others stay."""
+    h = F.pmod(F.xxhash64("key"), F.lit(1 << KEY_BITS))
+    words = keys.select(h.alias("_h")).groupBy(F.shiftright("_h", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_h & 63 as int))")).alias("_bits"))
+    hit = (F.shiftright("_h", 6) == F.col("_word")) & (F.expr("shiftright(_bits, cast(_h & 63 as int)) & 1") == 1)
+    return rows.withColumn("_h", h).join(F.broadcast(_kept(words, "keys")), hit).select(*rows.columns)
 
 
 def _holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text, term) for each term that stands in a text, of distinct texts and terms, neither empty.
+    """(text, term) for each term that stands in a text, of distinct texts and terms that may repeat, neither empty.
 
     A term's key is its first GRAM characters, or all where it has fewer; a text meets the keys that it holds, of the lengths that terms have. So what is shuffled grows
-    with the characters of the texts, not with texts times terms. Case counts.
+    with the characters of the texts, not with texts times terms, and mostly holds keys that a term has. Case counts.
+    The join is by sorting, whatever the threshold for broadcasts: Spark takes the keys of a text to be no larger than the text, or than the file that it came from.
     """
     keyed = terms.withColumn("key", F.substring("term", 1, GRAM))
     lengths = sorted(r[0] for r in keyed.select(F.length("key")).distinct().collect())  # GRAM at most
     every = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
     cut = [F.when(F.length("text") >= n, every(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
     keys = texts.select("text", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *cut))).alias("key"))
-    return keys.join(keyed, "key").where(F.contains("text", F.col("term"))).select("text", "term")
+    return _known(keys, keyed).join(keyed.distinct().hint("merge"), "key").where(F.contains("text", F.col("term"))).select("text", "term")
 
 
 def title_counts(stems: DataFrame, items: DataFrame) -> DataFrame:
     """(stem, item_type, n): items (title, item_type) of each document by name: the stem or its first ten characters stand in the title, or the title in the stem.
 
-    Documents without items have no row; empty names and titles belong to nothing. Titles that repeat are compared once.
+    Documents without items have no row; empty names and titles belong to nothing. Titles that repeat are compared once. Items and stems are read once; their counts and
+    names are tables in the folder of ``spark.checkpoint.dir``. No names or titles go through the driver, whatever the threshold for broadcasts.
     """
-    counted = items.groupBy(F.lower("title").alias("title"), "item_type").agg(F.count("*").alias("n"))
-    titles = items.select(F.lower("title").alias("title")).where("title <> ''").distinct()
-    names = stems.select(F.lower("stem").alias("low"), "stem").where("low <> ''").distinct()
+    counted = _kept(items.where("title <> ''").groupBy(F.lower("title").alias("title"), "item_type").agg(F.count("*").alias("n")), "titles")
+    names = _kept(stems.select(F.lower("stem").alias("low"), "stem").where("low <> ''").distinct(), "names")
     start = F.substring("low", 1, 10)  # a stem that stands in a title does so with its beginning
-    inside = _holding(titles.select(F.col("title").alias("text")), names.select(start.alias("term")).distinct()).select(F.col("text").alias("title"), F.col("term").alias("start"))
-    around = _holding(names.select(F.col("low").alias("text")).distinct(), titles.select(F.col("title").alias("term"))).select(F.col("term").alias("title"), F.col("text").alias("low"))
-    held = names.withColumn("start", start).join(inside, "start").select("title", "stem").unionByName(names.join(around, "low").select("title", "stem"))
-    return held.distinct().join(counted, "title").groupBy("stem", "item_type").agg(F.sum("n").alias("n"))
+    inside = _holding(counted.select(F.col("title").alias("text")).distinct(), names.select(start.alias("term"))).select(F.col("text").alias("title"), F.col("term").alias("start"))
+    around = _holding(names.select(F.col("low").alias("text")).distinct(), counted.select(F.col("title").alias("term"))).select(F.col("term").alias("title"), F.col("text").alias("low"))
+    held = names.withColumn("start", start).hint("merge").join(inside, "start").select("title", "stem").unionByName(names.hint("merge").join(around, "low").select("title", "stem"))
+    return held.distinct().join(counted.hint("merge"), "title").groupBy("stem", "item_type").agg(F.sum("n").alias("n"))
 
 
 def quick_compare(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -130,3 +131,21 @@ def test_titles_and_stems_meet_by_their_beginnings(spark, monkeypatch):
             if t and (s.lower()[:10] in t.lower() or t.lower() in s.lower()):
                 want[s, kind] = want.get((s, kind), 0) + 1
     assert got == want and len(want) > 60
+
+
+def test_titles_and_stems_do_not_go_through_the_driver(spark, monkeypatch):
+    """Small files broadcast neither names nor titles nor the many keys of either, only the filter of bounded size; keys that collide in it change nothing."""
+    r = random.Random(6)
+    word = lambda most: "".join(r.choice("abA") for _ in range(r.randint(0, most)))
+    stems, items = [word(24) for _ in range(60)], [(word(16), r.choice(["TBD", "TBR", None])) for _ in range(300)]
+    want = {}
+    for s in set(stems) - {""}:
+        for t, kind in items:
+            if t and (s.lower()[:10] in t.lower() or t.lower() in s.lower()):
+                want[s, kind] = want.get((s, kind), 0) + 1
+    for bits in (6, 24):
+        monkeypatch.setattr(versions, "KEY_BITS", bits, raising=False)
+        df = versions.title_counts(spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame(items, "title string, item_type string"))
+        assert {(x.stem, x.item_type): x.n for x in df.collect()} == want and len(want) > 60
+        joins = re.findall(r"BroadcastHashJoin[^\n]*", df._jdf.queryExecution().executedPlan().toString())
+        assert joins and all("_word" in x for x in joins), joins
